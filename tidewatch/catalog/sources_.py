@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog.registry import V_SCORED, V_VIDEO, Tables, query, rounded
 from tidewatch.operators.alerts import Thresholds, fan_out, prepare
 from tidewatch.plans import virality
-from tidewatch.session import scratch_path
+from tidewatch.session import scratch_path, stage
 from tidewatch.sources import files, payloads, sinks, terms
 from tidewatch.sources.schemas import table
 
@@ -173,7 +173,7 @@ def a12(t: Tables):
 
 @query("a13_model_save_load")
 def a13(t: Tables):
-    rows = t.scored()
+    rows = stage(t.scored(), "a13")
     features = virality.select_features(rows)
     path = scratch_path(t.spark, "a13")
     virality.save(virality.train(rows, features, trees=3, depth=3), path)

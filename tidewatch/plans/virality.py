@@ -6,9 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import (
-    OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
-)
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,26 +69,37 @@ def split(df: DataFrame, key: str, label: str, seed: int = SEED, share: float =
     return rows.where(train).drop("_h", "_y"), rows.where(~train).drop("_h", "_y")
 
 
+def scaling_values(df: DataFrame, features: Features, fill: dict[str, object]) -> dict[str, tuple[float, float]]:
+    """(mean, population deviation) of each numeric feature after imputation; a constant scales by 1."""
+    if not features.numeric:
+        return {}
+    filled = {c: plain(c, float(fill[c])) for c in features.numeric}
+    row = df.agg(
+        *[F.avg(x).alias(f"{c}__m") for c, x in filled.items()],
+        *[F.stddev_pop(x).alias(f"{c}__s") for c, x in filled.items()],
+    ).first()
+    return {c: (row[f"{c}__m"] or 0.0, row[f"{c}__s"] or 1.0) for c in features.numeric}
+
+
 def _sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _impute_stage(features: Features, values: dict[str, object]) -> SQLTransformer:
-    numeric = [f"coalesce(nanvl(cast(`{c}` as double), null), {float(values[c])!r}D) AS `{c}__n`" for c in features.numeric]
-    text = [f"coalesce(cast(`{c}` as string), {_sql_text(str(values[c]))}) AS `{c}__c`" for c in features.categorical]
+def _shape_stage(features: Features, fill: dict[str, object], scale: dict[str, tuple[float, float]]) -> SQLTransformer:
+    """Imputation and standardisation as one projection with the learned values as literals."""
+    numeric = [
+        f"(coalesce(nanvl(cast(`{c}` as double), null), {float(fill[c])!r}D) - ({scale[c][0]!r}D)) / {scale[c][1]!r}D AS `{c}__n`"
+        for c in features.numeric
+    ]
+    text = [f"coalesce(cast(`{c}` as string), {_sql_text(str(fill[c]))}) AS `{c}__c`" for c in features.categorical]
     return SQLTransformer(statement=f"SELECT *, {', '.join(numeric + text)} FROM __THIS__")
 
 
-def preprocessing(features: Features, values: dict[str, object]) -> list:
+def preprocessing(df: DataFrame, features: Features) -> list:
     """Impute, scale the numbers, one-hot the labels; labels unseen in training become all zeros."""
-    stages: list = [_impute_stage(features, values)]
-    inputs = []
-    if features.numeric:
-        stages += [
-            VectorAssembler(inputCols=[f"{c}__n" for c in features.numeric], outputCol="_numbers"),
-            StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
-        ]
-        inputs.append("_scaled")
+    fill = impute_values(df, features)
+    stages: list = [_shape_stage(features, fill, scaling_values(df, features, fill))]
+    inputs = [f"{c}__n" for c in features.numeric]
     if features.categorical:
         stages += [
             StringIndexer(
@@ -112,8 +121,7 @@ def train(df: DataFrame, features: Features, label: str = "viral_label", trees:
         labelCol=label, featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.05,
         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED,
     )
-    stages = [*preprocessing(features, impute_values(df, features)), booster]
-    return Pipeline(stages=stages).fit(df)
+    return Pipeline(stages=[*preprocessing(df, features), booster]).fit(df)
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Features | None = None, digits: int | None = 4) -> DataFrame:
