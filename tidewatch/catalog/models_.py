@@ -51,7 +51,7 @@ _TOXICITY = _lexicon_sql(HARMS, None, True)
 
 
 def _raw(t: Tables):
-    return t.documents.select(F.col("doc_id").alias("id"), "text")
+    return t.texts().select(F.col("doc_id").alias("id"), "text")
 
 
 def _named(df, prefix: str):
@@ -60,14 +60,12 @@ def _named(df, prefix: str):
 
 @query("i1_sentiment_scoring", _SENTIMENT[1], RAW, _SENTIMENT[0])
 def i1(t: Tables):
-    scores = scoring.lexicon_scores(F.col("text"), FEELINGS, "neutral")
-    return _named(scoring.score_text(_raw(t), "text", "sentiment", scores, list(FEELINGS)), "sentiment")
+    return _named(scoring.score_lexicon(_raw(t), "text", "sentiment", FEELINGS, "neutral"), "sentiment")
 
 
 @query("i2_emotion_scoring", _EMOTION[1], RAW, _EMOTION[0])
 def i2(t: Tables):
-    scores = scoring.lexicon_scores(F.col("text"), EMOTIONS, "neutral")
-    return _named(scoring.score_text(_raw(t), "text", "emotion", scores, list(EMOTIONS)), "emotion")
+    return _named(scoring.score_lexicon(_raw(t), "text", "emotion", EMOTIONS, "neutral"), "emotion")
 
 
 @query("i3_toxicity_scoring", _TOXICITY[1], RAW, _TOXICITY[0])
@@ -100,7 +98,7 @@ def i4(t: Tables):
 
 @query("i5_text_embeddings")
 def i5(t: Tables):
-    rows = topics.embed(t.documents.select("doc_id", "text"), "text", "embedding", stop_words=STOP_WORDS)
+    rows = topics.embed(t.texts().select("doc_id", "text"), "text", "embedding", stop_words=STOP_WORDS)
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return rows.select("doc_id", F.size("embedding").alias("dims"), F.round(F.sqrt(squares), 4).alias("norm"))
 
@@ -125,11 +123,11 @@ def i6_count(t: Tables):
       SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents)
     WHERE NOT list_contains({SQL_STOPS}, term) GROUP BY term ORDER BY n DESC, term LIMIT 2000""")
 def i7(t: Tables):
-    return topics.term_counts(t.documents, "text", STOP_WORDS)
+    return topics.term_counts(t.texts(), "text", STOP_WORDS)
 
 
 def _topics(t: Tables):
-    rows = stage(t.documents.select("doc_id", "text", F.col("source").alias("keyword")), "lda")
+    rows = stage(t.texts().select("doc_id", "text", F.col("source").alias("keyword")), "lda")
     return topics.model_topics(rows, "text", STOP_WORDS, iterations=3)
 
 
@@ -171,7 +169,7 @@ def _topic_score(phrases) -> str:
       SELECT source, {', '.join(f'{_topic_score(p)} AS s{i}' for i, p in enumerate(TOPICS.values()))} FROM documents GROUP BY source))
     WHERE best > 0""")
 def i12(t: Tables):
-    return narratives.lexicon_names(t.documents, TOPICS, "source", "text")
+    return narratives.lexicon_names(t.texts(), TOPICS, "source", "text")
 
 
 @query("i12_modal_topic_names", """
@@ -194,7 +192,7 @@ def i12_modal(t: Tables):
       SELECT cluster, unnest(w) AS term FROM words
       UNION ALL SELECT cluster, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words)""")
 def i13(t: Tables):
-    rows = t.documents.select(F.col("source").alias("cluster"), "text")
+    rows = t.texts().select(F.col("source").alias("cluster"), "text")
     return narratives.term_names(rows, STOP_WORDS, "cluster", "text")
 
 

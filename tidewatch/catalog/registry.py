@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidewatch.operators.lookups import with_group_size
 from tidewatch.operators.slicing import running_totals
+from tidewatch.sources.files import spread
 
 
 @dataclass(frozen=True)
@@ -102,6 +103,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def texts(self) -> DataFrame:
+        """Documents for text-heavy work, dealt out over the cores if they came in a few files."""
+        return spread(self.documents)
+
     def snapshot_events(self) -> DataFrame:
         """Events as increments, before they are summed up per item."""
         return self.events.selectExpr(
@@ -120,7 +125,7 @@ class Tables:
         return rows.withColumn("engagement_rate", F.expr(rate))
 
     def video(self) -> DataFrame:
-        return self.documents.selectExpr(
+        return self.texts().selectExpr(
             "CAST(doc_id AS STRING) AS video_id", "doc_id AS ord", "source AS keyword",
             "source AS channel_title", "concat('Report from ', source, ' in ', lang) AS title",
             "text AS description",

@@ -12,10 +12,13 @@ from tidewatch.constants import ANALYSIS_ORDER, CHUNK_CHARS, EMOJI_RUN, RISK_PHR
 # Whitespace as Unicode defines it, plus the four ASCII separators Java leaves out.
 _SPACE = r"[\s\x1c-\x1f]"
 _SOLID = r"[^\s\x1c-\x1f]"
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -28,35 +31,38 @@ def normalise(c: Column) -> Column:
     t = F.regexp_replace(t, rf"(?U)http{_SOLID}+", "")
     t = F.regexp_replace(t, rf"(?U)www{_SOLID}+", "")
     t = F.regexp_replace(t, r"@[\p{L}\p{N}_]+", "")
-    t = F.translate(t, "#", "")
+    t = F.replace(t, F.lit("#"), F.lit(""))
     return F.trim(F.regexp_replace(t, rf"(?U){_SPACE}+", " "))
 
 
 def word_count(clean: Column) -> Column:
     """Words of text that ``normalise`` already reduced to single spaces."""
-    spaces = F.length(clean) - F.length(F.translate(clean, " ", ""))
-    return F.when(clean == "", 0).otherwise(spaces + 1).cast("int")
+    return F.when(clean == "", 0).otherwise(occurrences(clean, " ") + 1).cast("int")
 
 
 def emoji_runs(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(EMOJI_RUN))
+    """Runs of emoji. Every counted code point starts with the bytes F0 9F, so other texts skip the pattern."""
+    possible = F.contains(c.cast("binary"), F.lit(bytes((0xF0, 0x9F))))
+    return F.when(possible, F.regexp_count(c, F.lit(EMOJI_RUN))).otherwise(F.lit(0))
 
 
 def occurrences(c: Column, char: str) -> Column:
-    return (F.length(c) - F.length(F.translate(c, char, ""))).cast("int")
+    return (F.length(c) - F.length(F.replace(c, F.lit(char), F.lit("")))).cast("int")
+
+
+def hits(lowered: Column, phrases: Sequence[str]) -> Column:
+    """How many of the phrases occur in text already in lower case, as substrings."""
+    return sum((F.contains(lowered, F.lit(p)).cast("int") for p in phrases), F.lit(0))
 
 
 def phrase_score(c: Column, phrases: Sequence[str] = RISK_PHRASES, fold_lexicon: bool = True) -> Column:
-    """How many of the phrases occur in the lower-cased text, as substrings.
+    """How many of the phrases occur in the lower-cased text; the text is lowered once.
 
     ``fold_lexicon=False`` leaves phrases as written, so those with capitals never match.
     """
-    text = F.lower(F.coalesce(c, F.lit("")))
-    score = F.lit(0)
-    for phrase in phrases:
-        needle = phrase.lower() if fold_lexicon else phrase
-        score = score + F.contains(text, F.lit(needle)).cast("int")
-    return score
+    needles = [p.lower() if fold_lexicon else p for p in phrases]
+    one = F.array(F.lower(F.coalesce(c, F.lit(""))))
+    return F.element_at(F.transform(one, lambda t: hits(t, needles)), 1)
 
 
 def any_phrase(c: Column, phrases: Sequence[str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.labels import SENTIMENT_CLASSES, decode_label, top_label
-from tidewatch.functions.text import chunks, strip
+from tidewatch.functions.text import chunks, hits, strip
 
 Scorer = Callable[[list[str]], list[Mapping[str, float]]]
 Translator = Callable[[list[str]], list[str]]
@@ -32,20 +32,24 @@ TOXICITY_WORDS = {
 NON_TOXIC_BELOW = 0.5
 
 
-def lexicon_scores(text: Column, lexicon: Mapping[str, Sequence[str]], resting: str | None = None) -> Column:
-    """label -> share of found phrases; with nothing found the resting label has score 1."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    hits = {
-        label: sum((F.contains(lowered, F.lit(p)).cast("int") for p in phrases), F.lit(0))
-        for label, phrases in lexicon.items()
-    }
-    total = sum(hits.values(), F.lit(0))
-    entries = []
-    for label, n in hits.items():
-        idle = 1.0 if label == resting else 0.0
-        share = F.when(total > 0, F.try_divide(n.cast("double"), total.cast("double"))).otherwise(F.lit(idle))
-        entries += [F.lit(label), share]
-    return F.create_map(*entries)
+def score_lexicon(df: DataFrame, text: str, prefix: str, lexicon: Mapping[str, Sequence[str]], resting: str | None = None, floor: float | None = None, floor_label: str = "", max_chars: int | None = None) -> DataFrame:
+    """Add ``<prefix>_label`` and ``<prefix>_score``: each label's share of the found phrases.
+
+    With nothing found the ``resting`` label has score 1. The text is lowered once and each
+    phrase looked for once; only the hit counts are used after that.
+    """
+    names = list(lexicon)
+    counted = df.withColumn("_low", F.lower(_input(text, max_chars))).withColumn(
+        "_hits", F.array(*[hits(F.col("_low"), lexicon[n]) for n in names])
+    )
+    total = F.aggregate("_hits", F.lit(0), lambda a, x: a + x)
+    shared = counted.withColumn("_total", total)
+    idle = F.create_map(*[F.lit(x) for n in names for x in (n, 1.0 if n == resting else 0.0)])
+    share = F.map_from_arrays(
+        F.array(*[F.lit(n) for n in names]), F.transform("_hits", lambda h: F.try_divide(h.cast("double"), F.col("_total")))
+    )
+    scores = F.when(F.col("_total") > 0, share).otherwise(idle)
+    return score_text(shared, prefix, scores, names, floor, floor_label).drop("_low", "_hits", "_total")
 
 
 def scorer_udf(scorer: Scorer):
@@ -72,7 +76,7 @@ def scorer_udf(scorer: Scorer):
     return apply
 
 
-def score_text(df: DataFrame, text: str, prefix: str, scores: Column, order: Sequence[str], floor: float | None = None, floor_label: str = "", decode: Mapping[str, str] | None = None) -> DataFrame:
+def score_text(df: DataFrame, prefix: str, scores: Column, order: Sequence[str], floor: float | None = None, floor_label: str = "", decode: Mapping[str, str] | None = None) -> DataFrame:
     """Add ``<prefix>_label`` and ``<prefix>_score`` from a label -> score map column."""
     best = df.withColumn("_m", scores).withColumn("_b", top_label(F.col("_m"), order, floor, floor_label))
     label = decode_label(F.col("_b.label"), dict(decode)) if decode else F.col("_b.label")
@@ -80,29 +84,30 @@ def score_text(df: DataFrame, text: str, prefix: str, scores: Column, order: Seq
 
 
 def _input(text: str, max_chars: int | None) -> Column:
+    """The text given to a scorer: whole, unless the model takes only its first characters."""
     c = F.coalesce(F.col(text), F.lit(""))
     return c if max_chars is None else F.substring(c, 1, max_chars)
 
 
 def score_sentiment(df: DataFrame, text: str, scorer: Scorer | None = None, max_chars: int | None = None) -> DataFrame:
     if scorer is None:
-        scores = lexicon_scores(_input(text, max_chars), SENTIMENT_WORDS, "neutral")
-        return score_text(df, text, "sentiment", scores, list(SENTIMENT_WORDS))
+        return score_lexicon(df, text, "sentiment", SENTIMENT_WORDS, "neutral", max_chars=max_chars)
     raw = scorer_udf(scorer)(_input(text, max_chars))
     order = list(SENTIMENT_CLASSES) + list(SENTIMENT_CLASSES.values())
-    return score_text(df, text, "sentiment", raw, order, decode=SENTIMENT_CLASSES)
+    return score_text(df, "sentiment", raw, order, decode=SENTIMENT_CLASSES)
 
 
 def score_emotion(df: DataFrame, text: str, scorer: Scorer | None = None, max_chars: int | None = None) -> DataFrame:
-    source = _input(text, max_chars)
-    scores = scorer_udf(scorer)(source) if scorer else lexicon_scores(source, EMOTION_WORDS, "neutral")
-    return score_text(df, text, "emotion", scores, list(EMOTION_WORDS))
+    if scorer is None:
+        return score_lexicon(df, text, "emotion", EMOTION_WORDS, "neutral", max_chars=max_chars)
+    return score_text(df, "emotion", scorer_udf(scorer)(_input(text, max_chars)), list(EMOTION_WORDS))
 
 
 def score_toxicity(df: DataFrame, text: str, scorer: Scorer | None = None, max_chars: int | None = None) -> DataFrame:
-    source = _input(text, max_chars)
-    scores = scorer_udf(scorer)(source) if scorer else lexicon_scores(source, TOXICITY_WORDS)
-    return score_text(df, text, "toxicity", scores, list(TOXICITY_WORDS), NON_TOXIC_BELOW, "non_toxic")
+    below = (NON_TOXIC_BELOW, "non_toxic")
+    if scorer is None:
+        return score_lexicon(df, text, "toxicity", TOXICITY_WORDS, None, *below, max_chars)
+    return score_text(df, "toxicity", scorer_udf(scorer)(_input(text, max_chars)), list(TOXICITY_WORDS), *below)
 
 
 def translate_column(df: DataFrame, column: str, out: str, translator: Translator | None = None) -> DataFrame:

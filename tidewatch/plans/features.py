@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.constants import RISK_PHRASES
 from tidewatch.functions import temporal, text
 from tidewatch.functions.numeric import flag, number
 from tidewatch.functions.scores import VIRALITY_WEIGHTS, engagement, weighted
@@ -45,7 +46,9 @@ def with_content(df: DataFrame) -> DataFrame:
 
 
 def with_risk(df: DataFrame, source: str = "analysis_text_clean", fold_lexicon: bool = True) -> DataFrame:
-    scored = df.withColumn("pharma_risk_score", text.phrase_score(F.col(source), fold_lexicon=fold_lexicon))
+    """Risk phrases found in a text column that is in lower case already."""
+    needles = [p.lower() if fold_lexicon else p for p in RISK_PHRASES]
+    scored = df.withColumn("pharma_risk_score", text.hits(F.coalesce(source, F.lit("")), needles))
     return scored.withColumn("pharma_risk_label", text.risk_label(F.col("pharma_risk_score")))
 
 

@@ -95,3 +95,13 @@ def read_latest(spark: SparkSession, pattern: str, schema: T.StructType, fmt: st
 
 def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.parquet(path).select(*columns)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table of a few files out over all cores.
+
+    For CPU-heavy work on a small table, whose files may each hold one unsplittable row
+    group. A table of at least as many files as cores is returned as it is, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
