@@ -135,7 +135,8 @@ def ordered_concat(df: DataFrame, key: str, order: Sequence[str], text: Column,
 
     named = df.withColumn("_text", strip(text))
     sliced, cut = with_slices(named, key, order[0], limit)
-    ranked = F.struct(*[F.col(c) for c in order], F.col("_text"))
+    nulls_last = [x for c in order for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))]
+    ranked = F.struct(*nulls_last, F.col("_text"))
 
     def joined(column: str, field: str) -> Column:
         texts = F.transform(F.array_sort(F.collect_list(column)), lambda x: x[field])
