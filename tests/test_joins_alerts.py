@@ -98,7 +98,7 @@ def test_alert_invariants(scored):
 
 
 def test_alert_columns_and_label_order(scored):
-    got = alerting.build_alerts(scored, materialise=False)
+    got = alerting.build_alerts(scored)
     assert got.columns == [c for c in ALERT_COLUMNS if c in got.columns]
     assert "ravs_score_range" in got.columns and "alert_score_range" not in got.columns
     assert "alert_score_range" in alerting.scored_alerts(scored, label_after_score=True).columns

@@ -74,11 +74,13 @@ def resolvable(targets: DataFrame, details: DataFrame, key: str = "video_id") ->
     return targets.join(details.select(key), key, "left_semi")
 
 
-def with_group_size(df: DataFrame, key: str, out: str = "cluster_volume") -> DataFrame:
+def with_group_size(df: DataFrame, key: str, out: str = "cluster_volume", sizes: DataFrame | None = None, bounded: bool = True) -> DataFrame:
     """Rows per group as a column.
 
-    Counted by a partial aggregate and joined back: the groups are at most the cluster count,
-    so the count table is broadcast and a large group is never gathered in one task.
+    Counted by a partial aggregate and joined back, so a large group is never gathered in one
+    task. ``bounded`` says that the groups are clusters, of which there are at most fifty; a table
+    of any other groups is counted before it is broadcast.
     """
-    sizes = df.groupBy(key).agg(F.count("*").alias(out))
-    return df.join(F.broadcast(sizes), key, "left")
+    if sizes is None:
+        sizes = df.groupBy(key).agg(F.count("*").alias(out))
+    return df.join(F.broadcast(sizes) if bounded else small(sizes), key, "left")

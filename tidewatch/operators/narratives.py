@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.scores import NARRATIVE_WEIGHTS, weighted
 from tidewatch.operators.lookups import with_group_size
-from tidewatch.operators.quantiles import exact_quantiles
+from tidewatch.operators.quantiles import quantiles_once
 
 NEIGHBOUR_ROWS = 1000
 _MASK_BITS = 60
@@ -142,15 +142,15 @@ def neighbour_scores(df: DataFrame, order: str, vector: str, rows: int = NEIGHBO
     return joined.withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
-def with_narrative_trend(df: DataFrame, cluster: str = "narrative_cluster_id") -> DataFrame:
-    sized = with_group_size(df.drop("cluster_volume"), cluster, "cluster_volume")
+def with_narrative_trend(df: DataFrame, cluster: str = "narrative_cluster_id", sizes: DataFrame | None = None) -> DataFrame:
+    sized = with_group_size(df.drop("cluster_volume"), cluster, "cluster_volume", sizes)
     return sized.withColumn("narrative_trend_score", weighted(NARRATIVE_WEIGHTS))
 
 
 def with_emerging(df: DataFrame, q: float = 0.95, threshold: float | None = None) -> DataFrame:
     """``emerging`` at or above the quantile of the whole table."""
     if threshold is None:
-        threshold = exact_quantiles(df, {"t": (F.col("narrative_trend_score"), q)})["t"]
+        threshold = quantiles_once(df, {"t": (F.col("narrative_trend_score"), q)})["t"]
     hit = F.lit(False) if threshold is None else F.col("narrative_trend_score") >= F.lit(threshold)
     return df.withColumn(
         "emerging_narrative", F.when(F.coalesce(hit, F.lit(False)), "emerging").otherwise("normal")

@@ -7,7 +7,10 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import stage
+
 SMALL = 2_000_000
+_COLLECTED = 100_000
 _ACCURACY = 10_000
 
 
@@ -15,39 +18,39 @@ def _lerp(a: float, b: float, t: float) -> float:
     return a if a == b else a + (b - a) * t
 
 
-def _ranked_values(values: DataFrame, ranks: list[int], n: int, small: int) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of the non-null column ``x``.
+def _value_at(values: DataFrame, rank: int, n: int, limit: int) -> float:
+    """Value at a 0-based rank of the non-null column ``x``, which has ``n`` rows.
 
-    Each round brackets the ranks with an approximate percentile, whose rank error is
-    bounded, and keeps only rows inside the bracket, until few distinct values are left.
+    Each round takes an approximate percentile on either side of the rank, answers if the
+    rank falls on one of the two values, and else keeps the rows strictly between them: a
+    small share of the rows, however many equal values there are.
     """
-    low, high, below, inside = None, None, 0, n
-    rows = values
-    while inside > small:
+    x, rows, below, inside = F.col("x"), values, 0, n
+    while inside > limit:
         margin = 2.0 / _ACCURACY
-        first = max(0.0, (ranks[0] - below) / inside - margin)
-        last = min(1.0, (ranks[-1] - below + 1) / inside + margin)
-        a, b = rows.agg(F.percentile_approx("x", [first, last], _ACCURACY)).first()[0]
-        if (a, b) == (low, high):
-            break
-        row = values.agg(
-            F.count_if(F.col("x") < a).alias("below"),
-            F.count_if(F.col("x").between(a, b)).alias("inside"),
+        shares = [max(0.0, (rank - below) / inside - margin), min(1.0, (rank + 1 - below) / inside + margin)]
+        low, high = rows.agg(F.percentile_approx("x", shares, _ACCURACY)).first()[0]
+        part = rows.agg(
+            F.count_if(x < low).alias("under"), F.count_if(x == low).alias("low"),
+            F.count_if((x > low) & (x < high)).alias("between"), F.count_if(x <= high).alias("upto"),
         ).first()
-        if not (row["below"] <= ranks[0] and ranks[-1] < row["below"] + row["inside"]):
-            break
-        low, high, below, inside = a, b, row["below"], row["inside"]
-        rows = values.where(F.col("x").between(a, b))
-        if a == b:
-            return {r: a for r in ranks}
-    counts = rows.groupBy("x").agg(F.count("*").alias("n")).orderBy("x").collect()
-    found, seen = {}, below
-    for row in counts:
+        under, middle, last = below + part["under"], below + part["under"] + part["low"], below + part["upto"]
+        if under <= rank < middle:
+            return low
+        if middle + part["between"] <= rank < last:
+            return high
+        if middle <= rank < last:
+            rows, below, inside = rows.where((x > low) & (x < high)), middle, part["between"]
+        elif rank < under:
+            rows, inside = rows.where(x < low), part["under"]
+        else:
+            rows, below, inside = rows.where(x > high), last, below + inside - last
+    seen = below
+    for row in rows.groupBy("x").agg(F.count("*").alias("n")).orderBy("x").collect():
         seen += row["n"]
-        for r in ranks:
-            if r not in found and r < seen:
-                found[r] = row["x"]
-    return found
+        if rank < seen:
+            return row["x"]
+    raise ValueError(f"rank {rank} of {n} rows")
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], small: int = SMALL) -> dict[str, float | None]:
@@ -71,11 +74,19 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], smal
             n, position = sizes[name], wanted[name][1] * (sizes[name] - 1)
             lo, hi = floor(position), ceil(position)
             values = narrow.select(F.col(name).alias("x")).where("x is not null")
-            at = _ranked_values(values, sorted({lo, hi}), n, small)
-            out[name] = _lerp(at[lo], at[hi], position - lo)
+            limit = min(small, _COLLECTED)
+            first = _value_at(values, lo, n, limit)
+            out[name] = first if lo == hi else _lerp(first, _value_at(values, hi, n, limit), position - lo)
     return out
 
 
+def quantiles_once(df: DataFrame, wanted: dict[str, tuple[Column, float]], small: int = SMALL) -> dict[str, float | None]:
+    """``exact_quantiles`` of a computed table: only the asked-for values are written and then
+    read several times, so its plan runs once and with no other column."""
+    narrow = stage(df.select(*[c.alias(n) for n, (c, _) in wanted.items()]), "quantiles")
+    return exact_quantiles(narrow, {n: (F.col(n), q) for n, (_, q) in wanted.items()}, small)
+
+
 def bounds(df: DataFrame, columns: dict[str, Column]) -> dict[str, tuple[float | None, float | None]]:
     """(min, max) of each expression, in one pass."""
     aggs = [f(c).alias(f"{p}{n}") for n, c in columns.items() for p, f in (("lo_", F.min), ("hi_", F.max))]

@@ -31,14 +31,18 @@ def latest_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 def latest_values(df: DataFrame, key: str, time: str, tiebreak: str, columns: Sequence[str]) -> DataFrame:
     """Newest non-null value of each column; rows without a time count as newest.
 
-    ``max_by`` combines on the map side, so a hot key is one small buffer per task.
+    (key, time) is unique in a snapshot table; rows without a time follow their ``tiebreak``
+    number. Order and values are plain numbers, so the aggregate hashes, combines on the map
+    side, and a hot key is one small buffer per task.
     """
-    rank = F.struct(F.col(time).isNull(), F.col(time), F.col(tiebreak))
+    undated = F.lit(1 << 62) + F.coalesce(F.col(tiebreak).try_cast("bigint"), F.lit(0))
+    rank = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), undated)
+    ranked = df.withColumn("_rank", rank)
 
     def newest(c: str) -> Column:
-        return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(c)
+        return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_rank"))).alias(c)
 
-    return df.groupBy(key).agg(*[newest(c) for c in columns])
+    return ranked.groupBy(key).agg(*[newest(c) for c in columns])
 
 
 def best_alerts(alerts: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 A plain ``Window.partitionBy(key)`` puts one key into one task. Keys above a row limit
 are cut into consecutive slices of their order column; windows then run per (key, slice)
 and a small carry table, with a bounded number of rows per slice, links the slices. There are at
-most rows / limit hot keys and about twice as many slices, so the hot-key list and the
-carry table may be broadcast. Without hot keys the plan is the plain window.
+most rows / limit hot keys and about twice as many slices, so the list of cuts is broadcast;
+the carry table joins on the window's own partitioning and moves no row of the big side.
+Without hot keys the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -42,12 +43,20 @@ def with_slices(df: DataFrame, key: str, order: str, limit: int = HOT_ROWS) -> t
     spark = df.sparkSession
     pieces = min(10_000, 1 + max(ceil(r["n"] / limit) for r in hot))
     steps = [i / pieces for i in range(1, pieces)]
-    names = spark.createDataFrame([(r[key],) for r in hot], T.StructType([df.schema[key]]))
+    schema = T.StructType([df.schema[key], T.StructField("_n", T.LongType())])
+    named = spark.createDataFrame([(r[key], r["n"]) for r in hot], schema)
+    # Each key keeps cuts in proportion to its rows, so all cuts together are about rows / limit.
+    own = F.least(F.lit(pieces), F.ceil(F.col("_n") / limit).cast("int") + 1)
     cuts = (
         df.select(key, _position(df, order).alias("_p"))
-        .join(F.broadcast(names), key)
-        .groupBy(key)
-        .agg(F.array_distinct(F.percentile_approx("_p", steps, 100 * pieces)).alias("_cuts"))
+        .join(F.broadcast(named), key)
+        .groupBy(key, "_n")
+        .agg(F.percentile_approx("_p", steps, 100 * pieces).alias("_grid"))
+        .withColumn("_own", own)
+        .select(key, F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.col("_own") - 1),
+            lambda i: F.element_at("_grid", F.floor(i * pieces / F.col("_own")).cast("int")),
+        )).alias("_cuts"))
     )
     position = _position(df, order)
     sliced = df.join(F.broadcast(cuts), key, "left").withColumn(
@@ -94,7 +103,7 @@ def previous_rows(df: DataFrame, key: str, order: Sequence[str], columns: Sequen
         "_l1": F.lag(payload, 1).over(w),
         "_l2": F.lag(payload, 2).over(w),
     })
-    linked = local.join(F.broadcast(carry), [key, _SLICE], "left")
+    linked = local.join(carry, [key, _SLICE], "left")
     return linked.withColumns({
         "_prev1": F.when(F.col("_rn") == 1, F.col("_c1")).otherwise(F.col("_l1")),
         "_prev2": F.when(F.col("_rn") == 1, F.col("_c2"))
@@ -118,7 +127,7 @@ def running_totals(df: DataFrame, key: str, order: Sequence[str], totals: dict[s
         .select(key, _SLICE, *[F.sum(f"_t_{n}").over(before).alias(f"_b_{n}") for n in totals])
     )
     local = sliced.withColumns({f"_s_{n}": F.sum(c).over(w) for n, c in totals.items()})
-    linked = local.join(F.broadcast(carry), [key, _SLICE], "left")
+    linked = local.join(carry, [key, _SLICE], "left")
     zero = F.lit(0)
     return linked.withColumns(
         {n: F.col(f"_s_{n}") + F.coalesce(F.col(f"_b_{n}"), zero) for n in totals}

@@ -61,5 +61,5 @@ def run_once(spark: SparkSession, tables: Tables, videos: DataFrame, as_of: Colu
     if model is None:
         return found
     sinks.overwrite(virality.predict_with_ranges(model, found), tables.predictions)
-    sinks.write_alerts(alerting.build_alerts(spark.read.parquet(tables.predictions), materialise=False), tables.alerts)
+    sinks.write_alerts(alerting.build_alerts(spark.read.parquet(tables.predictions)), tables.alerts)
     return spark.read.parquet(tables.alerts)

@@ -11,12 +11,11 @@ from tidewatch.functions.numeric import flag, number, plain
 from tidewatch.functions.scores import TREND_WEIGHTS, weighted
 from tidewatch.functions.temporal import hours_between
 from tidewatch.operators.lookups import refresh_metrics
-from tidewatch.operators.quantiles import exact_quantiles
+from tidewatch.operators.quantiles import quantiles_once
 from tidewatch.operators.ranking import latest_values
 from tidewatch.operators.shaping import ensure_columns, existing_only
 from tidewatch.operators.slicing import HOT_ROWS, previous_rows
 from tidewatch.constants import LIVE_METRICS
-from tidewatch.session import stage
 from tidewatch.sources.schemas import TRACKING_HISTORY
 
 COUNTS = ["view_count", "like_count", "comment_count"]
@@ -111,7 +110,7 @@ def with_trend_score(df: DataFrame) -> DataFrame:
 
 
 def trend_thresholds(df: DataFrame, q: float = 0.95) -> dict[str, float | None]:
-    return exact_quantiles(df, {
+    return quantiles_once(df, {
         "trend": (plain("trend_score"), q), "acceleration": (plain("growth_acceleration"), q),
     })
 
@@ -138,9 +137,12 @@ def tracking_rows(history: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
 
 
 def build_tracking(history: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
-    """All tracking features. The windowed rows are written once; the thresholds then read
-    two of their columns instead of running the windows again."""
-    rows = stage(tracking_rows(history, limit), "tracking")
+    """All tracking features.
+
+    The thresholds come from a first pass over counts and times only; the second pass carries
+    the texts. Writing the wide rows in between would cost more than that narrow pass.
+    """
+    rows = tracking_rows(history, limit)
     return with_trend_labels(rows, trend_thresholds(rows))
 
 

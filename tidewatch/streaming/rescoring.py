@@ -8,11 +8,9 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
-from tidewatch.functions.numeric import plain
 from tidewatch.operators import alerts as rules
-from tidewatch.operators.quantiles import bounds
 from tidewatch.operators.ranking import best_alerts
-from tidewatch.plans.alerting import scored_alerts
+from tidewatch.plans.alerting import learn, scored_alerts
 from tidewatch.streaming.ingest import batch_table, write_batch
 
 _LIMITS = ("trend_low", "trend_high", "risk_low", "risk_high")
@@ -20,9 +18,8 @@ _LIMITS = ("trend_low", "trend_high", "risk_low", "risk_high")
 
 def save_thresholds(df: DataFrame, path: str) -> None:
     """Learn the cut points of a scored table and store them as one row."""
-    rows = rules.prepare(df)
-    found = bounds(rows, {"trend": plain("trend_score"), "risk": plain("pharma_risk_score")})
-    row = asdict(rules.learn_thresholds(rows)) | dict(zip(_LIMITS, (*found["trend"], *found["risk"])))
+    thresholds, limits = learn(df)
+    row = asdict(thresholds) | dict(zip(_LIMITS, (*limits["trend"], *limits["risk"])))
     ddl = ", ".join(f"{c} {'int' if c == 'subscribers' else 'double'}" for c in row)
     df.sparkSession.createDataFrame([tuple(row.values())], ddl).coalesce(1).write.mode("overwrite").parquet(path)
 
