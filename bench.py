@@ -14,11 +14,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 # One query per stage of a monitoring run, then single operators on the widest inputs.
 HEADLINE = [
-    "c2_attach_comment_text", "feature_table", "d12_last_non_null", "tracking_table", "h18_trend_score",
-    "i6_narrative_clustering", "i12_cluster_naming_by_lexicon", "c8_nearest_neighbour_score", "h23_emerging_flag",
-    "i1_sentiment_scoring", "i4_column_translation", "i7_term_counts", "h1_normalise_text", "h5_risk_phrase_score",
-    "h25_ravs_score", "alert_table", "d17_roc_auc", "d20_metrics_row", "e5_dedup_keep_best", "j1_overview_kpis",
-    "j5_top_clusters", "j9_scenario_pick", "j11_top_narratives", "k1_incremental_ingest", "k2_stateful_velocity",
+    "clean_table", "feature_table", "tracking_table", "narrative_table", "i18_score", "alert_table", "k1_incremental_ingest",
+    "k2_stateful_velocity", "c2_attach_comment_text", "c8_nearest_neighbour_score", "d12_last_non_null", "d17_roc_auc",
+    "d20_metrics_row", "e5_dedup_keep_best", "h1_normalise_text", "h5_risk_phrase_score", "h18_trend_score",
+    "h23_emerging_flag", "h25_ravs_score", "i1_sentiment_scoring", "i4_column_translation", "i6_narrative_clustering",
+    "i7_term_counts", "i12_cluster_naming_by_lexicon", "j1_overview_kpis", "j5_top_clusters", "j9_scenario_pick",
+    "j11_top_narratives",
 ]
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog.registry import V_SCORED, V_SNAP, Tables, query, rounded
+from tidewatch.catalog.models_ import STOP_WORDS, TOPICS
+from tidewatch.catalog.registry import V_COMMENT, V_SCORED, V_SNAP, V_VIDEO, Tables, query, rounded
 from tidewatch.catalog.scalars_ import ALERT_SCORE, AS_OF, V_RAVS, V_TIMES
+from tidewatch.catalog.shaping_ import STRIP
 from tidewatch.catalog.windows_ import V_CUTS, V_FIRED, V_TRACK
 from tidewatch.operators import alerts as rules
 from tidewatch.operators import ranking
-from tidewatch.plans import alerting, cleaning, features, tracking, views
+from tidewatch.plans import alerting, cleaning, features, narrative, tracking, views
 
 V_ALERTS = f"""v_alerts AS (
   SELECT f.video_id, s.title, f.alert_type, f.alert_priority, CASE f.alert_type {' '.join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in rules.RULES.items())} END
@@ -48,6 +50,16 @@ def tracking_table(t: Tables):
     ))
 
 
+@query("clean_table", f"""
+    SELECT video_id, mins * 60 + hrs * 3600 AS duration_seconds, comments_text_full,
+      {STRIP.format("concat_ws(chr(10), keyword, title, " + STRIP.format('description') + ", nullif(comments_text_full, ''), channel_title)")} AS analysis_text_en
+    FROM (SELECT v.*, CAST(ord % 3 AS INTEGER) AS hrs, CAST(ord % 60 AS INTEGER) AS mins, coalesce(c.comments_text, '') AS comments_text_full
+      FROM v_video v LEFT JOIN (SELECT video_id, string_agg({STRIP.format('text')}, chr(10) || chr(10) ORDER BY comment_id) AS comments_text
+        FROM v_comment WHERE {STRIP.format('text')} <> '' GROUP BY video_id) c ON v.video_id = c.video_id)""", V_VIDEO, V_COMMENT)
+def clean_table(t: Tables):
+    return cleaning.clean_items(t.video(), t.comment()).select("video_id", "duration_seconds", "comments_text_full", "analysis_text_en")
+
+
 @query("feature_table")
 def feature_table(t: Tables):
     clean = cleaning.clean_items(t.video(), t.comment())
@@ -58,6 +70,18 @@ def feature_table(t: Tables):
     ))
 
 
+@query("narrative_table")
+def narrative_table(t: Tables):
+    rows = t.texts().selectExpr(
+        "CAST(doc_id AS STRING) AS video_id", "doc_id AS ord", "text AS analysis_text_en", "1E0 AS virality_score",
+        "CAST(n_chars % 50 AS DOUBLE) AS trend_score",
+    )
+    return narrative.build_narratives(rows, TOPICS, STOP_WORDS, order="ord").select(
+        "video_id", "narrative_cluster_id", "cluster_topic_name", "dominant_topic_id", "topic_keywords",
+        "narrative_similarity_score", "cluster_volume", "narrative_trend_score", "emerging_narrative",
+    )
+
+
 @query("j1_overview_kpis", """
     SELECT count(*) AS total_videos, count(*) FILTER (WHERE emerging_narrative = 'emerging') AS emerging_narratives,
       count(*) FILTER (WHERE ravs_score >= 0.7E0) AS high_risk, round(avg(viral_probability), 6) AS avg_viral_score,
@@ -135,13 +159,9 @@ TIER = "CASE WHEN {0} >= 70 THEN 'High Risk' WHEN {0} >= 35 THEN 'Medium Risk' E
       UNION ALL SELECT * FROM (SELECT 'Highest Viral Threat', video_id FROM v_scored ORDER BY viral_probability DESC, ord LIMIT 1)
       UNION ALL SELECT * FROM (SELECT 'Highest Toxicity Signal', video_id FROM v_scored ORDER BY toxicity_score DESC, ord LIMIT 1))""")
 def j9(t: Tables):
-    out = None
-    for scenario in ranking.SCENARIOS:
-        card = views.scenario_card(t.scored(), scenario, "ord").select(
-            "scenario", "video_id", "ravs_total", "risk_tier", "time_to_virality", "response_window"
-        )
-        out = card if out is None else out.unionByName(card)
-    return out
+    return views.scenario_cards(t.scored(), "ord").select(
+        "scenario", "video_id", "ravs_total", "risk_tier", "time_to_virality", "response_window"
+    )
 
 
 @query("j10_top_risk_row", f"""

@@ -134,13 +134,9 @@ def f2(t: Tables):
     UNION ALL SELECT * FROM (SELECT 'Highest Viral Threat', video_id, viral_probability FROM v_scored ORDER BY 3 DESC, ord LIMIT 1)
     UNION ALL SELECT * FROM (SELECT 'Highest Toxicity Signal', video_id, toxicity_score FROM v_scored ORDER BY 3 DESC, ord LIMIT 1)""", V_SCORED)
 def f3(t: Tables):
-    out = None
-    for scenario, columns in ranking.SCENARIOS.items():
-        row = ranking.best_row(t.scored(), scenario, "ord").select(
-            F.lit(scenario).alias("scenario"), "video_id", F.col(columns[0]).alias("score")
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = ranking.best_rows(t.scored(), "ord")
+    chosen = F.create_map(*[x for name, cols in ranking.SCENARIOS.items() for x in (F.lit(name), F.col(cols[0]))])
+    return rows.select("scenario", "video_id", F.element_at(chosen, F.col("scenario")).alias("score"))
 
 
 @query("g1_append_history", """

@@ -110,14 +110,16 @@ def cluster_names(df: DataFrame, topics: Mapping[str, Sequence[str]], stop_words
     return by_topic.unionByName(term_names(unnamed, stop_words, cluster, text))
 
 
-def neighbour_scores(df: DataFrame, order: str, vector: str, rows: int = NEIGHBOUR_ROWS, out: str = "narrative_similarity_score") -> DataFrame:
+def neighbour_scores(df: DataFrame, order: str, vector: str, rows: int = NEIGHBOUR_ROWS, out: str = "narrative_similarity_score", source: DataFrame | None = None) -> DataFrame:
     """Highest cosine of each of the first ``rows`` unit vectors to another of them.
 
     Later rows get 0, which is the measure's definition. The comparison set is at most
     ``rows`` vectors whatever the table size: it goes to the tasks as one matrix, each
-    Arrow batch is one matrix product, and only those rows pass through Python.
+    Arrow batch is one matrix product, and only those rows pass through Python. ``source`` is
+    the table to take the vectors from, where ``df`` has them only after further steps.
     """
-    first = df.select(order, vector).orderBy(order).limit(rows).collect()
+    source = df if source is None else source
+    first = source.select(order, vector).orderBy(order).limit(rows).collect()
     if len(first) < 2:
         return df.withColumn(out, F.lit(0.0))
     ids = [r[order] for r in first]
@@ -136,7 +138,7 @@ def neighbour_scores(df: DataFrame, order: str, vector: str, rows: int = NEIGHBO
             cosine[np.arange(len(keys)), keys.map(place).to_numpy()] = -np.inf
             yield pd.Series(np.round(cosine.max(axis=1), 4))
 
-    sampled = df.where(F.col(order) <= F.lit(ids[-1])).select(order, vector)
+    sampled = source.where(F.col(order) <= F.lit(ids[-1])).select(order, vector)
     scores = sampled.select(order, nearest(order, vector).alias(out))
     joined = df.join(F.broadcast(scores), order, "left")
     return joined.withColumn(out, F.coalesce(out, F.lit(0.0)))

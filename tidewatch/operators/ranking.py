@@ -67,3 +67,15 @@ def best_row(df: DataFrame, scenario: str, tiebreak: str) -> DataFrame:
     order = [F.desc("_score")] if column else []
     score = number(column) if column else F.lit(0.0)
     return df.withColumn("_score", score).orderBy(*order, F.col(tiebreak)).limit(1).drop("_score")
+
+
+def best_rows(df: DataFrame, tiebreak: str) -> DataFrame:
+    """The leading row of every scenario with its name, from one pass over the table."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    leaders = []
+    for scenario, choice in SCENARIOS.items():
+        column = preferred(df.columns, choice)
+        score = number(column) if column else F.lit(0.0)
+        leaders.append(F.struct(F.lit(scenario).alias("scenario"), F.min_by(row, F.struct(-score, F.col(tiebreak))).alias("row")))
+    picked = df.agg(F.array(*leaders).alias("_l")).select(F.inline("_l"))
+    return picked.where("row is not null").select("scenario", "row.*")

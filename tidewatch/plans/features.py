@@ -10,7 +10,7 @@ from tidewatch.functions import temporal, text
 from tidewatch.functions.numeric import flag, number
 from tidewatch.functions.scores import VIRALITY_WEIGHTS, engagement, weighted
 from tidewatch.operators.lookups import new_rows
-from tidewatch.operators.quantiles import exact_quantiles
+from tidewatch.operators.quantiles import quantiles_once
 from tidewatch.operators.scoring import Scorer, score_emotion, score_sentiment, score_toxicity
 from tidewatch.operators.shaping import ensure_columns
 from tidewatch.session import stage
@@ -58,7 +58,7 @@ def with_virality(df: DataFrame) -> DataFrame:
 
 def with_viral_label(df: DataFrame, q: float = 0.95, scope: DataFrame | None = None) -> DataFrame:
     """1 at or above the quantile of this batch, or of ``scope`` (the whole table) where given."""
-    found = exact_quantiles(df if scope is None else scope, {"t": (F.col("virality_score"), q)})["t"]
+    found = quantiles_once(df if scope is None else scope, {"t": (F.col("virality_score"), q)})["t"]
     hit = F.lit(False) if found is None else F.col("virality_score") >= F.lit(found)
     return df.withColumn("viral_label", flag(hit, 1, 0))
 
@@ -66,12 +66,15 @@ def with_viral_label(df: DataFrame, q: float = 0.95, scope: DataFrame | None = N
 def build_features(clean: DataFrame, as_of: Column, done: DataFrame | None = None, sentiment: Scorer | None = None, emotion: Scorer | None = None, toxicity: Scorer | None = None, fold_lexicon: bool = True) -> DataFrame:
     """All feature columns of the new clean items.
 
-    The scored batch is written once before its label threshold is taken, so model
-    scorers run once per text.
+    The label threshold is a first pass with only the columns of the virality score. With a
+    model scorer the scored batch is written before it instead, so each text is scored once.
     """
     rows = clean if done is None else new_rows(clean, done)
     rows = with_content(with_engagement(with_publish_features(rows, as_of)))
-    for score, model in ((score_sentiment, sentiment), (score_emotion, emotion), (score_toxicity, toxicity)):
+    scorers = ((score_sentiment, sentiment), (score_emotion, emotion), (score_toxicity, toxicity))
+    for score, model in scorers:
         rows = score(rows, "analysis_text_clean", model)
     rows = with_virality(with_risk(rows, fold_lexicon=fold_lexicon))
-    return with_viral_label(stage(rows, "features"))
+    if any(model for _, model in scorers):
+        rows = stage(rows, "scored")
+    return with_viral_label(rows)

@@ -10,7 +10,7 @@ from tidewatch.functions.numeric import number
 from tidewatch.functions.text import ellipsis
 from tidewatch.operators import aggregates
 from tidewatch.operators.alerts import subscribers, with_ravs
-from tidewatch.operators.ranking import best_row, preferred, top
+from tidewatch.operators.ranking import best_row, best_rows, preferred, top
 from tidewatch.operators.shaping import existing_only, without_nulls
 
 HIGH_RAVS = 0.70
@@ -122,19 +122,27 @@ def growth_peak(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def scenario_card(df: DataFrame, scenario: str, tiebreak: str) -> DataFrame:
-    """The scenario's leading item with its total, tier, time to virality and response window."""
-    row = best_row(df, scenario, tiebreak)
+def _card(row: DataFrame) -> DataFrame:
     row = row.withColumns({**components(row), **contributions(row)})
     row = row.withColumn("_t", labels.time_to_virality(_score(row, "viral_probability", 0.91)))
     row = row.withColumn("_w", labels.response_window(F.col("_t.label")))
     return row.withColumns({
-        "scenario": F.lit(scenario), "risk_tier": labels.risk_tier(F.col("ravs_total")),
+        "risk_tier": labels.risk_tier(F.col("ravs_total")),
         "time_to_virality": F.col("_t.label"), "time_note": F.col("_t.note"),
         "response_window": F.col("_w.label"), "response_note": F.col("_w.note"),
     }).drop("_t", "_w")
 
 
+def scenario_card(df: DataFrame, scenario: str, tiebreak: str) -> DataFrame:
+    """The scenario's leading item with its total, tier, time to virality and response window."""
+    return _card(best_row(df, scenario, tiebreak).withColumn("scenario", F.lit(scenario)))
+
+
+def scenario_cards(df: DataFrame, tiebreak: str) -> DataFrame:
+    """The cards of all scenarios, from one pass over the table."""
+    return _card(best_rows(df, tiebreak))
+
+
 def top_risk(df: DataFrame, tiebreak: str) -> DataFrame:
     column = preferred(df.columns, ["ravs_score", "viral_probability", "virality_score"])
     row = top(df.withColumn("_s", number(column)), 1, "_s", tiebreak).drop("_s")

@@ -48,6 +48,7 @@ def velocities(stream: DataFrame, out: str, state: str, late: str, checkpoint: s
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         tail = _tail(batch.sparkSession, state, batch_id)
+        batch.persist()
         on_time, behind = split_late(batch, tail)
         write_batch(behind, late, batch_id)
         known = on_time.withColumn("_old", F.lit(False))
@@ -58,6 +59,7 @@ def velocities(stream: DataFrame, out: str, state: str, late: str, checkpoint: s
         w = Window.partitionBy("video_id").orderBy(*[F.col(c).desc() for c in order])
         last_two = known.withColumn("_rn", F.row_number().over(w)).where("_rn <= 2").drop("_rn", "_old")
         last_two.write.mode("overwrite").parquet(f"{state}/slot={batch_id % 2}")
+        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(run)
