@@ -25,29 +25,29 @@ STOP_WORDS = ["the", "of", "de", "and", "to", "in", "la", "der", "is", "that", "
 SQL_STOPS = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 
-def _lexicon_sql(lexicon: dict, resting: str | None, floor: bool) -> tuple[str, str]:
+def lexicon_sql(lexicon: dict, resting: str | None, floor: bool, raw: str = "raw", name: str = "") -> tuple[str, str]:
     """CTEs that score ``raw(id, text)`` by a lexicon, and the final select."""
     hits = ", ".join(
-        f"({' + '.join([f'CAST(contains(lower(text), {p!r}) AS INTEGER)' for p in phrases]) or '0'}) AS {name}"
-        for name, phrases in lexicon.items()
+        f"({' + '.join([f'CAST(contains(lower(text), {p!r}) AS INTEGER)' for p in phrases]) or '0'}) AS {label}"
+        for label, phrases in lexicon.items()
     )
     total = " + ".join(lexicon)
     shares = ", ".join(
-        f"CASE WHEN total > 0 THEN {name} / total ELSE {1.0 if name == resting else 0.0} END AS {name}" for name in lexicon
+        f"CASE WHEN total > 0 THEN {label} / total ELSE {1.0 if label == resting else 0.0} END AS {label}" for label in lexicon
     )
-    first = " ".join(f"WHEN {name} = best THEN '{name}'" for name in lexicon)
+    first = " ".join(f"WHEN {label} = best THEN '{label}'" for label in lexicon)
     low = "WHEN best < 0.5 THEN 'non_toxic' " if floor else ""
-    ctes = f"""hits AS (SELECT id, {hits} FROM raw),
-totals AS (SELECT *, {total} AS total FROM hits),
-shares AS (SELECT id, {shares} FROM totals),
-bests AS (SELECT *, greatest({', '.join(lexicon)}) AS best FROM shares)"""
-    return ctes, f"SELECT id, CASE {low}{first} END AS label, round_even(best, 4) AS score FROM bests"
+    ctes = f"""{name}hits AS (SELECT id, {hits} FROM {raw}),
+{name}totals AS (SELECT *, {total} AS total FROM {name}hits),
+{name}shares AS (SELECT id, {shares} FROM {name}totals),
+{name}bests AS (SELECT *, greatest({', '.join(lexicon)}) AS best FROM {name}shares)"""
+    return ctes, f"SELECT id, CASE {low}{first} END AS label, round_even(best, 4) AS score FROM {name}bests"
 
 
 RAW = "raw AS (SELECT doc_id AS id, text FROM documents)"
-_SENTIMENT = _lexicon_sql(FEELINGS, "neutral", False)
-_EMOTION = _lexicon_sql(EMOTIONS, "neutral", False)
-_TOXICITY = _lexicon_sql(HARMS, None, True)
+_SENTIMENT = lexicon_sql(FEELINGS, "neutral", False)
+_EMOTION = lexicon_sql(EMOTIONS, "neutral", False)
+_TOXICITY = lexicon_sql(HARMS, None, True)
 
 
 def _raw(t: Tables):

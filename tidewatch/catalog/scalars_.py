@@ -13,11 +13,12 @@ from tidewatch.operators import alerts, narratives
 from tidewatch.plans import features, tracking, views
 
 AS_OF = "TIMESTAMP '2025-01-01 00:00:00'"
-SPACE = r"[ \t\r\n]"
 
-V_CLEAN = rf"""v_clean AS (
-  SELECT video_id, ord, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(raw),
-      'http[^ \t\r\n]+', '', 'g'), 'www[^ \t\r\n]+', '', 'g'), '@[\p{{L}}\p{{N}}_]+', '', 'g'), '#', ''), '{SPACE}+', ' ', 'g')) AS clean
+NORMAL = r"""trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(lower({0}),
+      'http[^ \t\r\n]+', '', 'g'), 'www[^ \t\r\n]+', '', 'g'), '@[\p{{L}}\p{{N}}_]+', '', 'g'), '#', ''), '[ \t\r\n]+', ' ', 'g'))"""
+
+V_CLEAN = f"""v_clean AS (
+  SELECT video_id, ord, {NORMAL.format('raw')} AS clean
   FROM (SELECT video_id, ord, concat(description, CASE ord % 4 WHEN 0 THEN ' HTTP://x.y/z  www.a b' WHEN 1 THEN ' @Name_1 #Tag' ELSE '' END,
     CASE ord % 3 WHEN 0 THEN ' 😀😀 🚀? !' WHEN 1 THEN ' 🇫🇷 ☀ Side Effects, FDA warning' ELSE '' END) AS raw FROM v_video))"""
 
@@ -59,14 +60,14 @@ def h4(t: Tables):
     )
 
 
-def _hits(column: str, fold: bool) -> str:
+def risk_hits(column: str, fold: bool) -> str:
     return " + ".join(
         f"CAST(contains(lower({column}), '{p.lower() if fold else p}') AS INTEGER)" for p in RISK_PHRASES
     )
 
 
 @query("h5_risk_phrase_score", f"""
-    SELECT video_id, {_hits('clean', True)} AS folded, {_hits('clean', False)} AS as_written FROM v_clean""", V_VIDEO, V_CLEAN)
+    SELECT video_id, {risk_hits('clean', True)} AS folded, {risk_hits('clean', False)} AS as_written FROM v_clean""", V_VIDEO, V_CLEAN)
 def h5(t: Tables):
     c = F.col("clean")
     return clean(t).select(
@@ -75,7 +76,7 @@ def h5(t: Tables):
 
 
 @query("h6_risk_label", f"""
-    SELECT video_id, CASE WHEN {_hits('clean', True)} > 0 THEN 'high_risk' ELSE 'low_risk' END AS pharma_risk_label
+    SELECT video_id, CASE WHEN {risk_hits('clean', True)} > 0 THEN 'high_risk' ELSE 'low_risk' END AS pharma_risk_label
     FROM v_clean""", V_VIDEO, V_CLEAN)
 def h6(t: Tables):
     return features.with_risk(clean(t), "clean").select("video_id", "pharma_risk_label")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog.models_ import STOP_WORDS, TOPICS
+from tidewatch.catalog.models_ import STOP_WORDS, TOPICS, lexicon_sql
 from tidewatch.catalog.registry import V_COMMENT, V_SCORED, V_SNAP, V_VIDEO, Tables, query, rounded
-from tidewatch.catalog.scalars_ import ALERT_SCORE, AS_OF, V_RAVS, V_TIMES
+from tidewatch.catalog.scalars_ import ALERT_SCORE, AS_OF, NORMAL, V_RAVS, V_TIMES, risk_hits
 from tidewatch.catalog.shaping_ import STRIP
 from tidewatch.catalog.windows_ import V_CUTS, V_FIRED, V_TRACK
 from tidewatch.operators import alerts as rules
-from tidewatch.operators import ranking
+from tidewatch.operators import ranking, scoring
 from tidewatch.plans import alerting, cleaning, features, narrative, tracking, views
 
 V_ALERTS = f"""v_alerts AS (
@@ -50,17 +50,36 @@ def tracking_table(t: Tables):
     ))
 
 
-@query("clean_table", f"""
-    SELECT video_id, mins * 60 + hrs * 3600 AS duration_seconds, comments_text_full,
-      {STRIP.format("concat_ws(chr(10), keyword, title, " + STRIP.format('description') + ", nullif(comments_text_full, ''), channel_title)")} AS analysis_text_en
-    FROM (SELECT v.*, CAST(ord % 3 AS INTEGER) AS hrs, CAST(ord % 60 AS INTEGER) AS mins, coalesce(c.comments_text, '') AS comments_text_full
-      FROM v_video v LEFT JOIN (SELECT video_id, string_agg({STRIP.format('text')}, chr(10) || chr(10) ORDER BY comment_id) AS comments_text
-        FROM v_comment WHERE {STRIP.format('text')} <> '' GROUP BY video_id) c ON v.video_id = c.video_id)""", V_VIDEO, V_COMMENT)
+V_ANALYSIS = f"""v_analysis AS (
+  SELECT *, mins * 60 + hrs * 3600 AS duration_seconds,
+    {STRIP.format("concat_ws(chr(10), keyword, title, " + STRIP.format('description') + ", nullif(comments_text_full, ''), channel_title)")} AS analysis_text_en
+  FROM (SELECT v.*, CAST(ord % 3 AS INTEGER) AS hrs, CAST(ord % 60 AS INTEGER) AS mins, coalesce(c.comments_text, '') AS comments_text_full
+    FROM v_video v LEFT JOIN (SELECT video_id, string_agg({STRIP.format('text')}, chr(10) || chr(10) ORDER BY comment_id) AS comments_text
+      FROM v_comment WHERE {STRIP.format('text')} <> '' GROUP BY video_id) c ON v.video_id = c.video_id))"""
+
+
+@query("clean_table", "SELECT video_id, duration_seconds, comments_text_full, analysis_text_en FROM v_analysis", V_VIDEO, V_COMMENT, V_ANALYSIS)
 def clean_table(t: Tables):
     return cleaning.clean_items(t.video(), t.comment()).select("video_id", "duration_seconds", "comments_text_full", "analysis_text_en")
 
 
-@query("feature_table")
+_MOOD = lexicon_sql(scoring.SENTIMENT_WORDS, "neutral", False, "v_text", "mood_")
+_FEEL = lexicon_sql(scoring.EMOTION_WORDS, "neutral", False, "v_text", "feel_")
+_HARM = lexicon_sql(scoring.TOXICITY_WORDS, None, True, "v_text", "harm_")
+
+
+@query("feature_table", """
+    SELECT id AS video_id, duration_seconds, round(engagement_rate, 6) AS engagement_rate, round(views_per_hour, 6) AS views_per_hour,
+      text_length, word_count, sentiment_label, emotion_label, toxicity_label, pharma_risk_score, round(virality_score, 6) AS virality_score,
+      CASE WHEN virality_score >= (SELECT quantile_cont(virality_score, 0.95) FROM v_whole) THEN 1 ELSE 0 END AS viral_label FROM v_whole""",
+       V_VIDEO, V_COMMENT, V_ANALYSIS, f"v_text AS (SELECT *, video_id AS id, {NORMAL.format('analysis_text_en')} AS text FROM v_analysis)",
+       _MOOD[0], _FEEL[0], _HARM[0], f"""v_whole AS (
+      SELECT *, engagement_rate * 0.4E0 + views_per_hour * 0.3E0 + comment_count / hours * 0.2E0 + sentiment_score * 0.1E0 AS virality_score FROM (
+        SELECT t.id, duration_seconds, (like_count + comment_count) / view_count AS engagement_rate, view_count / hours AS views_per_hour, comment_count, hours,
+          CAST(length(text) AS INTEGER) AS text_length, CAST(len(string_split(text, ' ')) AS INTEGER) AS word_count, m.label AS sentiment_label,
+          m.score AS sentiment_score, e.label AS emotion_label, h.label AS toxicity_label, {risk_hits('text', True)} AS pharma_risk_score
+        FROM (SELECT *, (epoch_us({AS_OF}) - epoch_us(published_at)) / 3.6E9 AS hours FROM v_text) t
+          JOIN ({_MOOD[1]}) m ON t.id = m.id JOIN ({_FEEL[1]}) e ON t.id = e.id JOIN ({_HARM[1]}) h ON t.id = h.id))""")
 def feature_table(t: Tables):
     clean = cleaning.clean_items(t.video(), t.comment())
     rows = features.build_features(clean, F.expr(AS_OF))
@@ -207,9 +226,9 @@ def j12_risk(t: Tables):
 
 @query("j13_toxicity_points", """
     SELECT video_id, round(toxicity_score, 6) AS toxicity_score, round(viral_probability, 6) AS viral_probability, pharma_risk_label
-    FROM v_scored WHERE ord % 8 > 0""", V_SCORED)
+    FROM v_scored WHERE pharma_risk_label = 'high_risk'""", V_SCORED)
 def j13(t: Tables):
-    rows = t.scored().withColumn("toxicity_score", F.expr("CASE WHEN ord % 8 > 0 THEN toxicity_score END"))
+    rows = t.scored().withColumn("toxicity_score", F.expr("CASE WHEN pharma_risk_label = 'high_risk' THEN toxicity_score END"))
     return rounded(views.toxicity_points(rows))
 
 

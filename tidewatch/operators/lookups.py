@@ -10,21 +10,18 @@ from tidewatch.functions.numeric import number
 from tidewatch.functions.text import blank_to_null
 
 BROADCAST_ROWS = 100_000
-_SPREAD = 256
 
 
 def new_rows(df: DataFrame, done: DataFrame, key: str = "video_id") -> DataFrame:
     """Rows whose id is not in ``done``, compared as text; rows without an id count as new.
 
-    Rows without an id can never match, so they are spread over many partitions instead
-    of meeting in one. Repeated ids on the left are split by AQE's skew handling.
+    Rows without an id cannot match, so they pass by the join and are never shuffled into
+    one place. Repeated ids on the left are split by AQE's skew handling.
     """
-    others = [c for c in df.columns if c != key] or [key]
-    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*others), F.lit(_SPREAD))).otherwise(F.lit(0))
-    left = df.withColumns({"_id": F.col(key).cast("string"), "_spread": spread.cast("int")})
-    right = done.select(F.col(key).cast("string").alias("_id")).where("_id is not null").distinct()
-    right = right.withColumn("_spread", F.lit(0))
-    return left.join(right, ["_id", "_spread"], "left_anti").drop("_id", "_spread")
+    seen = done.select(F.col(key).cast("string").alias("_id")).where("_id is not null").distinct()
+    named = df.where(F.col(key).isNotNull()).withColumn("_id", F.col(key).cast("string"))
+    unseen = named.join(seen, "_id", "left_anti").drop("_id")
+    return unseen.unionByName(df.where(F.col(key).isNull()))
 
 
 def small(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

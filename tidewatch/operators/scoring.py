@@ -121,8 +121,12 @@ def translate_column(df: DataFrame, column: str, out: str, translator: Translato
     if translator is None:
         return df.withColumn(out, source)
 
-    keyed = df.withColumn("_src", source).withColumn("_key", F.when(F.col("_src") != "", F.sha2("_src", 256)))
-    texts = keyed.where("_key is not null").groupBy("_key").agg(F.any_value("_src").alias("_src"))
+    # Blank rows get keys that match nothing and differ between rows, so they do not meet in one task.
+    blank = F.concat(F.lit("-"), F.xxhash64(*df.columns).cast("string"))
+    keyed = df.withColumn("_src", source).withColumn(
+        "_key", F.when(F.col("_src") != "", F.sha2("_src", 256)).otherwise(blank)
+    )
+    texts = keyed.where("_src <> ''").groupBy("_key").agg(F.any_value("_src").alias("_src"))
     pieces = texts.select("_key", F.posexplode(chunks(F.col("_src"))).alias("_i", "_part"))
 
     @F.pandas_udf("string")

@@ -30,9 +30,9 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 def fresh_rows(batch: DataFrame, done: DataFrame | None, order: list[Column], key: str = "video_id") -> DataFrame:
     """Unseen ids, each once (first by ``order``); rows without an id all count as new."""
-    unseen = batch if done is None else new_rows(batch, done, key)
-    apart = F.when(F.col(key).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    return first_per_key(unseen.withColumn("_apart", apart), [key, "_apart"], order).drop("_apart")
+    named = batch.where(F.col(key).isNotNull())
+    unseen = named if done is None else new_rows(named, done, key)
+    return first_per_key(unseen, [key], order).unionByName(batch.where(F.col(key).isNull()))
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, order: list[Column], transform: Callable[[DataFrame], DataFrame] | None = None, key: str = "video_id") -> DataStreamWriter:
