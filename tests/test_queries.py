@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def con() -> duckdb.DuckDBPyConnection:
-    return connect(SF)
+    with connect(SF) as connection:
+        yield connection
 
 
 @pytest.mark.parametrize("name", list(REGISTRY))

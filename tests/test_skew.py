@@ -112,3 +112,14 @@ def test_quantile_of_ties_is_exactly_the_value(spark):
 
 def test_quantile_of_nothing(spark):
     assert exact_quantiles(spark.range(0).selectExpr("cast(id as double) x"), {"x": (F.col("x"), 0.5)})["x"] is None
+
+
+def test_many_slices(spark):
+    rows = spark.range(3000).selectExpr("'hot' AS key", "id", "id * 7919 % 3001 AS at", "id % 5 AS v")
+    sliced, cut = with_slices(rows, "key", "at", 10)
+    sizes = [r["count"] for r in sliced.groupBy("_slice").count().collect()]
+    assert cut and len(sizes) > 200 and max(sizes) < 60
+    order = sliced.groupBy("_slice").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy("_slice").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(order, order[1:]))
+    total = running_totals(rows, "key", ["at"], {"s": F.col("v")}, 10).agg(F.max("s")).first()[0]
+    assert total == sum(i % 5 for i in range(3000))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 HOT_ROWS = 2_000_000
 _SLICE = "_slice"
+_BLOCK = 100
 
 
 def _position(df: DataFrame, order: str) -> Column:
@@ -32,6 +33,16 @@ def hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> list:
     return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()
 
 
+def _cuts_below(cuts: Column, every: Column, position: Column) -> Column:
+    """How many ascending cuts lie below a position.
+
+    ``every`` holds each hundredth cut: it finds the block, and only that block is compared.
+    """
+    blocks = F.size(F.filter(every, lambda c: c < position))
+    first = F.greatest(blocks - 1, F.lit(0)) * _BLOCK
+    return first + F.size(F.filter(F.slice(cuts, first + 1, _BLOCK), lambda c: c < position))
+
+
 def with_slices(df: DataFrame, key: str, order: str, limit: int = HOT_ROWS) -> tuple[DataFrame, bool]:
     """Add ``_slice`` (0 for ordinary keys); the flag says whether any key was cut.
 
@@ -57,15 +68,16 @@ def with_slices(df: DataFrame, key: str, order: str, limit: int = HOT_ROWS) -> t
             F.sequence(F.lit(1), F.col("_own") - 1),
             lambda i: F.element_at("_grid", F.floor(i * pieces / F.col("_own")).cast("int")),
         )).alias("_cuts"))
+        .withColumn("_every", F.filter("_cuts", lambda c, i: i % _BLOCK == 0))
     )
     position = _position(df, order)
     sliced = df.join(F.broadcast(cuts), key, "left").withColumn(
         _SLICE,
         F.when(F.col("_cuts").isNull(), 0)
         .when(position.isNull(), F.size("_cuts") + 1)
-        .otherwise(F.size(F.filter("_cuts", lambda c: c < position))),
+        .otherwise(_cuts_below(F.col("_cuts"), F.col("_every"), position)),
     )
-    return sliced.withColumn("_hot", F.col("_cuts").isNotNull()).drop("_cuts"), True
+    return sliced.withColumn("_hot", F.col("_cuts").isNotNull()).drop("_cuts", "_every"), True
 
 
 def _asc(order: Sequence[str]) -> list[Column]:
