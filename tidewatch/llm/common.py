@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> It
 
 def column_bytes(column: pa.Array) -> np.ndarray:
     """Bytes per value of a string column; null counts 0."""
-    return np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64)
+    return np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
 
 
 def first_schema(df: DataFrame, *names: str) -> str:
