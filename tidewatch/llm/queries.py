@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, exact, html, language, packing, quality, simhash
+from tidewatch.llm import decontamination, exact, html, language, packing, quality, simhash, suffixes
 from tidewatch.llm.common import crc_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,29 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+SQL["op4_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(array_slice(b, p, p + 49)) AS s FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS p FROM d WHERE n >= 50)),
+first AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+hit AS (SELECT doc_id, p FROM w JOIN first USING (s) WHERE doc_id > least),
+edge AS (SELECT doc_id, p, coalesce(p > lag(p) OVER o + 50, true) AS opens FROM hit WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+run AS (SELECT doc_id, p, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM edge),
+span AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS z FROM run GROUP BY doc_id, k),
+total AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed FROM span GROUP BY doc_id),
+gap AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS a, a AS z FROM span
+  UNION ALL SELECT d.doc_id, coalesce(max(z), 1), max(n) + 1 FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id),
+kept AS (
+  SELECT doc_id, string_agg(CASE WHEN z > a THEN hex(array_slice(b, a, z - 1)) ELSE '' END, '' ORDER BY a, z) AS h
+  FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d LEFT JOIN total USING (doc_id) JOIN kept USING (doc_id)
+"""
