@@ -8,8 +8,8 @@ Shards. A fingerprint has ``radius + free`` blocks of bits; two fingerprints wit
 in at least ``free`` of them. So each choice of ``free`` blocks with their bits is a shard, and every
 link lies within a shard. A shard's distinct fingerprints form a BK-tree (children keyed by their
 Hamming distance to the parent), which the task holding the shard walks for each of them, following
-only edges within the radius. ``free`` grows with the number of distinct fingerprints, so that shards
-stay small; each value finds all links. A shard gives one edge per linked fingerprint, never its pairs;
+only edges within the radius. Any ``free`` finds all links: with 2 (15 shards a fingerprint at radius 4) a
+shard holds about a two-millionth of the distinct fingerprints; beyond 10^9 of them take 3 or 4. A shard gives one edge per linked fingerprint, never its pairs;
 subtrees already known to be in the asker's component are not walked, so dense groups stay cheap.
 
 Defined results: null text is empty; a text without words has fingerprint 0, which is linked like any
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pandas as pd
@@ -163,14 +162,6 @@ def block_masks(radius: int, free: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, free)]
 
 
-def free_blocks(n: int, radius: int) -> int:
-    """The number of agreeing blocks with the least work for ``n`` fingerprints."""
-    def work(free: int) -> float:
-        return comb(radius + free, free) * (20 + n / 2 ** (BITS * free // (radius + free)))
-
-    return min(range(1, radius + 1) if radius else [1], key=work)
-
-
 def _edges(fps: DataFrame, radius: int, free: int) -> DataFrame:
     masks = [m - (1 << BITS) if m >> (BITS - 1) else m for m in block_masks(radius, free)]
     keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("__fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])
@@ -206,24 +197,24 @@ def _edges(fps: DataFrame, radius: int, free: int) -> DataFrame:
     return shards.mapInArrow(run, "a long, b long")
 
 
-def groups(rows: DataFrame, *, id_col: str = "doc_id", radius: int = 4) -> DataFrame:
+def groups(rows: DataFrame, *, id_col: str = "doc_id", radius: int = 4, free: int = 2) -> DataFrame:
     """Per distinct fingerprint of ``rows`` (id, __fp): ``__n`` rows, ``__root`` and ``component_id``."""
     fps = stage(rows.groupBy("__fp").agg(F.min(id_col).alias("__least"), F.count("*").alias("__n")), "simhash-distinct")
-    roots = components(_edges(fps, radius, free_blocks(fps.count(), radius)), "simhash-components")
+    roots = components(_edges(fps, radius, free), "simhash-components")
     labelled = fps.join(roots.withColumnRenamed("node", "__fp"), "__fp", "left")
     labelled = labelled.select("__fp", "__n", "__least", F.coalesce("root", "__fp").alias("__root"))
     least = labelled.groupBy("__root").agg(F.min("__least").alias("component_id"))
     return labelled.join(least, "__root")
 
 
-def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, free: int = 2) -> DataFrame:
     """One row per document: id, ``fingerprint`` (16 hex digits), ``component_id``.
 
     At most ``HOT_GROUPS`` fingerprints, those of more than a thousandth of all rows, are broadcast;
     the rest join by a shuffle.
     """
     rows = stage(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "simhash-rows")
-    found = stage(groups(rows, id_col=id_col, radius=radius).select("__fp", "__n", "component_id"), "simhash-groups")
+    found = stage(groups(rows, id_col=id_col, radius=radius, free=free).select("__fp", "__n", "component_id"), "simhash-groups")
     hot = found.where(F.col("__n") > rows.count() // HOT_GROUPS + 1000)
     marked = rows.join(F.broadcast(hot.select("__fp", F.col("component_id").alias("__c"), F.lit(True).alias("__hot"))), "__fp", "left")
     out = marked.where("__hot").select(id_col, "__fp", F.col("__c").alias("component_id")).unionByName(
@@ -231,7 +222,7 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return out.select(id_col, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, free: int = 2) -> DataFrame:
     """The rows whose id is their component's, all columns as they are.
 
     A component without any id keeps all its rows (nothing tells them apart); so do rows that repeat
@@ -242,7 +233,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return pd.Series([fingerprint(t if isinstance(t, str) else None, shingle) for t in texts], dtype="int64")
 
     rows = stage(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "simhash-rows")
-    found = groups(rows, id_col=id_col, radius=radius).where(F.col("__least").eqNullSafe(F.col("component_id")))
+    found = groups(rows, id_col=id_col, radius=radius, free=free).where(F.col("__least").eqNullSafe(F.col("component_id")))
     found = found.select("__fp", F.col("__least").alias("__stay"))
     marked = docs.withColumn("__fp", fp(F.col(text_col))).alias("d")
     stays = (F.col("d.__fp") == F.col("k.__fp")) & F.col(f"d.{id_col}").eqNullSafe(F.col("k.__stay"))
