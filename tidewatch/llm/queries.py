@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, exact, html, language, packing, pii, quality, simhash, suffixes
+from tidewatch.llm import decontamination, exact, html, language, packing, pii, pseudo_lm, quality, simhash, suffixes
 from tidewatch.llm.common import crc_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ FROM d LEFT JOIN total USING (doc_id) JOIN kept USING (doc_id)
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.summary(pii.detect(docs, pii.fit(docs)))
+
+
+@query
+def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_lm.score(table(spark, sf_dir, "documents"))
