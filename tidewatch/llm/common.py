@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import stage
 
-__all__ = ["blocks", "column_bytes", "crc_fold", "stage", "whole_text"]
+__all__ = ["blocks", "column_bytes", "crc_fold", "first_schema", "free_prefix", "stage", "whole_text"]
 
 
 def whole_text(name: str = "text") -> Column:
@@ -47,3 +47,10 @@ def column_bytes(column: pa.Array) -> np.ndarray:
 def first_schema(df: DataFrame, *names: str) -> str:
     """DDL of the named columns."""
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """``prefix``, lengthened until no column of ``df`` starts with it, so that working columns never clash."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix += "_"
+    return prefix

@@ -15,7 +15,7 @@ document if that is shorter) by the weighted Jaccard similarity of their shingle
 Defined results: null texts and items, and items without a word, match nothing. Items with fewer than
 ``WORDS`` words are one shingle of all their words. Of windows that tie, the first is reported. Repeated
 rows each count; a document found twice for an item is reported once per (id, text). Other columns are
-ignored by ``matches`` and carried by ``decontaminate``; names starting with ``__`` are reserved.
+ignored by ``matches`` and carried by ``decontaminate``, whatever their names.
 An empty table on either side gives no matches.
 """
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stage
+from tidewatch.llm.common import free_prefix, stage
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -148,6 +148,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """The rows without a match, all columns as they are. Null texts stay."""
     found = matches(docs, benchmark, id_col=id_col, text_col=text_col, **options)
     bad = stage(found.select(F.col("doc_id").alias("__bad"), F.col("__key").alias("__bad_key")).distinct(), "decon-found")
-    marked = docs.withColumn("__key", F.xxhash64(id_col, text_col))
-    clean = marked.join(_small(bad), (F.col("__key") == F.col("__bad_key")) & F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
-    return clean.select(*docs.columns)
+    key = free_prefix(docs, "__key")
+    marked = docs.withColumn(key, F.xxhash64(id_col, text_col)).alias("d")
+    same = (F.col(f"d.{key}") == F.col("b.__bad_key")) & F.col(f"d.{id_col}").eqNullSafe(F.col("b.__bad"))
+    return marked.join(_small(bad).alias("b"), same, "left_anti").select(*docs.columns)

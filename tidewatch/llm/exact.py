@@ -11,7 +11,7 @@ group of copies reaches the merging task as one row per scan task, however many
 
 Defined results: an empty table gives an empty table. All null and blank texts are one group. Repeated
 rows count as rows of their group; exactly one row per group is kept, also if ids repeat. Extra columns
-are carried by ``deduplicate`` and ignored by ``classify``; names starting with ``__dedup_`` are reserved.
+are carried by ``deduplicate`` and ignored by ``classify``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.llm.common import free_prefix, stage
+
+PREFIX = "__dedup_"
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 BATCH_BYTES = 1 << 22
 HOT_GROUPS = 1000
 
-#: Fields of a partial owner beside the row itself. ``__dedup_best`` counts the rows that tie for best.
-OWNER = (
-    "__dedup_bytes binary, __dedup_length long, __dedup_hash long, __dedup_sha string, "
-    "__dedup_points long, __dedup_count long, __dedup_best long"
-)
+#: Fields of a partial owner beside the row itself. ``ties`` counts the rows that tie for best.
+OWNER = {"bytes": T.BinaryType(), "length": T.LongType(), "hash": T.LongType(), "sha": T.StringType(),
+         "points": T.LongType(), "count": T.LongType(), "ties": T.LongType()}
 
 
 class Trie:
@@ -146,12 +147,16 @@ def _rows(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
 
 
 def owners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", budget: int = 48 << 20) -> DataFrame:
-    """One row per distinct text: the row that stays, all its columns, and the ``OWNER`` fields."""
+    """One row per distinct text: the row that stays, all its columns, and the ``OWNER`` fields.
+
+    The names of those fields start with ``free_prefix(docs, PREFIX)``.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     names = docs.columns
     at_id, at_text, width = names.index(id_col), names.index(text_col), len(names)
-    schema = T.StructType(docs.schema.fields + T._parse_datatype_string(OWNER).fields)
+    prefix = free_prefix(docs, PREFIX)
+    schema = T.StructType(docs.schema.fields + [T.StructField(prefix + n, t) for n, t in OWNER.items()])
     arrow = to_arrow_schema(schema)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +193,7 @@ def owners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", b
             yield from out.flush(BATCH_BYTES)
         yield from out.flush()
 
-    keys = ["__dedup_length", "__dedup_hash"]
+    keys = [prefix + "length", prefix + "hash"]
     return docs.mapInArrow(local, schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merged, schema)
 
 
@@ -204,13 +209,11 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     with more than a thousandth of all rows) are broadcast, so that no task gets all rows of a hot
     group; the rest join by a shuffle.
     """
-    from tidewatch.llm.common import stage
-
-    narrow = docs.select(F.col(id_col), F.col(text_col))
+    narrow = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     # Staged: the counts of groups are read three times, the tries are built once.
-    groups = stage(owners(narrow, id_col=id_col, text_col=text_col).select(
-        F.col("__dedup_sha").alias("text_sha256"), F.col(id_col).alias("keep_id"), F.col("__dedup_points").alias("__points"),
-        F.col("__dedup_count").alias("group_size"), F.col("__dedup_best").alias("__ties")), "dedup-groups")
+    groups = stage(owners(narrow, id_col="__id", text_col="__text").select(
+        F.col(f"{PREFIX}sha").alias("text_sha256"), F.col("__id").alias("keep_id"), F.col(f"{PREFIX}points").alias("__points"),
+        F.col(f"{PREFIX}count").alias("group_size"), F.col(f"{PREFIX}ties").alias("__ties")), "dedup-groups")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,8 +15,8 @@ subtrees already known to be in the asker's component are not walked, so dense g
 Defined results: null text is empty; a text without words has fingerprint 0, which is linked like any
 other. Fewer words than a shingle: the whole sequence is the one shingle. Repeated rows have equal
 results. A component's id is its smallest id that is not null; null if all are null. An empty table
-gives an empty table. Other columns are carried by ``deduplicate`` and ignored by ``classify``; the
-names ``__fp`` and ``__text`` are reserved.
+gives an empty table. Other columns are carried by ``deduplicate`` and ignored by ``classify``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import first_schema, stage
+from tidewatch.llm.common import first_schema, free_prefix, stage
 from tidewatch.llm.graph import components
 
 BITS = 64
@@ -235,6 +235,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = stage(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "simhash-rows")
     found = groups(rows, id_col=id_col, radius=radius, free=free).where(F.col("__least").eqNullSafe(F.col("component_id")))
     found = found.select("__fp", F.col("__least").alias("__stay"))
-    marked = docs.withColumn("__fp", fp(F.col(text_col))).alias("d")
-    stays = (F.col("d.__fp") == F.col("k.__fp")) & F.col(f"d.{id_col}").eqNullSafe(F.col("k.__stay"))
+    own = free_prefix(docs, "__fp")
+    marked = docs.withColumn(own, fp(F.col(text_col))).alias("d")
+    stays = (F.col(f"d.{own}") == F.col("k.__fp")) & F.col(f"d.{id_col}").eqNullSafe(F.col("k.__stay"))
     return marked.join(found.alias("k"), stays, "left_semi").select(*docs.columns)
