@@ -143,7 +143,7 @@ def fit(
         tf, letters = zip(*(counts([t]) for t in part.text), strict=True)
         v = vectors(np.concatenate(tf), shared.value)[np.concatenate(letters)]
         if not len(v):
-            return pd.DataFrame({"lang": [], "low": [], "vector": []})
+            return pd.DataFrame({"lang": [], "low": [], "vector": []}).astype({"lang": object, "vector": object})
         c = _cluster(v, clusters, rounds)
         low = float((v @ c.T).max(axis=1).min())
         return pd.DataFrame({"lang": part.lang.iloc[0], "low": low, "vector": [x.astype(float).tolist() for x in c]})
