@@ -26,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import blocks, first_schema
+from tidewatch.llm.common import blocks, first_schema, stage
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 20
@@ -44,11 +45,14 @@ Span = tuple[int, int, str]
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3,}")
 _NUMBER = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_REGION = re.compile(r"(?:[^\W\d_]+[:=]?[ \t])?[^\s0-9@]*[0-9@]\S*(?:[ \t][^\s0-9@]*[0-9@]\S*)*")
+_SIGN = re.compile("[0-9@]")
+_BLANK = re.compile(r"\s")
+_CHAIN = re.compile(r"\S*(?:[ \t][^\s0-9@]*[0-9@]\S*)*")
+_WORD_BEFORE = re.compile(r"[^\W\d_]{1,30}[:=]?[ \t]$")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\[\.\]|.", re.S)
 _HINTS = {  # fixed values: words that announce a kind
     "email": ("email", "mail", "contact"), "ip": ("ip", "host", "server", "addr"),
@@ -123,8 +127,20 @@ class Region:
 
 def regions(text: str) -> Iterator[tuple[int, str]]:
     """(start, region); long ones come in pieces of ``PIECE`` characters that end at blanks."""
-    for m in _REGION.finditer(text):
-        at, end = m.span()
+    done = 0
+    sign = _SIGN.search(text)
+    while sign:
+        at = sign.start()
+        # Back to the start of the word, a stretch at a time.
+        while at > done and not _BLANK.match(text, at - 1):
+            step = max(done, at - 64)
+            part = text[step:at]
+            at = step + len(part) - len(part.rsplit(None, 1)[-1]) if _BLANK.search(part) and not part[-1].isspace() else step
+        end = _CHAIN.match(text, at).end()
+        before = _WORD_BEFORE.search(text[max(done, at - 40):at])
+        if before:
+            at -= len(before.group())
+        done = end
         while end - at > PIECE:
             cut = text.rfind(" ", at + 1, at + PIECE)
             if cut < 0:
@@ -132,6 +148,7 @@ def regions(text: str) -> Iterator[tuple[int, str]]:
             yield at, text[at:cut]
             at = cut
         yield at, text[at:end]
+        sign = _SIGN.search(text, done)
 
 
 _NAMES = [
@@ -368,22 +385,31 @@ def lessons_of(text: str, spans: list[Span]) -> list[tuple[str, list[Span]]]:
 
 def fit(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Learn from the ``sample`` distinct regions with the smallest hash, half with and half without base spans."""
+    each = sample // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The task's regions of either kind that can be among the sample."""
+        best: dict[bool, dict[str, int]] = {True: {}, False: {}}
+        limit = {True: 1 << 63, False: 1 << 63}
         for block in blocks(batches, "__text", BATCH_BYTES):
-            seen: dict[str, bool] = {}
             for text in block.column("__text").to_pylist():
                 for _, region in regions(text or ""):
-                    if len(region) <= LONGEST_LESSON and region not in seen:
-                        seen[region] = bool(base_spans(region))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.bool_())], names=["region", "has"])
-
-    found = docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "region string, has boolean")
-    rank = F.xxhash64("region")
-    # Two bounded top-k passes in one: each side keeps its smallest hashes.
+                    rank = xxhash.xxh64_intdigest(region.encode("utf-8", "replace")) >> 1
+                    if len(region) > LONGEST_LESSON or rank >= max(limit.values()):
+                        continue
+                    has = bool(base_spans(region))
+                    best[has][region] = rank
+                    if len(best[has]) >= 4 * each + 4:
+                        best[has] = dict(sorted(best[has].items(), key=lambda x: x[1])[:each])
+                        limit[has] = max(best[has].values(), default=limit[has])
+        for has, found in best.items():
+            rows = sorted(found.items(), key=lambda x: x[1])[:each]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.int64()), pa.array([has] * len(rows))], names=["region", "rank", "has"])
+
+    found = stage(docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "region string, rank long, has boolean"), "pii-lessons")
     lessons: list[tuple[str, list[Span]]] = []
     for has in (True, False):
-        rows = found.where(F.col("has") == has).select("region", rank.alias("rank")).distinct().orderBy("rank", "region").limit(sample // 2).collect()
-        for r in rows:
+        for r in found.where(F.col("has") == has).distinct().orderBy("rank", "region").limit(each).collect():
             lessons += lessons_of(r.region, _one_kind_each(base_spans(r.region)))
     return train(lessons)
 
