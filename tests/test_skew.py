@@ -23,6 +23,29 @@ def skewed(spark):
     return spark.createDataFrame(data, "key string, id long, at long, v long").repartition(6, "id")
 
 
+@pytest.mark.parametrize("limit", [20, 100])
+def test_hot_null_key(spark, limit):
+    """Rows without a key are one hot group; it is cut like any other."""
+    data = [(None if i % 3 else f"k{i % 7}", i, (i * 37) % 211, i % 5) for i in range(400)]
+    df = spark.createDataFrame(data, "key string, id long, at long, v long").repartition(5, "id")
+    sizes = with_slices(df, "key", "at", limit)[0].where("key IS NULL").groupBy("_slice").count().collect()
+    assert len(sizes) > 2 and sum(r["count"] for r in sizes) == 266
+    order = ["at", "id"]
+
+    def rows(n):
+        before = previous_rows(df, "key", order, ["id"], n).selectExpr("id", "coalesce(_prev1.id, -1L) p1", "coalesce(_prev2.id, -1L) p2")
+        return collected(before, "id", "p1", "p2")
+
+    def sums(n):
+        return collected(running_totals(df, "key", order, {"s": F.col("v")}, n), "id", "s")
+
+    def texts(n):
+        joined = ordered_concat(df, "key", order, F.col("id").cast("string"), "|", "t", limit=n)
+        return collected(joined.select(F.coalesce("key", F.lit("")).alias("key"), "t"), "key", "t")
+
+    assert rows(limit) == rows(10**9) and sums(limit) == sums(10**9) and texts(limit) == texts(10**9)
+
+
 def collected(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.select(*columns).collect())
 

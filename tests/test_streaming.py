@@ -67,6 +67,16 @@ def test_late_snapshots_are_kept_aside(spark):
     assert ingest.batch_table(spark, out).count() == 27
 
 
+def test_tie_across_batches_is_on_time_by_the_second_order_column(spark):
+    land = landed(spark, SCHEMA, "tie")
+    out, state, late, log = (scratch_path(spark, x) for x in ("out", "state", "late", "log"))
+    rows = [("v", 1, START, 10, 1, 0, 0.1), ("v", 5, START, 20, 2, 0, 0.2), ("v", 3, START, 30, 3, 0, 0.3)]
+    for r in rows:
+        velocity.velocities(land(spark.createDataFrame([r], SCHEMA)), out, state, late, log).start().awaitTermination()
+    assert sorted(r.event_id for r in ingest.batch_table(spark, out).collect()) == [1, 5]
+    assert [r.event_id for r in ingest.batch_table(spark, late).collect()] == [3]
+
+
 def test_two_monitoring_runs(spark):
     videos = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr(
         "cast(doc_id as string) video_id", "source keyword", "source channel_title", "lang title", "text description",
@@ -93,4 +103,11 @@ def test_two_monitoring_runs(spark):
     assert predicted.count() == 350 and predicted.where("view_velocity > 0").count() > 100
     assert predicted.where("keyword is null").isEmpty() and "views_per_hour" in predicted.columns
     assert 0 < alerts.count() <= 100
+    twice = videos.where("video_id = '3'").withColumn("keyword", F.lit("~other"))
+    hooks = monitor.Hooks(sentiment=lambda texts: [{"LABEL_0": 0.9, "LABEL_1": 0.1, "LABEL_2": 0.0} for _ in texts])
+    other = monitor.Tables(scratch_path(spark, "monitor"))
+    monitor.run_once(spark, other, videos.unionByName(twice), F.expr("TIMESTAMP '2025-01-01'"), topics, stops, hooks=hooks)
+    stored = spark.read.parquet(other.features)
+    assert stored.count() == 200 and stored.where("keyword = '~other'").isEmpty()
+    assert stored.where("sentiment_label != 'negative'").isEmpty()
     assert not alerts.where("subscriber_count > 0").isEmpty()

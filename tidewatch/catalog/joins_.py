@@ -85,7 +85,7 @@ def c5(t: Tables):
         "CAST(user_id AS STRING) AS video_id", "event_id AS ord", "round(value / 100, 4) AS viral_probability",
         "CASE WHEN round(value / 100, 4) >= 0.7E0 THEN 1 ELSE 0 END AS predicted_viral",
     )
-    return lookups.attach_predictions(t.video().select("video_id", "title"), predictions)
+    return lookups.attach_predictions(t.video().select("video_id", "title"), predictions, "ord")
 
 
 @query("c6_dictionary_lookup", """

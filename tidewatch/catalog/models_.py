@@ -128,7 +128,7 @@ def i7(t: Tables):
 
 def _topics(t: Tables):
     rows = stage(t.texts().select("doc_id", "text", F.col("source").alias("keyword")), "lda")
-    return topics.model_topics(rows, "text", STOP_WORDS, iterations=3)
+    return topics.model_topics(rows, "text", STOP_WORDS)
 
 
 @query("i8_topic_model")
@@ -238,35 +238,40 @@ def i16(t: Tables):
     return counted.select("viral_label", "n", near.alias("near_share"))
 
 
-def _training(t: Tables):
-    return virality.run_training(t.scored(), trees=5, depth=3)
+_TRAINED: dict[tuple[str, str], virality.Training] = {}
+
+
+def trained(t: Tables) -> virality.Training:
+    """The full training (200 trees, depth 6) of these tables, done once in a session, as a stored model would be."""
+    key = (t.spark.sparkContext.applicationId, t.dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = virality.run_training(t.scored())
+    return _TRAINED[key]
 
 
 @query("i17_train_boosted_trees")
 def i17(t: Tables):
-    return _training(t).metrics
+    return trained(t).metrics
 
 
 @query("i18_score")
 def i18(t: Tables):
-    rows = stage(t.scored(), "i18")
-    features = virality.select_features(rows, without_leaks=True)
-    model = virality.train(rows, features, trees=3, depth=3)
-    return virality.predict_with_ranges(model, rows, features).select(
+    done = trained(t)
+    return virality.predict_with_ranges(done.model, t.scored(), done.features).select(
         "video_id", "viral_probability", "predicted_viral", "viral_probability_range"
     )
 
 
 @query("i19_held_out_predictions")
 def i19(t: Tables):
-    return _training(t).heldout.select("video_id", "viral_label", "viral_probability", "predicted_viral")
+    return trained(t).heldout.select("video_id", "viral_label", "viral_probability", "predicted_viral")
 
 
 @query("i20_feature_importance")
 def i20(t: Tables):
-    return _training(t).importance
+    return trained(t).importance
 
 
 @query("f4_rank_feature_importance")
 def f4(t: Tables):
-    return virality.top_importance(_training(t).importance)
+    return virality.top_importance(trained(t).importance)

@@ -161,4 +161,4 @@ class Tables:
             "CASE d.doc_id % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END AS sentiment_label",
             "coalesce(l.quality, 0) AS viral_label", "d.n_chars * 10 AS view_count",
         )
-        return with_group_size(rows, "narrative_cluster_id", "cluster_volume")
+        return with_group_size(rows, "narrative_cluster_id", "cluster_volume", bounded=True)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch.catalog.models_ import trained
 from tidewatch.catalog.registry import V_SCORED, V_VIDEO, Tables, query, rounded
 from tidewatch.operators.alerts import Thresholds, fan_out, prepare
 from tidewatch.plans import virality
-from tidewatch.session import scratch_path, stage
+from tidewatch.session import scratch_path
 from tidewatch.sources import files, payloads, sinks, terms
 from tidewatch.sources.schemas import table
 
@@ -173,9 +174,8 @@ def a12(t: Tables):
 
 @query("a13_model_save_load")
 def a13(t: Tables):
-    rows = stage(t.scored(), "a13")
-    features = virality.select_features(rows)
+    done = trained(t)
     path = scratch_path(t.spark, "a13")
-    virality.save(virality.train(rows, features, trees=3, depth=3), path)
-    scored = virality.predict(virality.load(path), rows, features)
+    virality.save(done.model, path)
+    scored = virality.predict(virality.load(path), t.scored(), done.features)
     return scored.select("video_id", "viral_probability", "predicted_viral")

@@ -111,7 +111,7 @@ def e7(t: Tables):
 @query("e8_group_size_column", """
     SELECT video_id, narrative_cluster_id, count(*) OVER (PARTITION BY narrative_cluster_id) AS cluster_volume FROM v_scored""", V_SCORED)
 def e8(t: Tables):
-    return lookups.with_group_size(t.scored().select("video_id", "narrative_cluster_id"), "narrative_cluster_id")
+    return lookups.with_group_size(t.scored().select("video_id", "narrative_cluster_id"), "narrative_cluster_id", bounded=True)
 
 
 @query("f1_sort_by_item_and_time", """

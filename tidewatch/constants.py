@@ -120,22 +120,22 @@ LEAKING_FEATURES = ["trend_score", "narrative_trend_score"]
 LIVE_METRICS = ["view_count", "like_count", "comment_count", "channel_subscriber_count"]
 
 # Alert columns in report order, and the header of an empty alert table.
-ALERT_COLUMNS = """
-video_id title channel_title alert_type alert_priority alert_reason ravs_speed_of_engagement
-ravs_regulatory_relevance ravs_safety_implications ravs_influencer_reach ravs_topic_sensitivity
-viral_probability viral_probability_range trend_score trend_score_range growth_acceleration
-growth_acceleration_range sentiment_label emotion_label toxicity_label toxicity_score
-toxicity_score_range pharma_risk_score pharma_risk_score_range engagement_rate
-engagement_rate_range views_per_hour views_per_hour_range view_velocity view_velocity_range
-narrative_cluster_id dominant_topic_id topic_keywords cluster_topic_name cluster_volume
-cluster_volume_range narrative_trend_score narrative_trend_score_range ravs_score
-ravs_score_range alert_score alert_score_range view_count like_count comment_count
-subscriber_count tracking_timestamp
-""".split()
-EMPTY_ALERT_COLUMNS = """
-video_id title channel_title alert_type alert_priority alert_reason alert_score ravs_score
-viral_probability
-""".split()
+ALERT_COLUMNS = [
+    "video_id", "title", "channel_title", "alert_type", "alert_priority", "alert_reason", "ravs_speed_of_engagement",
+    "ravs_regulatory_relevance", "ravs_safety_implications", "ravs_influencer_reach", "ravs_topic_sensitivity",
+    "viral_probability", "viral_probability_range", "trend_score", "trend_score_range", "growth_acceleration",
+    "growth_acceleration_range", "sentiment_label", "emotion_label", "toxicity_label", "toxicity_score",
+    "toxicity_score_range", "pharma_risk_score", "pharma_risk_score_range", "engagement_rate",
+    "engagement_rate_range", "views_per_hour", "views_per_hour_range", "view_velocity", "view_velocity_range",
+    "narrative_cluster_id", "dominant_topic_id", "topic_keywords", "cluster_topic_name", "cluster_volume",
+    "cluster_volume_range", "narrative_trend_score", "narrative_trend_score_range", "ravs_score", "ravs_score_range",
+    "alert_score", "alert_score_range", "view_count", "like_count", "comment_count", "subscriber_count",
+    "tracking_timestamp",
+]
+EMPTY_ALERT_COLUMNS = [
+    "video_id", "title", "channel_title", "alert_type", "alert_priority", "alert_reason", "alert_score", "ravs_score",
+    "viral_probability",
+]
 
 # Text columns that get an English twin, and the order they join in.
 TRANSLATED = [

@@ -10,6 +10,7 @@ from tidewatch.functions.numeric import number
 from tidewatch.functions.text import blank_to_null
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def new_rows(df: DataFrame, done: DataFrame, key: str = "video_id") -> DataFrame:
@@ -24,9 +25,12 @@ def new_rows(df: DataFrame, done: DataFrame, key: str = "video_id") -> DataFrame
     return unseen.unionByName(df.where(F.col(key).isNull()))
 
 
-def small(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side is small; else leave the choice to AQE."""
-    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
+def small(dim: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring that the side is small in rows and bytes; else leave the choice to AQE."""
+    wide = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in dim.columns]
+    size = F.coalesce(F.sum(sum(wide[1:], wide[0])), F.lit(0))
+    rows, held = dim.limit(max_rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(dim) if rows <= max_rows and held <= max_bytes else dim
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, defaults: dict[str, Column], bounded: bool = False) -> DataFrame:
@@ -57,12 +61,12 @@ def refresh_metrics(df: DataFrame, latest: DataFrame | None) -> DataFrame:
     return joined.withColumns({c: number(c) for c in live})
 
 
-def attach_predictions(df: DataFrame, predictions: DataFrame) -> DataFrame:
+def attach_predictions(df: DataFrame, predictions: DataFrame, order: str) -> DataFrame:
+    """Attach each item's first prediction by ``order``, which must tell an item's predictions apart."""
     from tidewatch.operators.ranking import first_per_key
 
     wanted = [c for c in ("viral_probability", "predicted_viral") if c in predictions.columns]
-    order = [F.col("ord")] if "ord" in predictions.columns else [F.col(c) for c in wanted]
-    one = first_per_key(predictions, ["video_id"], order).select("video_id", *wanted)
+    one = first_per_key(predictions, ["video_id"], [F.col(order).asc_nulls_last()]).select("video_id", *wanted)
     return df.drop(*wanted).join(one, "video_id", "left")
 
 
@@ -71,12 +75,12 @@ def resolvable(targets: DataFrame, details: DataFrame, key: str = "video_id") ->
     return targets.join(details.select(key), key, "left_semi")
 
 
-def with_group_size(df: DataFrame, key: str, out: str = "cluster_volume", sizes: DataFrame | None = None, bounded: bool = True) -> DataFrame:
+def with_group_size(df: DataFrame, key: str, out: str = "cluster_volume", sizes: DataFrame | None = None, bounded: bool = False) -> DataFrame:
     """Rows per group as a column.
 
     Counted by a partial aggregate and joined back, so a large group is never gathered in one
-    task. ``bounded`` says that the groups are clusters, of which there are at most fifty; a table
-    of any other groups is counted before it is broadcast.
+    task. ``bounded=True`` is for groups that are clusters, of which there are at most fifty; a table
+    of any other groups is measured before it is broadcast.
     """
     if sizes is None:
         sizes = df.groupBy(key).agg(F.count("*").alias(out))

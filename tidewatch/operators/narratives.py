@@ -145,7 +145,7 @@ def neighbour_scores(df: DataFrame, order: str, vector: str, rows: int = NEIGHBO
 
 
 def with_narrative_trend(df: DataFrame, cluster: str = "narrative_cluster_id", sizes: DataFrame | None = None) -> DataFrame:
-    sized = with_group_size(df.drop("cluster_volume"), cluster, "cluster_volume", sizes)
+    sized = with_group_size(df.drop("cluster_volume"), cluster, "cluster_volume", sizes, bounded=True)
     return sized.withColumn("narrative_trend_score", weighted(NARRATIVE_WEIGHTS))
 
 

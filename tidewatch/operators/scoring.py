@@ -139,7 +139,14 @@ def translate_column(df: DataFrame, column: str, out: str, translator: Translato
                 return text
 
         for parts in batches:
-            yield parts.map(one)
+            values = parts.tolist()
+            try:
+                found = list(translator(values))
+                if len(found) != len(values):
+                    raise ValueError("one translation per text is needed")
+                yield pd.Series([d.strip() if isinstance(d, str) and d.strip() else v for d, v in zip(found, values)], dtype="object")
+            except Exception:  # the translator's own faults: only the texts it cannot handle keep their original
+                yield pd.Series([one(v) for v in values], dtype="object")
 
     done = pieces.select("_key", "_i", run("_part").alias("_part"))
     whole = done.groupBy("_key").agg(F.array_join(

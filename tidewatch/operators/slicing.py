@@ -29,7 +29,7 @@ def _position(df: DataFrame, order: str) -> Column:
 
 
 def hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> list:
-    """Keys with more than ``limit`` rows and their counts: at most rows / limit of them."""
+    """Keys with more than ``limit`` rows and their counts: at most rows / limit of them, 50,000 for 10^11 rows."""
     return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()
 
 
@@ -59,8 +59,7 @@ def with_slices(df: DataFrame, key: str, order: str, limit: int = HOT_ROWS) -> t
     # Each key keeps cuts in proportion to its rows, so all cuts together are about rows / limit.
     own = F.least(F.lit(pieces), F.ceil(F.col("_n") / limit).cast("int") + 1)
     cuts = (
-        df.select(key, _position(df, order).alias("_p"))
-        .join(F.broadcast(named), key)
+        _join(df.select(key, _position(df, order).alias("_p")), F.broadcast(named), key, "inner")
         .groupBy(key, "_n")
         .agg(F.percentile_approx("_p", steps, 100 * pieces).alias("_grid"))
         .withColumn("_own", own)
@@ -71,7 +70,7 @@ def with_slices(df: DataFrame, key: str, order: str, limit: int = HOT_ROWS) -> t
         .withColumn("_every", F.filter("_cuts", lambda c, i: i % _BLOCK == 0))
     )
     position = _position(df, order)
-    sliced = df.join(F.broadcast(cuts), key, "left").withColumn(
+    sliced = _join(df, F.broadcast(cuts), key, "left").withColumn(
         _SLICE,
         F.when(F.col("_cuts").isNull(), 0)
         .when(position.isNull(), F.size("_cuts") + 1)
@@ -80,6 +79,16 @@ def with_slices(df: DataFrame, key: str, order: str, limit: int = HOT_ROWS) -> t
     return sliced.withColumn("_hot", F.col("_cuts").isNotNull()).drop("_cuts", "_every"), True
 
 
+def _join(df: DataFrame, side: DataFrame, key: str, how: str) -> DataFrame:
+    """Join a broadcast side by key, NULL matching NULL: rows without a key can be a hot group too."""
+    return df.join(side.withColumnRenamed(key, "_other"), F.col(key).eqNullSafe(F.col("_other")), how).drop("_other")
+
+
+def _solid(df: DataFrame, key: str) -> DataFrame:
+    """Add ``_key``, which is never NULL, so that windows and the carry's join agree on rows without a key."""
+    return df.withColumn("_key", F.struct(F.col(key)))
+
+
 def _asc(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order]
 
@@ -92,36 +101,37 @@ def previous_rows(df: DataFrame, key: str, order: Sequence[str], columns: Sequen
         w = Window.partitionBy(key).orderBy(*_asc(order))
         return df.withColumns({"_prev1": F.lag(payload, 1).over(w), "_prev2": F.lag(payload, 2).over(w)})
 
-    part = Window.partitionBy(key, _SLICE)
+    sliced = _solid(sliced, key)
+    part = Window.partitionBy("_key", _SLICE)
     w = part.orderBy(*_asc(order))
     ends = (
         sliced.where("_hot")
         .withColumn("_back", F.row_number().over(part.orderBy(*[F.col(c).desc_nulls_first() for c in order])))
         .where("_back <= 2")
     )
-    across = Window.partitionBy(key).orderBy(_SLICE, F.desc("_back"))
+    across = Window.partitionBy("_key").orderBy(_SLICE, F.desc("_back"))
     carry = (
         ends.select(
-            key, _SLICE, "_back",
+            "_key", _SLICE, "_back",
             F.lag(payload, 1).over(across).alias("_c1"),
             F.lag(payload, 2).over(across).alias("_c2"),
             F.max("_back").over(part).alias("_first"),
         )
         .where("_back = _first")
-        .select(key, _SLICE, "_c1", "_c2")
+        .select("_key", _SLICE, "_c1", "_c2")
     )
     local = sliced.withColumns({
         "_rn": F.row_number().over(w),
         "_l1": F.lag(payload, 1).over(w),
         "_l2": F.lag(payload, 2).over(w),
     })
-    linked = local.join(carry, [key, _SLICE], "left")
+    linked = local.join(carry, ["_key", _SLICE], "left")
     return linked.withColumns({
         "_prev1": F.when(F.col("_rn") == 1, F.col("_c1")).otherwise(F.col("_l1")),
         "_prev2": F.when(F.col("_rn") == 1, F.col("_c2"))
         .when(F.col("_rn") == 2, F.col("_c1"))
         .otherwise(F.col("_l2")),
-    }).drop("_rn", "_l1", "_l2", "_c1", "_c2", "_hot", _SLICE)
+    }).drop("_rn", "_l1", "_l2", "_c1", "_c2", "_hot", "_key", _SLICE)
 
 
 def running_totals(df: DataFrame, key: str, order: Sequence[str], totals: dict[str, Column], limit: int = HOT_ROWS) -> DataFrame:
@@ -131,19 +141,20 @@ def running_totals(df: DataFrame, key: str, order: Sequence[str], totals: dict[s
     if not cut:
         w = Window.partitionBy(key).orderBy(*_asc(order)).rowsBetween(*rows)
         return df.withColumns({name: F.sum(c).over(w) for name, c in totals.items()})
-    w = Window.partitionBy(key, _SLICE).orderBy(*_asc(order)).rowsBetween(*rows)
-    before = Window.partitionBy(key).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    sliced = _solid(sliced, key)
+    w = Window.partitionBy("_key", _SLICE).orderBy(*_asc(order)).rowsBetween(*rows)
+    before = Window.partitionBy("_key").orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        sliced.where("_hot").groupBy(key, _SLICE)
+        sliced.where("_hot").groupBy("_key", _SLICE)
         .agg(*[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
-        .select(key, _SLICE, *[F.sum(f"_t_{n}").over(before).alias(f"_b_{n}") for n in totals])
+        .select("_key", _SLICE, *[F.sum(f"_t_{n}").over(before).alias(f"_b_{n}") for n in totals])
     )
     local = sliced.withColumns({f"_s_{n}": F.sum(c).over(w) for n, c in totals.items()})
-    linked = local.join(carry, [key, _SLICE], "left")
+    linked = local.join(carry, ["_key", _SLICE], "left")
     zero = F.lit(0)
     return linked.withColumns(
         {n: F.col(f"_s_{n}") + F.coalesce(F.col(f"_b_{n}"), zero) for n in totals}
-    ).drop(*[p + n for n in totals for p in ("_s_", "_b_")], "_hot", _SLICE)
+    ).drop(*[p + n for n in totals for p in ("_s_", "_b_")], "_hot", "_key", _SLICE)
 
 
 def ordered_concat(df: DataFrame, key: str, order: Sequence[str], text: Column, separator: str, out: str, parts: bool = False, limit: int = HOT_ROWS) -> DataFrame:

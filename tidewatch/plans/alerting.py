@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import plain
 from tidewatch.operators import alerts as rules
@@ -37,7 +38,8 @@ def scored_alerts(df: DataFrame, thresholds: rules.Thresholds | None = None, lim
 
 
 def build_alerts(predicted: DataFrame, n: int = rules.TOP_ALERTS, latest_only: bool = False) -> DataFrame:
-    """The top alerts of all rows, or of the newest row per item."""
+    """The top alerts of all rows, or of the newest row per item; rows of one time are told apart by their content."""
     if latest_only and "tracking_timestamp" in predicted.columns:
-        predicted = latest_rows(predicted, "video_id", ["tracking_timestamp"])
+        content = F.xxhash64(*[F.col(c) for c in predicted.columns])
+        predicted = latest_rows(predicted.withColumn("_content", content), "video_id", ["tracking_timestamp", "_content"]).drop("_content")
     return rules.final_alerts(scored_alerts(predicted), n)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.operators.scoring import Scorer, Translator
 from tidewatch.operators.shaping import lookback, published_between
 from tidewatch.plans import alerting, cleaning, features, narrative, tracking, virality
 from tidewatch.sources import sinks
+from tidewatch.streaming.ingest import fresh_rows
 
 
 @dataclass(frozen=True)
@@ -25,6 +28,18 @@ class Tables:
         return f"{self.root}/{name}"
 
 
+@dataclass(frozen=True)
+class Hooks:
+    """Models over a list of texts (see ``operators.scoring``); without one its lexicon or hashed form is used."""
+
+    translator: Translator | None = None
+    sentiment: Scorer | None = None
+    emotion: Scorer | None = None
+    toxicity: Scorer | None = None
+    embedding: Callable[[list[str]], np.ndarray] | None = None
+    naming: str = "lexicon"
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
@@ -34,15 +49,19 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def run_once(spark: SparkSession, tables: Tables, videos: DataFrame, as_of: Column, topic_lexicon: Mapping[str, Sequence[str]], stop_words: Sequence[str], comments: DataFrame | None = None, snapshots: DataFrame | None = None, model: PipelineModel | None = None, lookback_hours: int | None = None) -> DataFrame:
+def run_once(spark: SparkSession, tables: Tables, videos: DataFrame, as_of: Column, topic_lexicon: Mapping[str, Sequence[str]], stop_words: Sequence[str], comments: DataFrame | None = None, snapshots: DataFrame | None = None, model: PipelineModel | None = None, lookback_hours: int | None = None, hooks: Hooks = Hooks()) -> DataFrame:
     """Run every stage that has its input; without a model it stops after the narratives.
 
-    Items and features already stored are not processed again; history is only appended to.
+    Items and features already stored are not processed again; history is only appended to. Of rows with
+    one id in ``videos`` the first by keyword counts, then by content; rows without an id all count.
     """
     if lookback_hours is not None:
         videos = published_between(videos, after=lookback(as_of, lookback_hours))
-    clean = cleaning.clean_items(videos, comments, stored(spark, tables.features))
-    rows = features.build_features(clean, as_of)
+    by = [F.col("keyword").asc_nulls_last()] if "keyword" in videos.columns else []
+    content = F.xxhash64(*[F.col(c).cast("string") for c in videos.columns])
+    videos = fresh_rows(videos, None, [*by, content])
+    clean = cleaning.clean_items(videos, comments, stored(spark, tables.features), hooks.translator)
+    rows = features.build_features(clean, as_of, None, hooks.sentiment, hooks.emotion, hooks.toxicity)
     sinks.append(rows.withColumn("processed_at", as_of), tables.features, "processed_at")
 
     latest = None if snapshots is None else tracking.latest_metrics(snapshots, "snapshot_time")
@@ -55,7 +74,9 @@ def run_once(spark: SparkSession, tables: Tables, videos: DataFrame, as_of: Colu
         "row_key", F.concat_ws("@", "video_id", F.unix_micros("tracking_timestamp").cast("string"))
     )
     sinks.overwrite(
-        narrative.build_narratives(tracked, topic_lexicon, stop_words, order="row_key"), tables.narratives
+        narrative.build_narratives(
+            tracked, topic_lexicon, stop_words, order="row_key", model=hooks.embedding, strategy=hooks.naming
+        ), tables.narratives
     )
     found = spark.read.parquet(tables.narratives)
     if model is None:

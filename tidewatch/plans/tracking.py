@@ -144,7 +144,3 @@ def build_tracking(history: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
     """
     rows = tracking_rows(history, limit)
     return with_trend_labels(rows, trend_thresholds(rows))
-
-
-def history_columns(df: DataFrame) -> DataFrame:
-    return existing_only(df, [f.name for f in TRACKING_HISTORY.fields] + CARRIED)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +16,9 @@ from tidewatch.operators.alerts import subscribers, with_ravs
 from tidewatch.operators.ranking import best_row, best_rows, preferred, top
 from tidewatch.operators.shaping import existing_only, without_nulls
 
+log = logging.getLogger(__name__)
 HIGH_RAVS = 0.70
+# The columns of the feed and alert tables.
 FEED = ["title", "topic_keywords", "viral_probability", "ravs_score", "sentiment_label", "emerging_narrative"]
 ALERT_BRIEF = ["title", "alert_type", "alert_priority", "ravs_score", "viral_probability", "pharma_risk_score"]
 ALERT_DETAIL = [
@@ -31,7 +36,8 @@ def main_table(narrative: DataFrame, features: DataFrame) -> DataFrame:
     if "ravs_score" not in rows.columns or rows.where("ravs_score is not null").isEmpty():
         try:
             return with_ravs(rows.drop("ravs_score"))
-        except Exception:
+        except AnalysisException as error:  # a column the score needs is missing or of another kind
+            log.warning("RAVS set to 0: %s", error.getCondition())
             return rows.withColumn("ravs_score", F.lit(0.0))
     return rows
 
@@ -80,7 +86,8 @@ def alert_detail(alerts: DataFrame) -> DataFrame:
 
 
 def _score(df: DataFrame, c: str, default: float = 0.0) -> Column:
-    return number(c, default) if c in df.columns else F.lit(default)
+    """The column with NULL as 0; ``default`` is for a column that is not there."""
+    return number(c) if c in df.columns else F.lit(default)
 
 
 def components(df: DataFrame) -> dict[str, Column]:
@@ -133,11 +140,6 @@ def _card(row: DataFrame) -> DataFrame:
     }).drop("_t", "_w")
 
 
-def scenario_card(df: DataFrame, scenario: str, tiebreak: str) -> DataFrame:
-    """The scenario's leading item with its total, tier, time to virality and response window."""
-    return _card(best_row(df, scenario, tiebreak).withColumn("scenario", F.lit(scenario)))
-
-
 def scenario_cards(df: DataFrame, tiebreak: str) -> DataFrame:
     """The cards of all scenarios, from one pass over the table."""
     return _card(best_rows(df, tiebreak))

@@ -11,6 +11,8 @@ from tidewatch.functions.numeric import number
 from tidewatch.functions.temporal import utc
 from tidewatch.sources.schemas import as_text, empty
 
+SPREAD_BYTES = 256 << 20
+
 
 def csv_reader(spark: SparkSession, schema: T.StructType, multiline: bool = True):
     """CSV with a header, doubled quotes and, by default, quoted line breaks.
@@ -97,11 +99,11 @@ def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return spark.read.parquet(path).select(*columns)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table of a few files out over all cores.
+def spread(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Deal the rows of a table of at most ``max_bytes`` out over all cores.
 
-    For CPU-heavy work on a small table, whose files may each hold one unsplittable row
-    group. A table of at least as many files as cores is returned as it is, unshuffled.
+    For CPU-heavy work on a small table, whose files may each hold one unsplittable row group. The
+    size is that of the files, as the optimizer knows it; a larger table is returned as it is, unshuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism) if size <= max_bytes else df
