@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.models_ import STOP_WORDS
 from tidewatch.catalog.registry import Tables
-from tidewatch.operators import scoring, topics
+from tidewatch.operators import narratives, scoring, topics
 from tidewatch.plans import narrative, virality
 from tidewatch.session import scratch_path, stage
 
@@ -136,3 +136,26 @@ def test_narratives(spark, t, strategy):
     share = sum(r.emerging_narrative == "emerging" for r in stored) / len(stored)
     assert 0.05 <= share < 0.2
     assert "trend_score_range" in got.columns and "embedding" not in got.columns
+
+
+def test_neighbour_scores_of_all_rows(spark):
+    """Copies exactly, and at least nine rows in ten to their exact value, against all pairs."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    v = centres[rng.integers(0, 40, 3000)] + 0.3 * rng.normal(size=(3000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[100:130] = v[5]
+    v[200] = 0
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v.astype(np.float32))] + [(3000, None)]
+    df = spark.createDataFrame(rows, "id long, e array<float>")
+    got = {r.id: r.narrative_similarity_score for r in narratives.all_neighbour_scores(df, "e").collect()}
+    cosine = v.astype(np.float32).astype(float) @ v.astype(np.float32).astype(float).T
+    np.fill_diagonal(cosine, -1)
+    exact = cosine.max(axis=1)
+    assert len(got) == 3001 and got[200] == 0 and got[3000] == 0
+    assert all(got[i] == 1.0 for i in (5, *range(100, 130)))
+    others = [i for i in range(3000) if i != 200]
+    assert np.mean([abs(got[i] - exact[i]) < 2e-4 for i in others]) >= 0.9
+    assert all(got[i] <= exact[i] + 2e-4 for i in others)
+    assert narratives.all_neighbour_scores(df.limit(0), "e").count() == 0
+    assert [r.narrative_similarity_score for r in narratives.all_neighbour_scores(df.limit(1), "e").collect()] == [0.0]

@@ -120,6 +120,12 @@ def c8(t: Tables):
     return narratives.neighbour_scores(t.embeddings, "vec_id", "embedding").select("vec_id", "narrative_similarity_score")
 
 
+@query("c8_all_rows_score")
+def c8_all(t: Tables):
+    """The score over all rows; a test holds it against all pairs."""
+    return narratives.all_neighbour_scores(t.embeddings.select("vec_id", "embedding"), "embedding").select("vec_id", "narrative_similarity_score")
+
+
 @query("c9_global_threshold_compare", """
     SELECT video_id, narrative_trend_score >= (SELECT quantile_cont(narrative_trend_score, 0.95) FROM v_scored) AS over
     FROM (SELECT video_id, round(narrative_trend_score, 6) AS r, narrative_trend_score FROM v_scored)""", V_SCORED)

@@ -14,6 +14,9 @@ from tidewatch.operators.lookups import with_group_size
 from tidewatch.operators.quantiles import quantiles_once
 
 NEIGHBOUR_ROWS = 1000
+CELL_ROWS = 256
+MOST_CELLS = 1 << 14
+PROBES = 4
 _MASK_BITS = 60
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -113,7 +116,7 @@ def cluster_names(df: DataFrame, topics: Mapping[str, Sequence[str]], stop_words
 def neighbour_scores(df: DataFrame, order: str, vector: str, rows: int = NEIGHBOUR_ROWS, out: str = "narrative_similarity_score", source: DataFrame | None = None) -> DataFrame:
     """Highest cosine of each of the first ``rows`` unit vectors to another of them.
 
-    Later rows get 0, which is the measure's definition. The comparison set is at most
+    Later rows get 0: the parity form of the measure; ``all_neighbour_scores`` is the one for all rows. The comparison set is at most
     ``rows`` vectors whatever the table size: it goes to the tasks as one matrix, each
     Arrow batch is one matrix product, and only those rows pass through Python. ``source`` is
     the table to take the vectors from, where ``df`` has them only after further steps.
@@ -144,6 +147,54 @@ def neighbour_scores(df: DataFrame, order: str, vector: str, rows: int = NEIGHBO
     return joined.withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
+def all_neighbour_scores(df: DataFrame, vector: str, out: str = "narrative_similarity_score", probes: int = PROBES) -> DataFrame:
+    """Highest cosine of each unit vector to any other row's, over all rows.
+
+    Vectors that occur more than once get 1 from a count. The distinct ones go into the cells of their
+    ``probes`` nearest centres; a cell compares its vectors in blocked matrix products and gives one
+    maximum per vector, never pairs. Centres are the distinct vectors with the smallest hash, one for
+    ``CELL_ROWS`` vectors, at most ``MOST_CELLS`` (the bound of their broadcast; beyond that cells grow). So
+    copies are exact and other scores are a lower bound that misses the true neighbour where it shares no
+    cell: a test holds at least 0.9 of the rows to the exact value. Null and zero vectors get 0.
+    """
+    from tidewatch.session import stage
+
+    keyed = df.withColumn("_vec", F.xxhash64(vector))
+    solid = F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0)
+    counted = keyed.where(solid).groupBy("_vec").agg(F.any_value(vector).alias("_v"), F.count("*").alias("_n"))
+    distinct = stage(counted, "vectors")
+    total = distinct.count()
+    centres = distinct.orderBy("_vec").limit(max(1, min(MOST_CELLS, total // CELL_ROWS))).select("_v").collect()
+    if total < 2:
+        scores = distinct.select("_vec", F.when(F.col("_n") > 1, 1.0).otherwise(0.0).alias("_best"))
+    else:
+        held = df.sparkSession.sparkContext.broadcast(np.array([r["_v"] for r in centres], dtype=np.float32))
+
+        @F.pandas_udf("array<int>")
+        def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for values in batches:
+                near = np.stack(values.to_numpy()).astype(np.float32) @ held.value.T if len(values) else np.zeros((0, 1))
+                n = min(probes, near.shape[1])
+                yield pd.Series(list(np.argpartition(-near, n - 1, axis=1)[:, :n].astype(np.int32)), dtype="object")
+
+        def compare(rows: pd.DataFrame) -> pd.DataFrame:
+            vectors = np.stack(rows["_v"].to_numpy()).astype(np.float64)
+            best = np.full(len(rows), -1.0)
+            for at in range(0, len(rows), 1024):
+                cosine = vectors[at:at + 1024] @ vectors.T
+                cosine[np.arange(len(cosine)), np.arange(at, at + len(cosine))] = -1.0
+                best[at:at + 1024] = cosine.max(axis=1)
+            return pd.DataFrame({"_vec": rows["_vec"], "_best": np.round(best, 4)})
+
+        placed = distinct.select("_vec", "_v", F.explode_outer(cells("_v")).alias("_cell"))
+        found = placed.groupBy("_cell").applyInPandas(compare, "_vec long, _best double")
+        best = found.groupBy("_vec").agg(F.max("_best").alias("_best"))
+        scores = distinct.select("_vec", "_n").join(best, "_vec").select(
+            "_vec", F.when(F.col("_n") > 1, 1.0).otherwise(F.col("_best")).alias("_best"))
+    joined = keyed.join(scores, "_vec", "left").withColumn(out, F.when(solid, F.coalesce("_best", F.lit(0.0))).otherwise(0.0))
+    return joined.drop("_vec", "_best")
+
+
 def with_narrative_trend(df: DataFrame, cluster: str = "narrative_cluster_id", sizes: DataFrame | None = None) -> DataFrame:
     sized = with_group_size(df.drop("cluster_volume"), cluster, "cluster_volume", sizes, bounded=True)
     return sized.withColumn("narrative_trend_score", weighted(NARRATIVE_WEIGHTS))

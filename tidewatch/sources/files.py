@@ -105,5 +105,5 @@ def spread(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
     For CPU-heavy work on a small table, whose files may each hold one unsplittable row group. The
     size is that of the files, as the optimizer knows it; a larger table is returned as it is, unshuffled.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism) if size <= max_bytes else df
