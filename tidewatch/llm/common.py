@@ -25,8 +25,8 @@ def crc_fold(name: str, folds: int) -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % folds
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that a block's ``column`` holds about ``max_bytes`` (one row at least)."""
+def blocks(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int, max_rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that a block has at most ``max_rows`` and about ``max_bytes`` in ``column`` (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -34,7 +34,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> It
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
+            stop = max(start + 1, min(start + max_rows, int(np.searchsorted(ends, before + max_bytes, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import free_prefix, stage
+from tidewatch.llm.common import blocks, free_prefix, stage
 
 PREFIX = "__dedup_"
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 21
 HOT_GROUPS = 1000
 
 #: Fields of a partial owner beside the row itself. ``ties`` counts the rows that tie for best.
@@ -146,7 +146,7 @@ def _rows(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
     return zip(*(batch.column(i).to_pylist() for i in range(width)), strict=True)
 
 
-def owners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", budget: int = 48 << 20) -> DataFrame:
+def owners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", budget: int = 24 << 20) -> DataFrame:
     """One row per distinct text: the row that stays, all its columns, and the ``OWNER`` fields.
 
     The names of those fields start with ``free_prefix(docs, PREFIX)``.
@@ -161,7 +161,7 @@ def owners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", b
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, out = Trie(), _Writer(arrow)
-        for batch in batches:
+        for batch in blocks(batches, text_col, BATCH_BYTES):
             for row in _rows(batch, width):
                 key, points = normalised(row[at_text]), len(row[at_text] or "")
                 if not key:
@@ -179,8 +179,8 @@ def owners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", b
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, out, place = Trie(), _Writer(arrow), None
-        for batch in batches:
-            for row in _rows(batch, width + 7):
+        for batch in blocks(batches, text_col, BATCH_BYTES):
+            for row in _rows(batch, width + len(OWNER)):
                 key, length, content, _, points, count, ties = row[width:]
                 if (length, content) != place:
                     place = (length, content)
@@ -216,7 +216,7 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         F.col(f"{PREFIX}count").alias("group_size"), F.col(f"{PREFIX}ties").alias("__ties")), "dedup-groups")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "__text", BATCH_BYTES):
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([hashlib.sha256(normalised(t)).hexdigest() for t in texts], pa.string()),

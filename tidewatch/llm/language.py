@@ -33,6 +33,7 @@ from tidewatch.llm.common import blocks, first_schema
 DIMS = 1 << 13
 ORDERS = (1, 2, 3, 4)
 BLOCK_BYTES = 1 << 18
+BLOCK_ROWS = 64  # a row takes DIMS numbers
 UNDETERMINED = "und"
 
 
@@ -87,7 +88,7 @@ def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: in how many texts each dimension occurs; dimension -1 counts the texts."""
     seen, n = np.zeros(DIMS, np.int64), 0
-    for block in blocks(batches, "text", BLOCK_BYTES):
+    for block in blocks(batches, "text", BLOCK_BYTES, BLOCK_ROWS):
         tf, letters = counts(block.column("text").to_pylist())
         seen += (tf > 0).sum(axis=0)
         n += int(letters.sum())
@@ -175,7 +176,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "__text", BLOCK_BYTES):
+        for block in blocks(batches, "__text", BLOCK_BYTES, BLOCK_ROWS):
             lang, score, rejected = predict(block.column("__text").to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays(
                 [block.column(n) for n in names] + [pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
@@ -190,13 +191,9 @@ def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     """The rows, all columns as they are, whose language is not rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def keep(texts: pd.Series) -> pd.Series:
-        out, ends, start = [], texts.fillna("").str.len().cumsum().to_numpy(), 0
-        while start < len(texts):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BLOCK_BYTES, "right")))
-            out.append(~predict([t if isinstance(t, str) else None for t in texts[start:stop]], shared.value)[2])
-            start = stop
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text_col, BLOCK_BYTES, BLOCK_ROWS):
+            rejected = predict(block.column(text_col).to_pylist(), shared.value)[2]
+            yield block.filter(pa.array(~rejected))
 
-    return docs.where(keep(F.col(text_col)))
+    return docs.mapInArrow(run, docs.schema)

@@ -25,19 +25,19 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import first_schema, free_prefix, stage
+from tidewatch.llm.common import blocks, first_schema, free_prefix, stage
 from tidewatch.llm.graph import components
 
 BITS = 64
 HOT_GROUPS = 1000
 SMALL_SHARD = 64
 _CHUNK = 1 << 16
+BATCH_BYTES = 1 << 21
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -57,13 +57,14 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, __fp): the fingerprint of each row as a signed long."""
+    """(id, __fp, __text_hash): the fingerprint of each row as a signed long, and a hash that tells rows of one id apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=[id_col, "__fp"])
+        for block in blocks(batches, "__text", BATCH_BYTES):
+            values = [fingerprint(t, shingle) for t in block.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(values, pa.int64()), block.column("__text_hash")], names=[id_col, "__fp", "__text_hash"])
 
-    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, first_schema(docs, id_col) + ", __fp long")
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__text_hash"))
+    return rows.mapInArrow(run, first_schema(docs, id_col) + ", __fp long, __text_hash long")
 
 
 class BKTree:
@@ -226,16 +227,13 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The rows whose id is their component's, all columns as they are.
 
     A component without any id keeps all its rows (nothing tells them apart); so do rows that repeat
-    both id and fingerprint.
+    both id and text.
     """
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t if isinstance(t, str) else None, shingle) for t in texts], dtype="int64")
-
     rows = stage(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "simhash-rows")
     found = groups(rows, id_col=id_col, radius=radius, free=free).where(F.col("__least").eqNullSafe(F.col("component_id")))
-    found = found.select("__fp", F.col("__least").alias("__stay"))
-    own = free_prefix(docs, "__fp")
-    marked = docs.withColumn(own, fp(F.col(text_col))).alias("d")
-    stays = (F.col(f"d.{own}") == F.col("k.__fp")) & F.col(f"d.{id_col}").eqNullSafe(F.col("k.__stay"))
-    return marked.join(found.alias("k"), stays, "left_semi").select(*docs.columns)
+    staying = rows.join(found.select("__fp", F.col("__least").alias("__stay")), "__fp").where(F.col(id_col).eqNullSafe(F.col("__stay")))
+    staying = stage(staying.select("__stay", "__text_hash").distinct(), "simhash-stay").alias("k")
+    own = free_prefix(docs, "__text_hash")
+    marked = docs.withColumn(own, F.xxhash64(text_col)).alias("d")
+    same = (F.col(f"d.{own}") == F.col("k.__text_hash")) & F.col(f"d.{id_col}").eqNullSafe(F.col("k.__stay"))
+    return marked.join(staying, same, "left_semi").select(*docs.columns)
