@@ -2,7 +2,7 @@
 
 from tidewatch.catalog.registry import REGISTRY
 from tidewatch.catalog import (  # noqa: F401  (importing registers the queries)
-    sources_, shaping_, joins_, aggregates_, windows_, scalars_, models_, views_, streams_,
+    sources_, shaping_, joins_, aggregates_, windows_, scalars_, models_, views_, streams_, checks_,
 )
 
 __all__ = ["REGISTRY"]

@@ -66,8 +66,8 @@ def with_viral_label(df: DataFrame, q: float = 0.95, scope: DataFrame | None = N
 def build_features(clean: DataFrame, as_of: Column, done: DataFrame | None = None, sentiment: Scorer | None = None, emotion: Scorer | None = None, toxicity: Scorer | None = None, fold_lexicon: bool = True, max_chars: int | None = None) -> DataFrame:
     """All feature columns of the new clean items.
 
-    The label threshold is a first pass with only the columns of the virality score. With a
-    model scorer the scored batch is written before it instead, so each text is scored once.
+    The scored batch is written once: its label threshold then reads one column, and no text is
+    normalised or scored twice.
     ``max_chars`` limits what a scorer sees, for models that take no longer input.
     """
     rows = clean if done is None else new_rows(clean, done)
@@ -76,6 +76,4 @@ def build_features(clean: DataFrame, as_of: Column, done: DataFrame | None = Non
     for score, model in scorers:
         rows = score(rows, "analysis_text_clean", model, max_chars)
     rows = with_virality(with_risk(rows, fold_lexicon=fold_lexicon))
-    if any(model for _, model in scorers):
-        rows = stage(rows, "scored")
-    return with_viral_label(rows)
+    return with_viral_label(stage(rows, "scored"))
