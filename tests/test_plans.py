@@ -96,6 +96,7 @@ def test_large_tables_are_not_dealt_out(spark):
     assert spread(many) is many
     one = spark.read.parquet(f"{SF}/events.parquet")
     assert spread(one) is not one
+    assert spread(one, max_bytes=1000) is one
 
 
 def test_scratch_follows_the_session(spark, monkeypatch):

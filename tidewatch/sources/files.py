@@ -100,10 +100,12 @@ def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 
 
 def spread(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
-    """Deal the rows of a table of at most ``max_bytes`` out over all cores.
+    """Deal the rows of a table of at most ``max_bytes`` in fewer files than cores out over all cores.
 
     For CPU-heavy work on a small table, whose files may each hold one unsplittable row group. The
-    size is that of the files, as the optimizer knows it; a larger table is returned as it is, unshuffled.
+    size is that of the files, as the optimizer knows it; a larger table is returned as it is, unshuffled,
+    and its file names are not listed.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism) if size <= max_bytes else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if size <= max_bytes and len(df.inputFiles()) < cores else df
