@@ -102,3 +102,12 @@ def test_term_list(spark, tmp_path, raw, body, expected):
 
 def test_schema_sizes():
     assert (len(VIDEO_RAW), len(COMMENT_RAW), len(SNAPSHOT), len(TRACKING_HISTORY)) == (25, 10, 21, 25)
+
+
+def test_topic_lexicon_round_trip(spark):
+    from tidewatch.operators.narratives import read_topics, topic_table
+
+    topics = {"Signs": ["***", "$$$"], "Words": ["the ", "of "]}
+    path = scratch_path(spark, "topics")
+    topic_table(spark, topics).write.parquet(path)
+    assert read_topics(spark, path) == topics

@@ -13,7 +13,7 @@ from tidewatch.functions.numeric import number
 from tidewatch.functions.text import ellipsis
 from tidewatch.operators import aggregates
 from tidewatch.operators.alerts import subscribers, with_ravs
-from tidewatch.operators.ranking import best_row, best_rows, preferred, top
+from tidewatch.operators.ranking import best_rows, preferred, top
 from tidewatch.operators.shaping import existing_only, without_nulls
 
 log = logging.getLogger(__name__)
