@@ -18,7 +18,9 @@ Tokens named in the tokenizer as special are read as ordinary text.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -54,7 +56,7 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.plain = self._splits_words()
+        self.plain = sys.byteorder == "little" and array("I").itemsize == 4 and self._splits_words()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -68,7 +70,7 @@ class Encoder(dict):
     def _letters(self, stem: str) -> bytes:
         """Ids of lower-case letters, written as the byte-level alphabet."""
         spelt = stem.encode().decode("latin-1").translate(_BYTE_ALPHABET)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
 
     def _splits_words(self) -> bool:
         """Whether this tokenizer treats letters and closing marks as assumed; else every word goes through it whole."""
@@ -85,8 +87,9 @@ class Encoder(dict):
         low = stem.lower()
         # Letters up to U+024F in composed form: their lower case is the same with any rule.
         if self.plain and stem and low.isalpha() and max(low) < "\u0250" and min(low) != "\u0149" and "\u0130" not in stem:
-            marks = text[len(stem):]
-            ids = self._letters(low) + (self[marks.encode()] if marks else b"")
+            # The same letters in another case or before other marks are looked up, not merged again.
+            own, marks = low.encode(), text[len(stem):]
+            ids = self._letters(low) if own == word else self[own] + (self[marks.encode()] if marks else b"")
         else:
             ids = self._whole(text)
         self[word] = ids

@@ -18,7 +18,6 @@ empty table. Other columns are ignored. Positions are code points, the end exclu
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
