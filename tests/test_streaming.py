@@ -103,6 +103,8 @@ def test_two_monitoring_runs(spark):
     assert predicted.count() == 350 and predicted.where("view_velocity > 0").count() > 100
     assert predicted.where("keyword is null").isEmpty() and "views_per_hour" in predicted.columns
     assert 0 < alerts.count() <= 100
+    monitor.run_once(spark, tables, videos, F.expr("TIMESTAMP '2025-01-01 06:00:00'"), topics, stops, comments, live)
+    assert spark.read.parquet(tables.history).count() == 350 and spark.read.parquet(tables.features).count() == 200
     twice = videos.where("video_id = '3'").withColumn("keyword", F.lit("~other"))
     hooks = monitor.Hooks(sentiment=lambda texts: [{"LABEL_0": 0.9, "LABEL_1": 0.1, "LABEL_2": 0.0} for _ in texts])
     other = monitor.Tables(scratch_path(spark, "monitor"))

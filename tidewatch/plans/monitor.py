@@ -52,9 +52,12 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
 def run_once(spark: SparkSession, tables: Tables, videos: DataFrame, as_of: Column, topic_lexicon: Mapping[str, Sequence[str]], stop_words: Sequence[str], comments: DataFrame | None = None, snapshots: DataFrame | None = None, model: PipelineModel | None = None, lookback_hours: int | None = None, hooks: Hooks = Hooks()) -> DataFrame:
     """Run every stage that has its input; without a model it stops after the narratives.
 
-    Items and features already stored are not processed again; history is only appended to. Of rows with
+    Items and features already stored are not processed again. A run is known by its ``as_of``: repeated, say
+    after a failure, it replaces its own history rows; those of other runs are never rewritten. Of rows with
     one id in ``videos`` the first by keyword counts, then by content; rows without an id all count.
     """
+    run = spark.range(1).select(F.unix_micros(as_of)).first()[0]
+    as_of = F.timestamp_micros(F.lit(run))  # one clock for the whole run
     if lookback_hours is not None:
         videos = published_between(videos, after=lookback(as_of, lookback_hours))
     by = [F.col("keyword").asc_nulls_last()] if "keyword" in videos.columns else []
@@ -66,9 +69,9 @@ def run_once(spark: SparkSession, tables: Tables, videos: DataFrame, as_of: Colu
 
     latest = None if snapshots is None else tracking.latest_metrics(snapshots, "snapshot_time")
     taken = tracking.snapshot(spark.read.parquet(tables.features), as_of, latest)
-    sinks.append(taken, tables.history, "tracking_timestamp")
+    sinks.replace_run(taken, tables.history, "tracking_timestamp", run)
 
-    history = spark.read.parquet(tables.history).drop("ingest_date")
+    history = spark.read.parquet(tables.history).drop("ingest_date", "run")
     tracked = tracking.build_tracking(history)
     tracked = tracked.withColumn(
         "row_key", F.concat_ws("@", "video_id", F.unix_micros("tracking_timestamp").cast("string"))

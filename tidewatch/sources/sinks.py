@@ -38,6 +38,12 @@ def append(df: DataFrame, path: str, date_from: str) -> None:
     dated.write.mode("append").partitionBy("ingest_date").parquet(path)
 
 
+def replace_run(df: DataFrame, path: str, date_from: str, run: int) -> None:
+    """Add the rows of one run; a repeated run replaces its own rows and no others."""
+    dated = df.withColumns({"ingest_date": F.to_date(date_from), "run": F.lit(run)})
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest_date", "run").parquet(path)
+
+
 def empty_alerts(spark: SparkSession) -> DataFrame:
     ddl = ", ".join(
         f"{c} {'double' if c.endswith('_score') or c == 'viral_probability' else 'string'}"
