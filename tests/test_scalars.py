@@ -120,3 +120,13 @@ def test_chunks_keep_the_whole_text(spark):
     body = "".join(chr(97 + i % 26) for i in range(9001))
     assert ["".join(x) for x in values(spark, [body, ""], "string", text.chunks)] == [body, ""]
     assert [len(x) for x in values(spark, [body], "string", text.chunks)[0]] == [4000, 4000, 1001]
+
+
+def test_null_is_zero_and_a_missing_column_its_default(spark):
+    from tidewatch.plans import views
+
+    df = spark.createDataFrame([("a", None, None), ("b", 0.95, 100)], "video_id string, viral_probability double, view_count long")
+    found = df.select("video_id", views._score(df, "viral_probability", 0.91).alias("p"), views._score(df, "views_per_hour", 800.0).alias("h"))
+    assert {r.video_id: (r.p, r.h) for r in found.collect()} == {"a": (0.0, 800.0), "b": (0.95, 800.0)}
+    curves = {r.video_id: r.projected_views for r in views.growth_curve(df, "video_id").where("step = 0").collect()}
+    assert curves["a"] < curves["b"]
