@@ -31,8 +31,9 @@ THRESHOLD = 0.8
 #: Similarity 0.8 differs by 10 bits on average (standard deviation 3).
 RADIUS = 18
 BITS = 64
-#: Rows of 8 to 40 bytes, or of one item; beyond that the joins shuffle.
+#: Rows of 8 to 40 bytes, and 8-byte numbers of items with their shingles; beyond that the joins shuffle.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_NUMBERS = 4_000_000
 
 SIMHASH = (
     "aggregate(sequence(0, 63), 0L, (f, b) -> f | shiftleft(cast(2 * aggregate({h}, 0, (a, x) -> a + cast(getbit(x, b) AS int))"
@@ -113,7 +114,8 @@ def matches(
     parts = windows.select("*", F.explode_outer(_blocks("__fp", radius)).alias("__b")).select(*windows.columns, "__b.block", "__b.bits")
     targets = items.select("item_id", "n", "item_hashes", "item_fp", F.explode(_blocks("item_fp", radius)).alias("__b"))
     targets = targets.select("item_id", "n", "item_hashes", "item_fp", "__b.block", "__b.bits")
-    if items.count() * (radius + 1) <= BROADCAST_ROWS:
+    held = items.agg(F.coalesce(F.sum(F.size("item_hashes") + 8), F.lit(0))).first()[0]
+    if held * (radius + 1) <= BROADCAST_NUMBERS:
         targets = F.broadcast(targets)
     difference = F.col("__fp").bitwiseXOR(F.col("item_fp"))
     pairs = parts.join(targets, ["n", "block", "bits"])
