@@ -63,3 +63,29 @@ def test_odd_rows(odd):
     for r in rows:
         assert (r.mean_log_prob is None) == (r.n_tokens == 0) and r.log_prob <= 0
     assert lm.score(odd.limit(0)).count() == 0
+
+
+def test_words_outside_the_most_frequent_have_scores_of_their_own(spark):
+    """The list grows with the corpus; a junk word scores below a listed one of its class in the same place."""
+    texts = [" ".join(f"w{i:03d}tion" for i in range(300))] * 6 + ["the w250tion end", "the w299tion end", "the qqxztion end"] + ["the w250tion end"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = lm.lexicon(docs)
+    counts = {}
+    for t in texts:
+        for w in lm.words_of(t):
+            counts[w] = counts.get(w, 0) + 1
+    listed = [w for w in counts if counts[w] >= lm.LEAST and w not in known.words]
+    assert len(known.keys) == len(listed) > 100
+    vocabulary = lm.Vocabulary(known.words, known.keys)
+    ids = [vocabulary[w] for w in listed]
+    assert len(set(ids)) == len(ids) and min(ids) > lm.EDGE
+    assert lm.Vocabulary(known.words, known.keys).encode(" ".join(listed)).tolist() == ids
+    # the words of a class share its whole mass
+    mass = np.zeros(lm.TOKENS)
+    for w in counts:
+        mass[known.classes[vocabulary[w]]] += np.exp(known.shares[vocabulary[w]])
+    assert np.allclose(mass[mass > 0], 1)
+    tail = [w for w in ("w298tion", "w299tion") if w not in known.words]
+    assert tail and all(lm.ending(w) == lm.ending("qqxztion") for w in tail)
+    scored = {r.doc_id: r.log_prob for r in lm.score(docs, rounds=1).collect()}
+    assert scored[7] > scored[8]

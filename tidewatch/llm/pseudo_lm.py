@@ -1,9 +1,14 @@
 """LM scoring by masked pseudo-likelihood.
 
-Tokens are lower-case words: the ``WORDS`` most frequent of the whole corpus, and for all others one of
-``CLASSES`` open classes by their last letters. A small network sees ``SIDE`` tokens on either side of a hidden
-one (embeddings, one tanh layer, softmax) and predicts it; a document's score is the sum over all its
-tokens of the log-probability given both sides.
+Tokens are lower-case words. The softmax is factored by class: each of the ``WORDS`` most frequent words of the
+whole corpus is a class of its own, all others share ``CLASSES`` classes by their last letters. A small network
+sees the classes of ``SIDE`` tokens on either side of a hidden one (embeddings, one tanh layer, softmax) and
+predicts its class; the word in its class has its share of the class's tokens. Each word seen ``LEAST`` times
+or more is listed with its own share, so the list grows with the corpus; rarer words divide the rest of their
+class evenly. A document's score is the sum over all its tokens of the log-probability given both sides.
+
+The list is kept as 64-bit hashes: 13 bytes a word in the driver and in each Python worker. Two words of one
+hash would share a share; among ten million words that is expected less than once in 100,000 corpora.
 
 Word counts cover all texts. Training is data-parallel: in each round every scan task starts from the
 same network, hides each ``MASK``-th token of its documents in turn and takes Adagrad steps in numpy; the
@@ -23,7 +28,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +39,7 @@ WORDS, CLASSES, SIDE, WIDTH, HIDDEN = 192, 64, 2, 16, 24
 TOKENS = WORDS + CLASSES
 EDGE = TOKENS  # beyond a text's end
 ROUNDS, MASK, BATCH, GROUPS = 2, 8, 512, 64
+LEAST = 5  # a word seen so often is listed
 BATCH_BYTES = 1 << 22
 SCORE_TOKENS = 1 << 10
 COUNTED_WORDS = 300_000
@@ -46,43 +53,102 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in (x.strip(_MARKS) for x in (text or "").lower().split()) if w]
 
 
+def ending(word: str) -> int:
+    """The class of a word outside the most frequent ones."""
+    number = 7
+    for c in word[-3:]:
+        number = (number * 31 + ord(c)) & 0xFFFFFFFF
+    return WORDS + (number * 2654435761 >> 16 & 0xFFFF) % CLASSES
+
+
 class Vocabulary(dict):
-    """Word -> token; words outside the list go to the class of their ending, remembered up to a bound."""
+    """Word -> token: a frequent word, a listed one (behind ``EDGE``, in the order of ``keys``), else the class of
+    its ending. Words met are remembered up to a bound."""
 
-    def __init__(self, words: list[str]) -> None:
+    def __init__(self, words: list[str], keys: np.ndarray | None = None) -> None:
         super().__init__({w: i for i, w in enumerate(words)})
         self.words = list(words)
+        self.keys = np.zeros(0, np.int64) if keys is None else keys
 
-    def __missing__(self, word: str) -> int:
+    def learn(self, words: list[str]) -> None:
         if len(self) > COUNTED_WORDS:
             self.clear()
             self.update({w: i for i, w in enumerate(self.words)})
-        number = 7
-        for c in word[-3:]:
-            number = (number * 31 + ord(c)) & 0xFFFFFFFF
-        self[word] = token = WORDS + (number * 2654435761 >> 16 & 0xFFFF) % CLASSES
-        return token
+            words = [w for w in words if w not in self]
+        key = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in words], np.uint64).view(np.int64)  # as Spark's xxhash64
+        at = np.searchsorted(self.keys, key)
+        listed = np.searchsorted(self.keys, key, "right") > at
+        for w, i, known in zip(words, at.tolist(), listed.tolist(), strict=True):
+            self[w] = EDGE + 1 + i if known else ending(w)
+
+    def __missing__(self, word: str) -> int:
+        self.learn([word])
+        return self[word]
 
     def encode(self, text: str | None) -> np.ndarray:
-        found = list(map(self.__getitem__, words_of(text)))
-        return np.array(found, np.uint8)
+        words = words_of(text)
+        found = list(map(self.get, words))
+        if None in found:
+            self.learn(list({w for w, f in zip(words, found, strict=True) if f is None}))
+            found = list(map(self.__getitem__, words))
+        return np.array(found, np.int32)
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """The most frequent words of all texts; ties in alphabetical order."""
+@dataclass(frozen=True)
+class Lexicon:
+    """The most frequent words, the sorted hashes of the listed ones, and by token its class and log-share of it."""
+
+    words: list[str]
+    keys: np.ndarray
+    classes: np.ndarray
+    shares: np.ndarray
+
+
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, class, n) over all texts."""
+    def counted(counts: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"word": list(counts), "class": pa.array(map(ending, counts), pa.int32()), "n": list(counts.values())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 counts.update(words_of(text))
                 if len(counts) > COUNTED_WORDS:
-                    yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
+                    yield counted(counts)
                     counts.clear()
         if counts:
-            yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
+            yield counted(counts)
+
+    found = docs.select(text_col).mapInArrow(run, "word string, class int, n long")
+    return found.groupBy("word", "class").agg(F.sum("n").alias("n"))
+
 
-    found = docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in found.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+def _most_frequent(counts: DataFrame) -> list[str]:
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> list[str]:
+    """The most frequent words of all texts; ties in alphabetical order."""
+    return _most_frequent(word_counts(docs, text_col))
+
+
+def lexicon(docs: DataFrame, text_col: str = "text") -> Lexicon:
+    counts = stage(word_counts(docs, text_col), "lm-words")
+    words = _most_frequent(counts)
+    others = counts.where(~F.col("word").isin(words)) if words else counts
+    listed = others.where(F.col("n") >= LEAST).select(F.xxhash64("word").alias("key"), "class", "n").toArrow()
+    key, kind, n = (listed.column(c).to_numpy() for c in ("key", "class", "n"))
+    order = np.argsort(key, kind="stable")
+    key, kind, n = key[order], kind[order], n[order]
+    rest, types = np.zeros(TOKENS), np.ones(TOKENS)
+    for r in others.where(F.col("n") < LEAST).groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # one row a class
+        rest[r["class"]], types[r["class"]] = r.n, r.types
+    total = rest + np.bincount(kind, weights=n, minlength=TOKENS)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        shares = np.concatenate([np.log(rest / types / total), [0.0], np.log(n / total[kind])])
+    shares[:WORDS] = 0.0
+    return Lexicon(words, key, np.concatenate([np.arange(EDGE + 1), kind]).astype(np.int16), shares.astype(np.float32))
 
 
 @dataclass
@@ -155,21 +221,21 @@ def padded_tokens(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(b, np.uint8) for b in batch.column("__ids").to_pylist()]
+    return [np.frombuffer(b, np.int32) for b in batch.column("__ids").to_pylist()]
 
 
-def tokens(docs: DataFrame, words: list[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, __ids): the tokens of each text, one byte each."""
+def tokens(docs: DataFrame, known: Broadcast[Lexicon], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, __ids): the tokens of each text, four bytes each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vocabulary(words)
+        vocabulary = Vocabulary(known.value.words, known.value.keys)
         for block in blocks(batches, "__text", BATCH_BYTES):
-            ids = [known.encode(t).tobytes() for t in block.column("__text").to_pylist()]
+            ids = [vocabulary.encode(t).tobytes() for t in block.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(ids, pa.binary())], names=[id_col, "__ids"])
 
     return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, first_schema(docs, id_col) + ", __ids binary")
 
 
-def train(rows: DataFrame, *, rounds: int = ROUNDS, rate: float = 0.1) -> Network:
+def train(rows: DataFrame, known: Broadcast[Lexicon], *, rounds: int = ROUNDS, rate: float = 0.1) -> Network:
     """``rounds`` of local steps over all of ``rows`` (id, __ids) and averaging."""
     spark = rows.sparkSession
     network = Network.start()
@@ -181,7 +247,7 @@ def train(rows: DataFrame, *, rounds: int = ROUNDS, rate: float = 0.1) -> Networ
             memory = [np.full_like(p, 1e-4) for p in own.parts]
             rng, seen = np.random.default_rng(TaskContext.get().partitionId()), 0
             for block in blocks(batches, "__ids", 1 << 20):
-                padded, at, _ = padded_tokens(_ids(block))
+                padded, at, _ = padded_tokens([known.value.classes[i] for i in _ids(block)])
                 chosen = at[np.arange(len(at)) % MASK == turn % MASK]
                 chosen = rng.permutation(chosen)
                 for k in range(0, len(chosen), BATCH):
@@ -210,14 +276,17 @@ def train(rows: DataFrame, *, rounds: int = ROUNDS, rate: float = 0.1) -> Networ
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, ``n_tokens``, ``log_prob`` (sum), ``mean_log_prob`` (null without tokens)."""
-    rows = stage(tokens(docs, vocabulary(docs, text_col), id_col=id_col, text_col=text_col), "lm-tokens")
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows, rounds=rounds))
+    context = docs.sparkSession.sparkContext
+    known = context.broadcast(lexicon(docs, text_col))
+    rows = stage(tokens(docs, known, id_col=id_col, text_col=text_col), "lm-tokens")
+    shared = context.broadcast(train(rows, known, rounds=rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__ids", 1 << 20):
             ids = _ids(block)
-            padded, at, owner = padded_tokens(ids)
-            total = np.bincount(owner, weights=shared.value.log_probs(padded, at), minlength=len(ids))
+            padded, at, owner = padded_tokens([known.value.classes[i] for i in ids])
+            in_class = known.value.shares[np.concatenate(ids)]
+            total = np.bincount(owner, weights=shared.value.log_probs(padded, at) + in_class, minlength=len(ids)).astype(float)  # whole numbers if there are no tokens
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(total)], names=[id_col, "n_tokens", "log_prob"])
 
     scored = rows.mapInArrow(run, first_schema(rows, id_col) + ", n_tokens long, log_prob double")
