@@ -89,3 +89,19 @@ def test_words_outside_the_most_frequent_have_scores_of_their_own(spark):
     assert tail and all(lm.ending(w) == lm.ending("qqxztion") for w in tail)
     scored = {r.doc_id: r.log_prob for r in lm.score(docs, rounds=1).collect()}
     assert scored[7] > scored[8]
+
+
+def test_rounds_hide_every_token_once():
+    owner = np.repeat([0, 2, 3, 4], [1, 9, 2, 17])
+    for rounds in (1, 2, 3):
+        turns = [lm.hidden(owner, t, rounds) for t in range(rounds)]
+        assert (np.sum(turns, axis=0) == 1).all()
+        assert all(turns[0][owner == d][0] for d in set(owner))
+    assert not lm.hidden(np.zeros(0, int), 0, 2).size
+
+
+def test_late_tokens_of_short_documents_are_learnt(spark):
+    """Tokens that stand only from the third place on are predicted in training too."""
+    docs = spark.createDataFrame([(i, "one two three four five six seven eight") for i in range(3000)], "doc_id long, text string")
+    scored = lm.score(docs.coalesce(1)).limit(1).collect()
+    assert scored[0].mean_log_prob > -0.5

@@ -11,9 +11,9 @@ The list is kept as 64-bit hashes: 13 bytes a word in the driver and in each Pyt
 hash would share a share; among ten million words that is expected less than once in 100,000 corpora.
 
 Word counts cover all texts. Training is data-parallel: in each round every scan task starts from the
-same network, hides each ``MASK``-th token of its documents in turn and takes Adagrad steps in numpy; the
-networks are averaged by tokens seen, in two levels, so that neither a task nor the driver holds more than
-one network of each of ``GROUPS`` groups. Every document takes part in every round.
+same network, hides every ``rounds``-th token of each document, from the round's number on, and takes Adagrad
+steps in numpy; the networks are averaged by tokens seen, in two levels, so that neither a task nor the driver
+holds more than one network of each of ``GROUPS`` groups. Over the rounds every token is predicted exactly once.
 
 Defined results: null and blank texts have no tokens, score 0 and no mean. Repeated rows have equal scores.
 Sides beyond a text's ends are a token of their own, so documents never see each other. An empty table
@@ -38,7 +38,7 @@ from tidewatch.llm.common import blocks, first_schema, stage
 WORDS, CLASSES, SIDE, WIDTH, HIDDEN = 192, 64, 2, 16, 24
 TOKENS = WORDS + CLASSES
 EDGE = TOKENS  # beyond a text's end
-ROUNDS, MASK, BATCH, GROUPS = 2, 8, 512, 64
+ROUNDS, BATCH, GROUPS = 2, 512, 64
 LEAST = 5  # a word seen so often is listed
 BATCH_BYTES = 1 << 22
 SCORE_TOKENS = 1 << 10
@@ -46,6 +46,7 @@ COUNTED_WORDS = 300_000
 _MARKS = ".,;:!?\"'()[]{}<>|*#%$&"
 _SHAPES = [(TOKENS + 1, WIDTH), (2 * SIDE, WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, TOKENS), (TOKENS,)]
 _SIZES = [int(np.prod(s)) for s in _SHAPES]
+_ONES = np.ones(TOKENS, np.float32)
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 
 
@@ -184,28 +185,28 @@ class Network:
         for k in range(0, len(at), SCORE_TOKENS):
             place = at[k:k + SCORE_TOKENS]
             hidden = self.bias + sum(t[padded[place + o]] for t, o in zip(tables, OFFSETS, strict=True))
-            logits = np.tanh(hidden) @ self.out + self.out_bias
+            logits = np.tanh(hidden) @ self.out
+            logits += self.out_bias
             logits -= logits.max(axis=1, keepdims=True)
             own = logits[np.arange(len(place)), padded[place]]
-            out[k:k + len(place)] = own - np.log(np.exp(logits).sum(axis=1))
+            out[k:k + len(place)] = own - np.log(np.exp(logits, out=logits) @ _ONES)
         return out
 
     def learn(self, padded: np.ndarray, at: np.ndarray, memory: list[np.ndarray], rate: float) -> None:
         """One Adagrad step on the tokens at ``at``."""
         sides = np.stack([padded[at + o] for o in OFFSETS])
-        hidden = self.bias + sum(self.embed[s] @ w for s, w in zip(sides, self.layer, strict=True))
+        hidden = self.bias + sum((self.embed @ w)[s] for s, w in zip(sides, self.layer, strict=True))
         active = np.tanh(hidden)
-        logits = active @ self.out + self.out_bias
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(at)), padded[at]] -= 1
-        p /= len(at)
+        p = active @ self.out
+        p += self.out_bias
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p *= (1 / len(at) / (p @ _ONES))[:, None]
+        p[np.arange(len(at)), padded[at]] -= np.float32(1 / len(at))
         back = (p @ self.out.T) * (1 - active * active)
-        embed = np.zeros_like(self.embed)
-        for s, w in zip(sides, self.layer, strict=True):
-            one = np.zeros((len(s), TOKENS + 1), np.float32)
-            one[np.arange(len(s)), s] = 1
-            embed += one.T @ (back @ w.T)
+        moved = np.stack([back @ w.T for w in self.layer])
+        slots = (sides[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
+        embed = np.bincount(slots, weights=moved.ravel(), minlength=self.embed.size).reshape(self.embed.shape).astype(np.float32)
         layer = np.stack([self.embed[s].T @ back for s in sides])
         for value, seen, g in zip(self.parts, memory, [embed, layer, back.sum(axis=0), active.T @ p, p.sum(axis=0)], strict=True):
             seen += g * g
@@ -220,6 +221,13 @@ def padded_tokens(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     return padded, at, np.repeat(np.arange(len(docs)), [len(d) for d in docs])
 
 
+def hidden(owner: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Which tokens a round hides: every ``rounds``-th of each document, counted from the document's first."""
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    place = np.arange(len(owner)) - np.repeat(starts, np.diff(starts, append=len(owner)))
+    return place % rounds == turn
+
+
 def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(b, np.int32) for b in batch.column("__ids").to_pylist()]
 
@@ -247,9 +255,8 @@ def train(rows: DataFrame, known: Broadcast[Lexicon], *, rounds: int = ROUNDS, r
             memory = [np.full_like(p, 1e-4) for p in own.parts]
             rng, seen = np.random.default_rng(TaskContext.get().partitionId()), 0
             for block in blocks(batches, "__ids", 1 << 20):
-                padded, at, _ = padded_tokens([known.value.classes[i] for i in _ids(block)])
-                chosen = at[np.arange(len(at)) % MASK == turn % MASK]
-                chosen = rng.permutation(chosen)
+                padded, at, owner = padded_tokens([known.value.classes[i] for i in _ids(block)])
+                chosen = rng.permutation(at[hidden(owner, turn, rounds)])
                 for k in range(0, len(chosen), BATCH):
                     own.learn(padded, chosen[k:k + BATCH], memory, rate)
                 seen += len(chosen)
