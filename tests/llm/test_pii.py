@@ -119,3 +119,35 @@ def test_odd_rows(odd, model):
     assert all(r.base_sha256 == empty and r.spans == "" for r in rows if r.doc_id in (3, 4, 5))
     assert pii.detect(odd.limit(0), model).count() == 0
     assert pii.find("call 5", pii.fit(odd.limit(0))) == ([], [])
+
+
+def test_spans_anywhere_in_a_long_region_are_found(model):
+    """A line of many numbers is one region: no span is lost at a cut, none is the end of a longer number."""
+    for shift in range(125, 140):
+        text = " ".join(["x1"] * shift + ["(988) 555-2485"] + ["x1"] * 200)
+        base, added = pii.find(text, model)
+        assert not base and (text.index("("), text.index("(") + 14, "phone") in added, shift
+    number = "7" * 388 + "4041894974608795"
+    assert pii.find(f"{number} 1", model) == ([], [])
+
+
+def test_leads_against_all_segmentations(model):
+    import numpy as np
+
+    text = "tel (988) 555-2485 or 42[.]144[.]35[.]254 4041.8949.7460.8795"
+    region = pii.Region.of(text)
+    cands = pii.candidates(region)
+    best = np.array([model.weights[:, f].sum(axis=1) for _, _, f in cands]).max(axis=1)
+    edges = [*region.starts, len(text)]
+
+    def top(banned=None):
+        value = [0.0]
+        for j in range(1, len(region.tokens) + 1):
+            value.append(max([value[-1], *(value[a] + best[c] for c, (a, z, _) in enumerate(cands) if z == j and c != banned)]))
+        return value[-1]
+
+    found = pii.decode(text, model)
+    assert len(found) >= 3
+    for a, z, _, lead in found:
+        c = next(c for c, (i, j, _) in enumerate(cands) if (edges[i], edges[j]) == (a, z))
+        assert abs(lead - (top() - top(c))) < 1e-9

@@ -5,7 +5,7 @@ that fail their check are dropped. The field then looks at regions: words with d
 to each other, with the word before them. A region is cut into tokens; a segment of at most ``LONGEST``
 tokens may be an entity of one kind, all else is single tokens outside. Features describe the whole span
 (digits, grouping, separators, check sums, neighbours). Dynamic programming over segment ends chooses
-boundaries and kinds together; weights are those of the conditional likelihood, by gradient steps in numpy.
+boundaries and kinds together, over the whole region however long; weights are those of the conditional likelihood, by gradient steps in numpy.
 
 The field learns from at most ``sample`` regions of the corpus (those with the smallest hash): base spans are
 its entities, and rewritten ones (other separators, no country code, defanged dots) teach it the
@@ -22,6 +22,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ MOST_GROUPS = 6
 MARGIN = 2.0
 SAMPLE = 600
 LONGEST_LESSON = 160
-PIECE = 400
+MOST_CHARS = 400  # of a span
+SCORED = 4096
 BATCH_BYTES = 1 << 22
 
 Span = tuple[int, int, str]
@@ -125,7 +127,7 @@ class Region:
 
 
 def regions(text: str) -> Iterator[tuple[int, str]]:
-    """(start, region); long ones come in pieces of ``PIECE`` characters that end at blanks."""
+    """(start, region), in order and apart from each other."""
     done = 0
     sign = _SIGN.search(text)
     while sign:
@@ -140,12 +142,6 @@ def regions(text: str) -> Iterator[tuple[int, str]]:
         if before:
             at -= len(before.group())
         done = end
-        while end - at > PIECE:
-            cut = text.rfind(" ", at + 1, at + PIECE)
-            if cut < 0:
-                cut = at + PIECE
-            yield at, text[at:cut]
-            at = cut
         yield at, text[at:end]
         sign = _SIGN.search(text, done)
 
@@ -213,7 +209,12 @@ def span_features(region: Region, i: int, j: int) -> list[int] | None:
 
 def candidates(region: Region) -> list[tuple[int, int, list[int]]]:
     """(first token, end, features) of every segment of bounded length that may be an entity."""
-    out, n = [], len(region.tokens)
+    return list(each_candidate(region))
+
+
+def each_candidate(region: Region) -> Iterator[tuple[int, int, list[int]]]:
+    n = len(region.tokens)
+    edges = [*region.starts, len(region.text)]
     numbers = [t[0] in "0123456789" for t in region.tokens]
     sizes = [len(t) if d else 0 for t, d in zip(region.tokens, numbers, strict=True)]
     for i in range(n):
@@ -221,6 +222,8 @@ def candidates(region: Region) -> list[tuple[int, int, list[int]]]:
             continue
         groups = digits = ats = 0
         for j in range(i + 1, min(n, i + LONGEST) + 1):
+            if edges[j] - edges[i] > MOST_CHARS:
+                break
             groups += numbers[j - 1]
             digits += sizes[j - 1]
             ats += region.tokens[j - 1] == "@"
@@ -229,8 +232,7 @@ def candidates(region: Region) -> list[tuple[int, int, list[int]]]:
             if ats or digits >= 7 or groups == 4:
                 found = span_features(region, i, j)
                 if found is not None:
-                    out.append((i, j, found))
-    return out
+                    yield i, j, found
 
 
 @dataclass(frozen=True)
@@ -300,37 +302,56 @@ def _valid(kind: str, text: str) -> bool:
 
 
 def decode(text: str, model: Model) -> list[tuple[int, int, str, float]]:
-    """Entities of a region's best segmentation, each with its lead over the best one without it."""
+    """Entities of a region's best segmentation, each with its lead over the best one without it.
+
+    Only candidates that score above 0, the score of tokens outside, are kept: no other is in a best
+    segmentation. Time and memory are linear in the region, as segments are bounded.
+    """
     region = Region.of(text)
-    cands = candidates(region)
+    n = len(region.tokens)
+    cands: list[tuple[int, int, float, int]] = []
+    every = each_candidate(region)
+    while part := list(islice(every, SCORED)):
+        score = _scores(part, model.weights)
+        kind, best = score.argmax(axis=1), score.max(axis=1)
+        cands += [(part[c][0], part[c][1], float(best[c]), int(kind[c])) for c in np.flatnonzero(best > 0)]
     if not cands:
         return []
-    n, score = len(region.tokens), _scores(cands, model.weights)
-    kind, best = score.argmax(axis=1), score.max(axis=1)
-    ends: list[list[int]] = [[] for _ in range(n + 1)]
-    for c, (_, j, _) in enumerate(cands):
-        ends[j].append(c)
-
-    def forward(banned: int = -1) -> tuple[float, list[int]]:
-        value, back = np.zeros(n + 1), [-1] * (n + 1)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for c in ends[j]:
-                if c != banned and value[cands[c][0]] + best[c] > value[j]:
-                    value[j], back[j] = value[cands[c][0]] + best[c], c
-        chosen, j = [], n
-        while j:
-            c = back[j]
-            if c >= 0:
-                chosen.append(c)
-            j = cands[c][0] if c >= 0 else j - 1
-        return value[n], chosen
-
-    if best.max() <= 0:
-        return []
-    top, chosen = forward()
+    ends: dict[int, list[int]] = {}
+    heads: dict[int, list[int]] = {}
+    for c, (i, j, _, _) in enumerate(cands):
+        ends.setdefault(j, []).append(c)
+        heads.setdefault(i, []).append(c)
+    value, back, rest = [0.0] * (n + 1), [-1] * (n + 1), [0.0] * (n + 1)
+    for j in range(1, n + 1):  # the best up to j
+        value[j] = value[j - 1]
+        for c in ends.get(j, ()):
+            if value[cands[c][0]] + cands[c][2] > value[j]:
+                value[j], back[j] = value[cands[c][0]] + cands[c][2], c
+    for i in range(n - 1, -1, -1):  # the best from i on
+        rest[i] = max([rest[i + 1], *(cands[c][2] + rest[cands[c][1]] for c in heads.get(i, ()))])
+
+    def without(chosen: int) -> float:
+        """Each segmentation has one segment over the chosen one's first token; the best with another there."""
+        at = cands[chosen][0]
+        best = value[at] + rest[at + 1]
+        for i in range(max(0, at - LONGEST + 1), at + 1):
+            for c in heads.get(i, ()):
+                if c != chosen and cands[c][1] > at:
+                    best = max(best, value[i] + cands[c][2] + rest[cands[c][1]])
+        return best
+
+    out, j, top = [], n, value[n]
     edges = [*region.starts, len(text)]
-    return [(edges[cands[c][0]], edges[cands[c][1]], KINDS[kind[c]], float(top - forward(c)[0])) for c in reversed(chosen)]
+    while j:
+        c = back[j]
+        if c >= 0:
+            i, j, _, kind = cands[c]
+            out.append((edges[i], edges[j], KINDS[kind], top - without(c)))
+            j = i
+        else:
+            j -= 1
+    return out[::-1]
 
 
 def find(text: str | None, model: Model) -> tuple[list[Span], list[Span]]:
