@@ -3,7 +3,8 @@
 A text becomes the L2-normalised TF-IDF vector of its hashed character n-grams (letters in lower
 case, everything else one blank). Each language has several centroids, found by spherical k-means;
 a text gets the language of the centroid with the largest cosine. A text whose cosine stays under
-the rejection limit of that language is rejected.
+the rejection limit of that language at the text's length is rejected: cosines grow with the length, so
+limits are learnt from random pieces of the training texts, of each length in ``LENGTHS``.
 
 Document frequencies are counted over all training texts. Centroids are fitted on at most
 ``per_language`` texts of each language, those with the smallest hash of their id (the documented
@@ -35,6 +36,8 @@ ORDERS = (1, 2, 3, 4)
 BLOCK_BYTES = 1 << 18
 BLOCK_ROWS = 64  # a row takes DIMS numbers
 UNDETERMINED = "und"
+LENGTHS = (1, *(1 << k for k in range(3, 14)))  # limits lie on a line (in the logarithm) between these
+PIECES = 200
 
 
 @dataclass(frozen=True)
@@ -42,7 +45,7 @@ class Model:
     languages: tuple[str, ...]
     owners: np.ndarray  # language of each centroid
     centroids: np.ndarray  # centroid x dimension, unit length
-    limits: np.ndarray  # rejection limit of each language
+    limits: np.ndarray  # language x length, rejection limit
     idf: np.ndarray
 
 
@@ -112,13 +115,36 @@ def _cluster(v: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return centroids
 
 
+def _size(tf: np.ndarray) -> np.ndarray:
+    """About the number of characters that count."""
+    return np.maximum(tf.sum(axis=1) / len(ORDERS), 1)
+
+
+def _medians(texts: list[str], centroids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Median cosine by length, from random pieces of the texts; 0 at one character."""
+    rng = np.random.default_rng(0)
+    sizes, medians = [0.0], [0.0]
+    for n in LENGTHS[1:]:
+        long = [t for t in texts if len(t) >= n][:PIECES]
+        if not long and len(medians) == 1:  # only texts shorter than the shortest piece
+            long = texts[:PIECES]
+        cut = [t[a:a + n] for t in long for a in rng.integers(0, max(len(t) - n, 0) + 1, 1)]
+        found = [counts([t]) for t in cut]
+        tf = np.concatenate([x for x, letter in found if letter[0]] or [np.zeros((0, DIMS), np.float32)])
+        if len(tf):
+            sizes.append(float(np.log2(np.median(_size(tf)))))
+            medians.append(float(np.median((vectors(tf, idf) @ centroids.T).max(axis=1))))
+    return np.interp(np.log2(LENGTHS), sizes, medians)
+
+
 def fit(
     docs: DataFrame, use: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = 600, clusters: int = 4, rounds: int = 8, slack: float = 0.3,
+    per_language: int = 600, clusters: int = 4, rounds: int = 8, fraction: float = 0.5,
 ) -> Model:
     """Learn from the rows where ``use`` holds and neither text nor language is null.
 
-    The rejection limit of a language is ``slack`` times the smallest cosine in its sample.
+    The rejection limit of a language at a length is ``fraction`` times the median cosine of its sample's pieces of
+    that length; the median, as samples hold junk. Beyond the longest pieces it stays.
     """
     spark = docs.sparkSession
     rows = docs if use is None else docs.where(use)
@@ -128,7 +154,7 @@ def fit(
     total = int(found.n[found.dim < 0].sum())
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not total:
-        return Model((), np.zeros(0, int), np.zeros((0, DIMS)), np.zeros(0), np.ones(DIMS, np.float32))
+        return Model((), np.zeros(0, int), np.zeros((0, DIMS)), np.zeros((0, len(LENGTHS))), np.ones(DIMS, np.float32))
     df = np.zeros(DIMS)
     df[found.dim[found.dim >= 0]] = found.n[found.dim >= 0]
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
@@ -144,17 +170,17 @@ def fit(
         tf, letters = zip(*(counts([t]) for t in part.text), strict=True)
         v = vectors(np.concatenate(tf), shared.value)[np.concatenate(letters)]
         if not len(v):
-            return pd.DataFrame({"lang": [], "low": [], "vector": []}).astype({"lang": object, "vector": object})
+            return pd.DataFrame({"lang": [], "low": [], "vector": []}).astype({"lang": object, "low": object, "vector": object})
         c = _cluster(v, clusters, rounds)
-        low = float((v @ c.T).max(axis=1).min())
-        return pd.DataFrame({"lang": part.lang.iloc[0], "low": low, "vector": [x.astype(float).tolist() for x in c]})
+        low = fraction * _medians([t for t, x in zip(part.text, letters, strict=True) if x[0]], c, shared.value)
+        return pd.DataFrame({"lang": part.lang.iloc[0], "low": [low.tolist()] * len(c), "vector": [x.astype(float).tolist() for x in c]})
 
-    fitted = sample.groupBy("lang").applyInPandas(centroids, "lang string, low double, vector array<double>").collect()
+    fitted = sample.groupBy("lang").applyInPandas(centroids, "lang string, low array<double>, vector array<double>").collect()
     fitted.sort(key=lambda r: (r.lang, r.vector))  # at most `clusters` rows a language
     languages = tuple(sorted({r.lang for r in fitted}))
     owners = np.array([languages.index(r.lang) for r in fitted], int)
-    low = np.array([min(r.low for r in fitted if r.lang == x) for x in languages])
-    return Model(languages, owners, np.array([r.vector for r in fitted], np.float32).reshape(-1, DIMS), slack * low, idf)
+    low = np.array([next(r.low for r in fitted if r.lang == x) for x in languages]).reshape(-1, len(LENGTHS))
+    return Model(languages, owners, np.array([r.vector for r in fitted], np.float32).reshape(-1, DIMS), low, idf)
 
 
 def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -166,7 +192,10 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarra
     best = np.argmax(cosine, axis=1)
     score = np.where(letters, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0).astype(float)
     owner = model.owners[best]
-    rejected = ~letters | (score < model.limits[owner])
+    size, limit = np.log2(_size(tf)), np.zeros(len(texts))
+    for o in np.unique(owner):
+        limit[owner == o] = np.interp(size[owner == o], np.log2(LENGTHS), model.limits[o])
+    rejected = ~letters | (score < limit)
     return [model.languages[o] if x else UNDETERMINED for o, x in zip(owner, letters, strict=True)], score, rejected
 
 
