@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, exact, html, language, packing, pii, pseudo_lm, quality, simhash, suffixes
+from tidewatch.llm import decontamination, divergence, exact, html, language, packing, pii, pseudo_lm, quality, simhash, suffixes
 from tidewatch.llm.common import crc_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,42 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_source_divergence"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS MATERIALIZED (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS item FROM d),
+kept AS MATERIALIZED (SELECT lang, item, CAST(count(*) AS HUGEINT) AS n FROM w GROUP BY lang, item HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) + sum(n) AS total FROM kept GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT w.lang, source, item, CAST(count(*) AS HUGEINT) AS n FROM w JOIN kept USING (lang, item) GROUP BY w.lang, source, item),
+gt AS MATERIALIZED (
+  SELECT g.lang, g.source, coalesce(s.n, 0) + coalesce(k.v, 0) AS total FROM g
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) k ON k.lang = g.lang),
+p AS MATERIALIZED (
+  SELECT gt.lang, gt.source, kept.item, coalesce(c.n, 0) AS n, CAST(1 + 1000000000 * (coalesce(c.n, 0) + 1) // total AS HUGEINT) AS p
+  FROM gt JOIN kept ON kept.lang = gt.lang LEFT JOIN c ON c.lang = gt.lang AND c.source = gt.source AND c.item = kept.item),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+term AS (
+  SELECT p.lang, source, p.item, (p - q) * (p - q) // q AS value FROM p
+  JOIN (SELECT kept.lang, item, CAST(1 + 1000000000 * (n + 1) // total AS HUGEINT) AS q FROM kept JOIN v ON v.lang = kept.lang) l
+    ON l.lang = p.lang AND l.item = p.item WHERE p.n > 0 AND p > q),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value FROM g a
+  JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 200
+"""
