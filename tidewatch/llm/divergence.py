@@ -35,12 +35,11 @@ SCALE = 1_000_000_000
 LEAST_DOCS = 3
 TOP = 200
 BITS = 64
-BLOCK_BYTES = 1 << 22
-PENDING_ROWS = 1_500_000
+BLOCK_BYTES = 1 << 21
+PENDING_ROWS = 500_000
 EXPANDED = 1 << 20
 _LETTERS = np.array([c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c > 0x7F else 0 for c in range(256)], np.uint8)
 _COUNTS = pa.schema([("lid", pa.int64()), ("gid", pa.int64()), ("digest", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
-_KEYS = ["lid", "gid", "digest", "term"]
 _DDL = "lid long, gid long, digest long, term string, n long, docs long"
 
 
@@ -81,43 +80,51 @@ def digests(terms: pa.Array, bits: int) -> np.ndarray:
     return (full if bits == 64 else full & np.uint64((1 << bits) - 1)).view(np.int64)
 
 
-def _merged(parts: list[pa.Table]) -> pa.Table:
-    table = pa.concat_tables(parts).group_by(_KEYS).aggregate([("n", "sum"), ("docs", "sum")])
-    return table.rename_columns([*_KEYS, "n", "docs"]).select(_COUNTS.names).cast(_COUNTS)
+class _Pending:
+    """Partial counts of a task by ``keys``, merged when there are many and let go when merging does not help."""
+
+    def __init__(self, keys: list[str], sums: list[str]) -> None:
+        self.keys, self.sums, self.parts, self.rows = keys, sums, [], 0
+
+    def add(self, part: pa.Table) -> Iterator[pa.RecordBatch]:
+        self.parts.append(part)
+        self.rows += part.num_rows
+        if self.rows > PENDING_ROWS:
+            self.parts = [self._merged()]
+            self.rows = self.parts[0].num_rows
+            if self.rows > PENDING_ROWS // 2:
+                yield from self.out()
+
+    def _merged(self) -> pa.Table:
+        table = pa.concat_tables(self.parts).group_by(self.keys).aggregate([(c, "sum") for c in self.sums])
+        return table.rename_columns([*self.keys, *self.sums])
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            table = self._merged()
+            full = pa.Table.from_arrays([table.column(f.name).cast(f.type) if f.name in table.column_names else pa.nulls(table.num_rows, f.type) for f in _COUNTS], schema=_COUNTS)
+            self.parts, self.rows = [], 0
+            yield from full.to_batches(max_chunksize=100_000)
 
 
 def _counted(docs: DataFrame, bits: int, *, strings: bool) -> DataFrame:
     """Partial counts of every task. With ``strings`` each count row holds its term; else terms are rows of their own, once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[pa.Table] = []
-        rows = 0
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            yield from _merged(pending).sort_by([("digest", "ascending")]).to_batches(max_chunksize=100_000)
-            pending.clear()
-
+        counts = _Pending(["lid", "gid", "digest"] + ["term"] * strings, ["n", "docs"])
+        names = _Pending(["digest", "term"], [])
         for block in blocks(batches, "__text", BLOCK_BYTES):
             at, code, n, seen, terms = block_counts(block)
             if not len(at):
                 continue
             digest = digests(terms, bits)
-            own = pa.Table.from_arrays([
-                block.column("lid").take(pa.array(at)), block.column("gid").take(pa.array(at)), pa.array(digest[code]),
-                terms.take(pa.array(code)).cast(pa.string()) if strings else pa.nulls(len(at), pa.string()), pa.array(n), pa.array(seen)], schema=_COUNTS)
-            pending.append(own)
-            rows += len(at)
-            if not strings:
-                no = pa.nulls(len(terms), pa.int64())
-                pending.append(pa.Table.from_arrays([no, no, pa.array(digest), terms.cast(pa.string()), no, no], schema=_COUNTS))
-                rows += len(terms)
-            if rows > PENDING_ROWS:
-                pending[:] = [_merged(pending)]
-                rows = pending[0].num_rows
-                if rows > PENDING_ROWS // 2:
-                    yield from flushed()
-                    rows = 0
-        if pending:
-            yield from flushed()
+            own = {"lid": block.column("lid").take(pa.array(at)), "gid": block.column("gid").take(pa.array(at)), "digest": digest[code], "n": n, "docs": seen}
+            if strings:
+                own["term"] = terms.take(pa.array(code)).cast(pa.string())
+            else:
+                yield from names.add(pa.table({"digest": digest, "term": terms.cast(pa.string())}))
+            yield from counts.add(pa.table(own))
+        yield from names.out()
+        yield from counts.out()
 
     return docs.select("lid", "gid", "__text").mapInArrow(run, _DDL)
 
