@@ -36,7 +36,7 @@ LEAST_DOCS = 3
 TOP = 200
 BITS = 64
 BLOCK_BYTES = 1 << 21
-PENDING_ROWS = 500_000
+PENDING_ROWS = 700_000
 EXPANDED = 1 << 20
 _LETTERS = np.array([c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c > 0x7F else 0 for c in range(256)], np.uint8)
 _COUNTS = pa.schema([("lid", pa.int64()), ("gid", pa.int64()), ("digest", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -158,15 +158,18 @@ def kept_terms(docs: DataFrame, bits: int = BITS, *, least_docs: int = LEAST_DOC
     parts = stage(_counted(docs, bits, strings=False), "divergence-counts")
     strings = stage(parts.where(F.col("term").isNotNull()).groupBy("digest").agg(F.min("term").alias("lo"), F.max("term").alias("hi")), "divergence-strings")
     shared = strings.where("lo != hi").select("digest")
-    counts = parts.where(F.col("term").isNull()).select("lid", "gid", "digest", F.lit("").alias("split"), "n", "docs")
+    counts = parts.where(F.col("term").isNull()).select("lid", "gid", "digest", "n", "docs")
+    term = ["lid", "digest"]
     if not shared.isEmpty():
-        split = _counted(docs, bits, strings=True).join(shared, "digest", "left_semi").select("lid", "gid", "digest", F.col("term").alias("split"), "n", "docs")
-        counts = counts.join(shared, "digest", "left_anti").unionByName(split)
-    term = ["lid", "digest", "split"]
+        split = _counted(docs, bits, strings=True).join(shared, "digest", "left_semi").select("lid", "gid", "digest", "n", "docs", F.col("term").alias("split"))
+        counts = counts.join(shared, "digest", "left_anti").withColumn("split", F.lit("")).unionByName(split)
+        term.append("split")
     # Dealt by term: the sums by group and the sums by language need no other shuffle.
     by_group = counts.repartition(*term).groupBy(*term, "gid").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     over = Window.partitionBy(*term)
     kept = by_group.select(*term, "gid", "n", F.sum("n").over(over).alias("lang_n"), F.sum("docs").over(over).alias("lang_docs"), (F.col("gid") == F.min("gid").over(over)).alias("opens"))
+    if "split" not in term:
+        kept = kept.withColumn("split", F.lit(""))
     return stage(kept.where(F.col("lang_docs") >= least_docs).drop("lang_docs"), "divergence-kept"), strings
 
 
