@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, divergence, exact, html, language, packing, pii, pseudo_lm, quality, simhash, suffixes
+from tidewatch.llm import decontamination, divergence, exact, html, language, packing, pii, pseudo_lm, quality, secrets, simhash, suffixes
 from tidewatch.llm.common import crc_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,9 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
   CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
 FROM every QUALIFY part = 'pair' OR rank <= 200
 """
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.summary(secrets.detect(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))
