@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, divergence, exact, html, language, packing, pii, pseudo_lm, quality, secrets, simhash, suffixes
+from tidewatch.llm import alignment, decontamination, divergence, exact, html, language, packing, pii, pseudo_lm, quality, secrets, simhash, suffixes
 from tidewatch.llm.common import crc_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,8 @@ FROM every QUALIFY part = 'pair' OR rank <= 200
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.summary(secrets.detect(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.compare(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
