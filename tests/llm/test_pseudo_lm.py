@@ -15,8 +15,9 @@ def test_log_probs_match_brute_force():
             hidden = net.bias.astype(float)
             for o, w in zip(lm.OFFSETS, net.layer, strict=True):
                 hidden = hidden + net.embed[wide[i + lm.SIDE + o]].astype(float) @ w
-            logits = np.tanh(hidden) @ net.out + net.out_bias
-            expected.append(logits[d[i]] - np.log(np.exp(logits).sum()))
+            active, (branch, leaf) = np.tanh(hidden), divmod(int(d[i]), lm.TOKENS // lm.BRANCHES)
+            top, inner = active @ net.top + net.top_bias, active @ net.leaf[branch] + net.leaf_bias[branch]
+            expected.append(top[branch] - np.log(np.exp(top).sum()) + inner[leaf] - np.log(np.exp(inner).sum()))
     assert owner.tolist() == [0, 0, 0, 0, 2] and np.allclose(found, expected, atol=1e-4)
 
 
@@ -69,7 +70,8 @@ def test_words_outside_the_most_frequent_have_scores_of_their_own(spark):
     """The list grows with the corpus; a junk word scores below a listed one of its class in the same place."""
     texts = [" ".join(f"w{i:03d}tion" for i in range(300))] * 6 + ["the w250tion end", "the w299tion end", "the qqxztion end"] + ["the w250tion end"] * 20
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    known = lm.lexicon(docs)
+    known, gains = lm.lexicon(docs)
+    assert gains is None
     counts = {}
     for t in texts:
         for w in lm.words_of(t):
@@ -78,6 +80,7 @@ def test_words_outside_the_most_frequent_have_scores_of_their_own(spark):
     assert len(known.keys) == len(listed) > 100
     vocabulary = lm.Vocabulary(known.words, known.keys)
     ids = [vocabulary[w] for w in listed]
+    assert vocabulary[listed[0].upper() + "!,"] == ids[0] and vocabulary["(*)"] == -1
     assert len(set(ids)) == len(ids) and min(ids) > lm.EDGE
     assert lm.Vocabulary(known.words, known.keys).encode(" ".join(listed)).tolist() == ids
     # the words of a class share its whole mass
@@ -105,3 +108,40 @@ def test_late_tokens_of_short_documents_are_learnt(spark):
     docs = spark.createDataFrame([(i, "one two three four five six seven eight") for i in range(3000)], "doc_id long, text string")
     scored = lm.score(docs.coalesce(1)).limit(1).collect()
     assert scored[0].mean_log_prob > -0.5
+
+
+def test_probabilities_of_all_classes_add_up_to_one():
+    net = lm.Network.start(4)
+    net.leaf_bias += np.random.default_rng(0).normal(size=net.leaf_bias.shape).astype(np.float32)
+    padded = np.concatenate([np.array([lm.EDGE, 3, c, 250, lm.EDGE]) for c in range(lm.TOKENS)])
+    assert np.isclose(np.exp(net.log_probs(padded, np.arange(lm.TOKENS) * 5 + 2)).sum(), 1, atol=1e-5)
+
+
+def test_gradients_match_finite_differences():
+    rng = np.random.default_rng(1)
+    net = lm.Network.start(2)
+    padded, at, _ = lm.padded_tokens([rng.integers(0, lm.TOKENS, 40)])
+    before = [p.astype(float).copy() for p in net.parts]
+    memory = [np.full_like(p, 1.0) for p in net.parts]
+    moved = lm.Network(*[p.copy() for p in net.parts])
+    moved.learn(padded, at, memory, 1.0)  # the step is g / sqrt(1 + g * g)
+    for k, old in enumerate(before):
+        step = (old - moved.parts[k]).ravel()
+        for i in np.argsort(-abs(step))[:4]:
+            sides = []
+            for sign in (1, -1):
+                other = lm.Network(*[p.copy() for p in net.parts])
+                other.parts[k].ravel()[i] += sign * 1e-2
+                sides.append(-other.log_probs(padded, at).mean())
+            g = (sides[0] - sides[1]) / 2e-2
+            assert np.isclose(step[i], g / np.sqrt(1 + g * g), rtol=0.05, atol=2e-4), (k, i)
+
+
+def test_words_that_are_not_broadcast_have_the_same_shares(spark, table):
+    docs = table("documents").coalesce(1)
+    whole = {r.doc_id: r.log_prob for r in lm.score(docs, rounds=1).collect()}
+    for most in (400, 0):
+        known, gains = lm.lexicon(docs, shared_words=most)
+        assert known.least > lm.LEAST and len(known.keys) <= most and gains.count() > 0
+        for r in lm.score(docs, rounds=1, shared_words=most).collect():
+            assert np.isclose(r.log_prob, whole[r.doc_id], rtol=1e-4, atol=1e-2)

@@ -2,12 +2,13 @@
 
 Tokens are lower-case words. The softmax is factored by class: each of the ``WORDS`` most frequent words of the
 whole corpus is a class of its own, all others share ``CLASSES`` classes by their last letters. A small network
-sees the classes of ``SIDE`` tokens on either side of a hidden one (embeddings, one tanh layer, softmax) and
-predicts its class; the word in its class has its share of the class's tokens. Each word seen ``LEAST`` times
+sees the classes of ``SIDE`` tokens on either side of a hidden one (embeddings, one tanh layer) and predicts its
+class by two softmaxes of ``BRANCHES``: the branch, then the class within the branch. The word in its class has its share of the class's tokens. Each word seen ``LEAST`` times
 or more is listed with its own share, so the list grows with the corpus; rarer words divide the rest of their
 class evenly. A document's score is the sum over all its tokens of the log-probability given both sides.
 
-The list is kept as 64-bit hashes: 13 bytes a word in the driver and in each Python worker. Two words of one
+At most ``SHARED_WORDS`` listed words, the most frequent ones by powers of two of the count, are broadcast as 64-bit hashes, 13 bytes each.
+The shares of the others are joined on Spark to the documents' counts of such words. Two words of one
 hash would share a share; among ten million words that is expected less than once in 100,000 corpora.
 
 Word counts cover all texts. Training is data-parallel: in each round every scan task starts from the
@@ -17,7 +18,8 @@ holds more than one network of each of ``GROUPS`` groups. Over the rounds every
 
 Defined results: null and blank texts have no tokens, score 0 and no mean. Repeated rows have equal scores.
 Sides beyond a text's ends are a token of their own, so documents never see each other. An empty table
-gives an empty table. Other columns are ignored.
+gives an empty table. Other columns are ignored. Rows without an id keep their null id; very long texts are read whole.
+Ties among the most frequent words go by the alphabet.
 """
 
 from __future__ import annotations
@@ -43,10 +45,12 @@ LEAST = 5  # a word seen so often is listed
 BATCH_BYTES = 1 << 22
 SCORE_TOKENS = 1 << 10
 COUNTED_WORDS = 300_000
+BRANCHES = 16
+SHARED_WORDS = 1 << 20
 _MARKS = ".,;:!?\"'()[]{}<>|*#%$&"
-_SHAPES = [(TOKENS + 1, WIDTH), (2 * SIDE, WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, TOKENS), (TOKENS,)]
+_LEAVES = TOKENS // BRANCHES
+_SHAPES = [(TOKENS + 1, WIDTH), (2 * SIDE, WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, BRANCHES), (BRANCHES,), (BRANCHES, HIDDEN, _LEAVES), (BRANCHES, _LEAVES)]
 _SIZES = [int(np.prod(s)) for s in _SHAPES]
-_ONES = np.ones(TOKENS, np.float32)
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 
 
@@ -63,63 +67,82 @@ def ending(word: str) -> int:
 
 
 class Vocabulary(dict):
-    """Word -> token: a frequent word, a listed one (behind ``EDGE``, in the order of ``keys``), else the class of
-    its ending. Words met are remembered up to a bound."""
+    """Chunk between blanks -> token: a frequent word, a listed one (behind ``EDGE``, in the order of ``keys``), else the
+    class of its ending; -1 if only marks are left. Chunks met are remembered up to a bound, with the hashes of unlisted words."""
 
     def __init__(self, words: list[str], keys: np.ndarray | None = None) -> None:
-        super().__init__({w: i for i, w in enumerate(words)})
-        self.words = list(words)
+        super().__init__()
+        self.words = {w: i for i, w in enumerate(words)}
         self.keys = np.zeros(0, np.int64) if keys is None else keys
+        self.unlisted: dict[str, int] = {}
 
-    def learn(self, words: list[str]) -> None:
-        if len(self) > COUNTED_WORDS:
-            self.clear()
-            self.update({w: i for i, w in enumerate(self.words)})
-            words = [w for w in words if w not in self]
-        key = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in words], np.uint64).view(np.int64)  # as Spark's xxhash64
+    def learn(self, chunks: list[str]) -> None:
+        words = [c.lower().strip(_MARKS) for c in chunks]
+        key = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) for w in words], np.uint64).view(np.int64)  # as Spark's xxhash64
         at = np.searchsorted(self.keys, key)
         listed = np.searchsorted(self.keys, key, "right") > at
-        for w, i, known in zip(words, at.tolist(), listed.tolist(), strict=True):
-            self[w] = EDGE + 1 + i if known else ending(w)
-
-    def __missing__(self, word: str) -> int:
-        self.learn([word])
-        return self[word]
+        for c, w, h, i, known in zip(chunks, words, key.tolist(), at.tolist(), listed.tolist(), strict=True):
+            token = -1 if not w else self.words.get(w, EDGE + 1 + i if known else -2)
+            if token == -2:
+                token, self.unlisted[c] = ending(w), h
+            self[c] = token
+
+    def __missing__(self, chunk: str) -> int:
+        self.learn([chunk])
+        return self[chunk]
+
+    def read(self, text: str | None) -> tuple[np.ndarray, list[int]]:
+        """The text's tokens, and the hashes of its words that are neither frequent nor listed."""
+        chunks = (text or "").split()
+        found = list(map(self.get, chunks))
+        if None in found:
+            if len(self) > COUNTED_WORDS:
+                self.clear()
+                self.unlisted.clear()
+            self.learn([c for c in set(chunks) if c not in self])
+            found = list(map(self.__getitem__, chunks))
+        ids = np.array(found, np.int32)
+        rare = np.flatnonzero((ids >= WORDS) & (ids < EDGE))
+        return ids[ids >= 0], [self.unlisted[chunks[i]] for i in rare.tolist()]
 
     def encode(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
-        found = list(map(self.get, words))
-        if None in found:
-            self.learn(list({w for w, f in zip(words, found, strict=True) if f is None}))
-            found = list(map(self.__getitem__, words))
-        return np.array(found, np.int32)
+        return self.read(text)[0]
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """The most frequent words, the sorted hashes of the listed ones, and by token its class and log-share of it."""
+    """The most frequent words, the sorted hashes of the shared listed ones, and by token its class and log-share of it.
+
+    ``least`` is the count from which on listed words are shared."""
 
     words: list[str]
     keys: np.ndarray
     classes: np.ndarray
     shares: np.ndarray
+    least: int = LEAST
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, class, n) over all texts."""
-    def counted(counts: Counter[str]) -> pa.RecordBatch:
+    def counted(chunks: Counter[str]) -> pa.RecordBatch:
+        """Case and marks are taken off each distinct chunk, not off each word."""
+        counts: Counter[str] = Counter()
+        for chunk, n in chunks.items():
+            word = chunk.lower().strip(_MARKS)
+            if word:
+                counts[word] += n
         return pa.RecordBatch.from_pydict({"word": list(counts), "class": pa.array(map(ending, counts), pa.int32()), "n": list(counts.values())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        chunks: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(words_of(text))
-                if len(counts) > COUNTED_WORDS:
-                    yield counted(counts)
-                    counts.clear()
-        if counts:
-            yield counted(counts)
+                chunks.update((text or "").split())
+                if len(chunks) > COUNTED_WORDS:
+                    yield counted(chunks)
+                    chunks.clear()
+        if chunks:
+            yield counted(chunks)
 
     found = docs.select(text_col).mapInArrow(run, "word string, class int, n long")
     return found.groupBy("word", "class").agg(F.sum("n").alias("n"))
@@ -134,38 +157,72 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> list[str]:
     return _most_frequent(word_counts(docs, text_col))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text") -> Lexicon:
+def _shared_from(listed: DataFrame, most: int) -> int:
+    """The least power of two, ``LEAST`` at least, such that at most ``most`` words have this count or a higher one."""
+    bits = {r.k: r.words for r in listed.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("words")).collect()}  # 64 rows at most
+    total = 0
+    for k in sorted(bits, reverse=True):
+        total += bits[k]
+        if total > most:
+            return max(LEAST, 1 << (k + 1))
+    return LEAST
+
+
+def lexicon(docs: DataFrame, text_col: str = "text", *, shared_words: int = SHARED_WORDS) -> tuple[Lexicon, DataFrame | None]:
+    """The lexicon, and (key, gain) of the listed words it does not hold (None if it holds all).
+
+    ``gain`` is what such a word's log-share has over that of an unlisted word of its class."""
     counts = stage(word_counts(docs, text_col), "lm-words")
     words = _most_frequent(counts)
     others = counts.where(~F.col("word").isin(words)) if words else counts
-    listed = others.where(F.col("n") >= LEAST).select(F.xxhash64("word").alias("key"), "class", "n").toArrow()
-    key, kind, n = (listed.column(c).to_numpy() for c in ("key", "class", "n"))
+    by_class = others.groupBy("class").agg(
+        F.sum("n").alias("total"), F.sum(F.when(F.col("n") < LEAST, F.col("n")).otherwise(0)).alias("rest"), F.count(F.when(F.col("n") < LEAST, 1)).alias("types"))
+    total, rest, types = np.ones(TOKENS), np.zeros(TOKENS), np.ones(TOKENS)
+    for r in by_class.collect():  # one row a class
+        total[r["class"]], rest[r["class"]], types[r["class"]] = r.total, r.rest, max(r.types, 1)
+    # A class without rare words leaves half a token to them; no word of the corpus reads it.
+    unlisted = np.log(np.maximum(rest, 0.5) / types / total)
+    listed = others.where(F.col("n") >= LEAST).select(F.xxhash64("word").alias("key"), "class", "n")
+    least = _shared_from(listed, shared_words)
+    held = listed.where(F.col("n") >= least).toArrow()  # `shared_words` rows at most
+    key, kind, n = (held.column(c).to_numpy() for c in ("key", "class", "n"))
     order = np.argsort(key, kind="stable")
     key, kind, n = key[order], kind[order], n[order]
-    rest, types = np.zeros(TOKENS), np.ones(TOKENS)
-    for r in others.where(F.col("n") < LEAST).groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # one row a class
-        rest[r["class"]], types[r["class"]] = r.n, r.types
-    total = rest + np.bincount(kind, weights=n, minlength=TOKENS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        shares = np.concatenate([np.log(rest / types / total), [0.0], np.log(n / total[kind])])
+    shares = np.concatenate([unlisted, [0.0], np.log(n / total[kind])])
     shares[:WORDS] = 0.0
-    return Lexicon(words, key, np.concatenate([np.arange(EDGE + 1), kind]).astype(np.int16), shares.astype(np.float32))
+    known = Lexicon(words, key, np.concatenate([np.arange(EDGE + 1), kind]).astype(np.int16), shares.astype(np.float32), least)
+    if least == LEAST:
+        return known, None
+    base = F.array(*[F.lit(float(np.log(t) + u)) for t, u in zip(total[WORDS:], unlisted[WORDS:], strict=True)])
+    # Two words of one hash, if ever, count as their mean.
+    gains = listed.where(F.col("n") < least).select("key", (F.log("n") - F.element_at(base, F.col("class") - WORDS + 1)).alias("gain"))
+    return known, gains.groupBy("key").agg(F.avg("gain").alias("gain"))
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Rows of probabilities, in place."""
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
 
 
 @dataclass
 class Network:
-    """Embeddings, one layer per place beside the hidden token, biases, output layer, output biases."""
+    """Embeddings, one layer per place beside the hidden token, biases; the branches' layer and biases, those of each branch's classes."""
 
     embed: np.ndarray
     layer: np.ndarray
     bias: np.ndarray
-    out: np.ndarray
-    out_bias: np.ndarray
+    top: np.ndarray
+    top_bias: np.ndarray
+    leaf: np.ndarray
+    leaf_bias: np.ndarray
 
     @classmethod
     def start(cls, seed: int = 5) -> Network:
         rng = np.random.default_rng(seed)
-        return cls(*[rng.normal(0, 0.1, s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in _SHAPES])
+        return cls(*[np.zeros(s, np.float32) if k in (2, 4, 6) else rng.normal(0, 0.1, s).astype(np.float32) for k, s in enumerate(_SHAPES)])
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Network:
@@ -173,42 +230,63 @@ class Network:
 
     @property
     def parts(self) -> list[np.ndarray]:
-        return [self.embed, self.layer, self.bias, self.out, self.out_bias]
+        return [self.embed, self.layer, self.bias, self.top, self.top_bias, self.leaf, self.leaf_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts])
 
+    def _levels(self, active: np.ndarray, branch: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Probabilities of the branches, and of the classes in each row's own branch; rows are in the order of ``branch``."""
+        first = _softmax(active @ self.top + self.top_bias)
+        edges = np.searchsorted(branch, np.arange(BRANCHES + 1)).tolist()
+        runs = [(j, a, z) for j, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
+        second = np.empty((len(active), _LEAVES), np.float32)
+        for j, a, z in runs:
+            np.matmul(active[a:z], self.leaf[j], out=second[a:z])
+        second += self.leaf_bias[branch]
+        return first, _softmax(second), runs
+
     def log_probs(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log-probability of the token at each place, given both sides."""
         tables = [self.embed @ w for w in self.layer]
         out = np.empty(len(at))
         for k in range(0, len(at), SCORE_TOKENS):
-            place = at[k:k + SCORE_TOKENS]
-            hidden = self.bias + sum(t[padded[place + o]] for t, o in zip(tables, OFFSETS, strict=True))
-            logits = np.tanh(hidden) @ self.out
-            logits += self.out_bias
-            logits -= logits.max(axis=1, keepdims=True)
-            own = logits[np.arange(len(place)), padded[place]]
-            out[k:k + len(place)] = own - np.log(np.exp(logits, out=logits) @ _ONES)
+            branch = padded[at[k:k + SCORE_TOKENS]] // _LEAVES
+            order = np.argsort(branch, kind="stable")
+            place, branch = at[k:k + SCORE_TOKENS][order], branch[order]
+            active = np.tanh(self.bias + sum(t[padded[place + o]] for t, o in zip(tables, OFFSETS, strict=True)))
+            first, second, _ = self._levels(active, branch)
+            row = np.arange(len(place))
+            own = first[row, branch].astype(np.float64) * second[row, padded[place] % _LEAVES]
+            out[k + order] = np.log(np.maximum(own, 1e-300))
         return out
 
     def learn(self, padded: np.ndarray, at: np.ndarray, memory: list[np.ndarray], rate: float) -> None:
         """One Adagrad step on the tokens at ``at``."""
+        branch = padded[at] // _LEAVES
+        order = np.argsort(branch, kind="stable")
+        at, branch = at[order], branch[order]
         sides = np.stack([padded[at + o] for o in OFFSETS])
         hidden = self.bias + sum((self.embed @ w)[s] for s, w in zip(sides, self.layer, strict=True))
         active = np.tanh(hidden)
-        p = active @ self.out
-        p += self.out_bias
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p *= (1 / len(at) / (p @ _ONES))[:, None]
-        p[np.arange(len(at)), padded[at]] -= np.float32(1 / len(at))
-        back = (p @ self.out.T) * (1 - active * active)
+        first, second, runs = self._levels(active, branch)
+        row, share = np.arange(len(at)), np.float32(1 / len(at))
+        for p, target in ((first, branch), (second, padded[at] % _LEAVES)):
+            p[row, target] -= 1
+            p *= share
+        back = first @ self.top.T
+        leaf, leaf_bias = np.zeros_like(self.leaf), np.zeros_like(self.leaf_bias)
+        for j, a, z in runs:
+            back[a:z] += second[a:z] @ self.leaf[j].T
+            leaf[j] = active[a:z].T @ second[a:z]
+            leaf_bias[j] = second[a:z].sum(axis=0)
+        back *= 1 - active * active
         moved = np.stack([back @ w.T for w in self.layer])
         slots = (sides[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
         embed = np.bincount(slots, weights=moved.ravel(), minlength=self.embed.size).reshape(self.embed.shape).astype(np.float32)
         layer = np.stack([self.embed[s].T @ back for s in sides])
-        for value, seen, g in zip(self.parts, memory, [embed, layer, back.sum(axis=0), active.T @ p, p.sum(axis=0)], strict=True):
+        grads = [embed, layer, back.sum(axis=0), active.T @ first, first.sum(axis=0), leaf, leaf_bias]
+        for value, seen, g in zip(self.parts, memory, grads, strict=True):
             seen += g * g
             value -= rate * g / np.sqrt(seen)
 
@@ -233,14 +311,18 @@ def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def tokens(docs: DataFrame, known: Broadcast[Lexicon], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, __ids): the tokens of each text, four bytes each."""
+    """(id, __row, __ids, __rare): a number for each row, the tokens of each text, four bytes each, and the hashes of words
+    that the lexicon does not hold; these only if listed words are among them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(known.value.words, known.value.keys)
+        vocabulary, row = Vocabulary(known.value.words, known.value.keys), TaskContext.get().partitionId() << 40
         for block in blocks(batches, "__text", BATCH_BYTES):
-            ids = [vocabulary.encode(t).tobytes() for t in block.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(ids, pa.binary())], names=[id_col, "__ids"])
+            read = [vocabulary.read(t) for t in block.column("__text").to_pylist()]
+            rare = [r if known.value.least > LEAST else [] for _, r in read]
+            rows = pa.array(np.arange(row, row + len(read)))
+            row += len(read)
+            yield pa.RecordBatch.from_arrays([block.column(0), rows, pa.array([i.tobytes() for i, _ in read], pa.binary()), pa.array(rare, pa.list_(pa.int64()))], names=[id_col, "__row", "__ids", "__rare"])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, first_schema(docs, id_col) + ", __ids binary")
+    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, first_schema(docs, id_col) + ", __row long, __ids binary, __rare array<long>")
 
 
 def train(rows: DataFrame, known: Broadcast[Lexicon], *, rounds: int = ROUNDS, rate: float = 0.1) -> Network:
@@ -281,10 +363,11 @@ def train(rows: DataFrame, known: Broadcast[Lexicon], *, rounds: int = ROUNDS, r
     return network
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, shared_words: int = SHARED_WORDS) -> DataFrame:
     """One row per document: id, ``n_tokens``, ``log_prob`` (sum), ``mean_log_prob`` (null without tokens)."""
     context = docs.sparkSession.sparkContext
-    known = context.broadcast(lexicon(docs, text_col))
+    held, gains = lexicon(docs, text_col, shared_words=shared_words)
+    known = context.broadcast(held)
     rows = stage(tokens(docs, known, id_col=id_col, text_col=text_col), "lm-tokens")
     shared = context.broadcast(train(rows, known, rounds=rounds))
 
@@ -294,7 +377,12 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ro
             padded, at, owner = padded_tokens([known.value.classes[i] for i in ids])
             in_class = known.value.shares[np.concatenate(ids)]
             total = np.bincount(owner, weights=shared.value.log_probs(padded, at) + in_class, minlength=len(ids)).astype(float)  # whole numbers if there are no tokens
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(total)], names=[id_col, "n_tokens", "log_prob"])
-
-    scored = rows.mapInArrow(run, first_schema(rows, id_col) + ", n_tokens long, log_prob double")
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array([len(i) for i in ids], pa.int64()), pa.array(total)], names=[id_col, "__row", "n_tokens", "log_prob"])
+
+    scored = rows.select(id_col, "__row", "__ids").mapInArrow(run, first_schema(rows, id_col) + ", __row long, n_tokens long, log_prob double")
+    if gains is not None:
+        rare = rows.select("__row", F.explode("__rare").alias("key")).groupBy("__row", "key").agg(F.count("*").alias("k"))
+        gained = rare.join(gains, "key").groupBy("__row").agg(F.sum(F.col("k") * F.col("gain")).alias("gained"))
+        scored = scored.join(gained, "__row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("gained", F.lit(0.0)))
+    scored = scored.select(id_col, "n_tokens", "log_prob")
     return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
