@@ -14,9 +14,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 def check(rows, texts, tokenizer, capacity):
@@ -85,6 +83,7 @@ def test_best_fit_places_everything(counts):
 def test_words_give_the_ids_of_the_text(tokenizer, text):
     found = np.frombuffer(next(packing.Encoder.of(PATH).encode([text])), "<u4").tolist()
     assert found == tokenizer.encode(text, add_special_tokens=False).ids
+    assert "<|endoftext|>" not in text or 49407 in found
 
 
 def test_a_full_memory_is_cleared(monkeypatch, tokenizer):

@@ -13,7 +13,7 @@ looks up its run.
 
 Defined results: null text is empty, which gives the end token alone. Repeated rows, and rows without
 an id, are documents of their own. An empty table gives no sequences. Other columns are ignored.
-Tokens named in the tokenizer as special are read as ordinary text.
+A special token's string in a text is that token's id, as the tokenizer reads it by default.
 """
 
 from __future__ import annotations
@@ -55,7 +55,6 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.plain = sys.byteorder == "little" and array("I").itemsize == 4 and self._splits_words()
 
     @classmethod
