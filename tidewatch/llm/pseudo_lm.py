@@ -40,10 +40,11 @@ from tidewatch.llm.common import blocks, first_schema, stage
 WORDS, CLASSES, SIDE, WIDTH, HIDDEN = 192, 64, 2, 16, 24
 TOKENS = WORDS + CLASSES
 EDGE = TOKENS  # beyond a text's end
-ROUNDS, BATCH, GROUPS = 2, 512, 64
+ROUNDS, GROUPS = 2, 64
+BATCH, LARGE_BATCH, FIRST_STEPS = 512, 2048, 64  # a task's first steps are small, so that little text is enough
 LEAST = 5  # a word seen so often is listed
 BATCH_BYTES = 1 << 22
-SCORE_TOKENS = 1 << 10
+SCORE_TOKENS = 1 << 13
 COUNTED_WORDS = 300_000
 BRANCHES = 16
 SHARED_WORDS = 1 << 20
@@ -281,9 +282,13 @@ class Network:
             leaf[j] = active[a:z].T @ second[a:z]
             leaf_bias[j] = second[a:z].sum(axis=0)
         back *= 1 - active * active
-        moved = np.stack([back @ w.T for w in self.layer])
-        slots = (sides[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
-        embed = np.bincount(slots, weights=moved.ravel(), minlength=self.embed.size).reshape(self.embed.shape).astype(np.float32)
+        moved = np.concatenate([back @ w.T for w in self.layer])
+        seen_by = sides.ravel().astype(np.int16)
+        order = np.argsort(seen_by, kind="stable")
+        seen_by = seen_by[order]
+        opens = np.flatnonzero(np.diff(seen_by, prepend=-1))
+        embed = np.zeros_like(self.embed)
+        embed[seen_by[opens]] = np.add.reduceat(moved[order], opens, axis=0)
         layer = np.stack([self.embed[s].T @ back for s in sides])
         grads = [embed, layer, back.sum(axis=0), active.T @ first, first.sum(axis=0), leaf, leaf_bias]
         for value, seen, g in zip(self.parts, memory, grads, strict=True):
@@ -335,12 +340,15 @@ def train(rows: DataFrame, known: Broadcast[Lexicon], *, rounds: int = ROUNDS, r
         def local(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
             own = Network.of(start.value.flat())
             memory = [np.full_like(p, 1e-4) for p in own.parts]
-            rng, seen = np.random.default_rng(TaskContext.get().partitionId()), 0
+            rng, seen, steps = np.random.default_rng(TaskContext.get().partitionId()), 0, 0
             for block in blocks(batches, "__ids", 1 << 20):
                 padded, at, owner = padded_tokens([known.value.classes[i] for i in _ids(block)])
                 chosen = rng.permutation(at[hidden(owner, turn, rounds)])
-                for k in range(0, len(chosen), BATCH):
-                    own.learn(padded, chosen[k:k + BATCH], memory, rate)
+                k = 0
+                while k < len(chosen):
+                    size = BATCH if steps < FIRST_STEPS else LARGE_BATCH
+                    own.learn(padded, chosen[k:k + size], memory, rate)
+                    k, steps = k + size, steps + 1
                 seen += len(chosen)
             if seen:
                 group = TaskContext.get().partitionId() % GROUPS
