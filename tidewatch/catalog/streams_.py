@@ -8,7 +8,7 @@ from tidewatch.catalog.registry import V_SCORED, V_SNAP, V_VIDEO, Tables, query,
 from tidewatch.catalog.views_ import ALERT_CTES
 from tidewatch.catalog.windows_ import V_TRACK
 from tidewatch.session import scratch_path
-from tidewatch.streaming import ingest, rescoring, velocity
+from tidewatch.streaming import ingest, keyed, rescoring, velocity
 
 
 def _finish(writer) -> None:
@@ -57,6 +57,21 @@ def k2(t: Tables):
     ))
 
 
+@query("k2_keyed_state", """
+    SELECT video_id, event_id, prev_views, round(view_velocity, 6) AS view_velocity, round(comment_velocity, 6) AS comment_velocity,
+      round(engagement_velocity, 6) AS engagement_velocity, round(prev_view_velocity, 6) AS prev_view_velocity,
+      round(growth_acceleration, 6) AS growth_acceleration FROM v_acc""", V_SNAP, V_TRACK)
+def k2_keyed(t: Tables):
+    landing, out, log = (scratch_path(t.spark, f"k2-keyed-{x}") for x in ("landing", "out", "log"))
+    snap = t.snap()
+    for wave in _waves(snap):
+        _land(wave, landing)
+        keyed.start(_stream(t, snap, landing), out, log).awaitTermination()
+    return rounded(keyed.read(t.spark, out).where("not late").select(
+        "video_id", "event_id", "prev_views", "view_velocity", "comment_velocity", "engagement_velocity", "prev_view_velocity", "growth_acceleration"
+    ))
+
+
 @query("k3_snapshot_append", """
     SELECT video_id, event_id, view_count, CAST(CAST(tracking_timestamp AS DATE) AS VARCHAR) AS ingest_date FROM v_snap""", V_SNAP)
 def k3(t: Tables):

@@ -46,9 +46,10 @@ def latest_values(df: DataFrame, key: str, time: str, tiebreak: str, columns: Se
 
 
 def best_alerts(alerts: DataFrame) -> DataFrame:
-    """Highest-scored row per (video_id, alert_type)."""
+    """Highest-scored row per (video_id, alert_type); rows equal in score, time and id go by their content."""
     order = [F.desc("alert_score")]
     order += [F.desc(c) for c in ("tracking_timestamp", "event_id") if c in alerts.columns]
+    order.append(F.xxhash64(*[F.col(c).cast("string") for c in sorted(alerts.columns)]))
     return first_per_key(alerts, ["video_id", "alert_type"], order)
 
 

@@ -52,8 +52,8 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
 def run_once(spark: SparkSession, tables: Tables, videos: DataFrame, as_of: Column, topic_lexicon: Mapping[str, Sequence[str]], stop_words: Sequence[str], comments: DataFrame | None = None, snapshots: DataFrame | None = None, model: PipelineModel | None = None, lookback_hours: int | None = None, hooks: Hooks = Hooks()) -> DataFrame:
     """Run every stage that has its input; without a model it stops after the narratives.
 
-    Items and features already stored are not processed again. A run is known by its ``as_of``: repeated, say
-    after a failure, it replaces its own history rows; those of other runs are never rewritten. Of rows with
+    Items and features already stored by other runs are not processed again. A run is known by its ``as_of``: repeated, say
+    after a failure, it replaces its own features and history rows; those of other runs are never rewritten. Of rows with
     one id in ``videos`` the first by keyword counts, then by content; rows without an id all count.
     """
     run = spark.range(1).select(F.unix_micros(as_of)).first()[0]
@@ -63,24 +63,20 @@ def run_once(spark: SparkSession, tables: Tables, videos: DataFrame, as_of: Colu
     by = [F.col("keyword").asc_nulls_last()] if "keyword" in videos.columns else []
     content = F.xxhash64(*[F.col(c).cast("string") for c in videos.columns])
     videos = fresh_rows(videos, None, [*by, content])
-    clean = cleaning.clean_items(videos, comments, stored(spark, tables.features), hooks.translator)
+    done = stored(spark, tables.features)
+    done = None if done is None else done.where(F.col("run") != run)
+    clean = cleaning.clean_items(videos, comments, done, hooks.translator)
     rows = features.build_features(clean, as_of, None, hooks.sentiment, hooks.emotion, hooks.toxicity)
-    sinks.append(rows.withColumn("processed_at", as_of), tables.features, "processed_at")
+    sinks.replace_run(rows.withColumn("processed_at", as_of), tables.features, "processed_at", run)
 
     latest = None if snapshots is None else tracking.latest_metrics(snapshots, "snapshot_time")
-    taken = tracking.snapshot(spark.read.parquet(tables.features), as_of, latest)
+    taken = tracking.snapshot(spark.read.parquet(tables.features).drop("run"), as_of, latest)
     sinks.replace_run(taken, tables.history, "tracking_timestamp", run)
 
     history = spark.read.parquet(tables.history).drop("ingest_date", "run")
     tracked = tracking.build_tracking(history)
-    tracked = tracked.withColumn(
-        "row_key", F.concat_ws("@", "video_id", F.unix_micros("tracking_timestamp").cast("string"))
-    )
-    sinks.overwrite(
-        narrative.build_narratives(
-            tracked, topic_lexicon, stop_words, order="row_key", model=hooks.embedding, strategy=hooks.naming
-        ), tables.narratives
-    )
+    found = narrative.build_narratives(tracked, topic_lexicon, stop_words, model=hooks.embedding, strategy=hooks.naming)
+    sinks.overwrite(found, tables.narratives)
     found = spark.read.parquet(tables.narratives)
     if model is None:
         return found

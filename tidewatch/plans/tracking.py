@@ -24,6 +24,11 @@ CARRIED = [
     "keyword", "views_per_hour", "likes_per_hour", "comments_per_hour", "text_length", "word_count",
     "emoji_count", "question_mark_count", "exclamation_count",
 ]
+# Column -> what it holds of the previous snapshot.
+PREVIOUS = {
+    "prev_views": "view_count", "prev_likes": "like_count", "prev_comments": "comment_count",
+    "prev_engagement": "engagement_rate", "prev_timestamp": "tracking_timestamp",
+}
 FILLED = [
     "view_velocity", "like_velocity", "comment_velocity", "engagement_velocity",
     "growth_acceleration", "engagement_momentum",
@@ -73,11 +78,7 @@ def previous_values(df: DataFrame, order: Sequence[str] | None = None, limit: in
     order = list(order or ["tracking_timestamp", *_tiebreak(df)])
     df = ensure_columns(df, {c: F.lit(0.0) for c in [*COUNTS, "engagement_rate"]})
     rows = previous_rows(df, "video_id", order, [*COUNTS, "engagement_rate", "tracking_timestamp"], limit)
-    names = {
-        "prev_views": "view_count", "prev_likes": "like_count", "prev_comments": "comment_count",
-        "prev_engagement": "engagement_rate", "prev_timestamp": "tracking_timestamp",
-    }
-    return rows.withColumns({out: F.col(f"_prev1.{c}") for out, c in names.items()})
+    return rows.withColumns({out: F.col(f"_prev1.{c}") for out, c in PREVIOUS.items()})
 
 
 def _velocity(now: Column, before: Column, hours: Column) -> Column:
