@@ -46,6 +46,7 @@ LEAST = 5  # a word seen so often is listed
 BATCH_BYTES = 1 << 22
 SCORE_TOKENS = 1 << 13
 COUNTED_WORDS = 300_000
+MET_CHUNKS = 600_000
 BRANCHES = 16
 SHARED_WORDS = 1 << 20
 _MARKS = ".,;:!?\"'()[]{}<>|*#%$&"
@@ -92,22 +93,22 @@ class Vocabulary(dict):
         self.learn([chunk])
         return self[chunk]
 
-    def read(self, text: str | None) -> tuple[np.ndarray, list[int]]:
-        """The text's tokens, and the hashes of its words that are neither frequent nor listed."""
+    def read(self, text: str | None, *, rare: bool = True) -> tuple[np.ndarray, list[int]]:
+        """The text's tokens, and with ``rare`` the hashes of its words that are neither frequent nor listed."""
         chunks = (text or "").split()
         found = list(map(self.get, chunks))
         if None in found:
-            if len(self) > COUNTED_WORDS:
+            if len(self) > MET_CHUNKS:
                 self.clear()
                 self.unlisted.clear()
             self.learn([c for c in set(chunks) if c not in self])
             found = list(map(self.__getitem__, chunks))
         ids = np.array(found, np.int32)
-        rare = np.flatnonzero((ids >= WORDS) & (ids < EDGE))
-        return ids[ids >= 0], [self.unlisted[chunks[i]] for i in rare.tolist()]
+        places = np.flatnonzero((ids >= WORDS) & (ids < EDGE)).tolist() if rare else ()
+        return ids[ids >= 0], [self.unlisted[chunks[i]] for i in places]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.read(text)[0]
+        return self.read(text, rare=False)[0]
 
 
 @dataclass(frozen=True)
@@ -321,11 +322,10 @@ def tokens(docs: DataFrame, known: Broadcast[Lexicon], *, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, row = Vocabulary(known.value.words, known.value.keys), TaskContext.get().partitionId() << 40
         for block in blocks(batches, "__text", BATCH_BYTES):
-            read = [vocabulary.read(t) for t in block.column("__text").to_pylist()]
-            rare = [r if known.value.least > LEAST else [] for _, r in read]
+            read = [vocabulary.read(t, rare=known.value.least > LEAST) for t in block.column("__text").to_pylist()]
             rows = pa.array(np.arange(row, row + len(read)))
             row += len(read)
-            yield pa.RecordBatch.from_arrays([block.column(0), rows, pa.array([i.tobytes() for i, _ in read], pa.binary()), pa.array(rare, pa.list_(pa.int64()))], names=[id_col, "__row", "__ids", "__rare"])
+            yield pa.RecordBatch.from_arrays([block.column(0), rows, pa.array([i.tobytes() for i, _ in read], pa.binary()), pa.array([r for _, r in read], pa.list_(pa.int64()))], names=[id_col, "__row", "__ids", "__rare"])
 
     return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, first_schema(docs, id_col) + ", __row long, __ids binary, __rare array<long>")
 
