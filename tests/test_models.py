@@ -157,5 +157,20 @@ def test_neighbour_scores_of_all_rows(spark):
     others = [i for i in range(3000) if i != 200]
     assert np.mean([abs(got[i] - exact[i]) < 2e-4 for i in others]) >= 0.9
     assert all(got[i] <= exact[i] + 2e-4 for i in others)
+    tight = {r.id: r.narrative_similarity_score for r in narratives.all_neighbour_scores(df, "e", limit=1100).collect()}
+    assert np.mean([abs(tight[i] - exact[i]) < 2e-4 for i in others]) >= 0.9 and all(tight[i] <= exact[i] + 2e-4 for i in others)
     assert narratives.all_neighbour_scores(df.limit(0), "e").count() == 0
     assert [r.narrative_similarity_score for r in narratives.all_neighbour_scores(df.limit(1), "e").collect()] == [0.0]
+
+
+def test_neighbour_cells_stay_within_their_limit(spark):
+    """Texts of one kind and vectors nearly alike: no cell grows beyond the limit and no vector is left out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    rng = np.random.default_rng(3)
+    alike = [([float(x) for x in r],) for r in (1 + 1e-4 * rng.normal(size=(500, 8))).astype(np.float32)]
+    for vectors, limit in ((topics.embed(docs, "text", "e").select("e"), 300), (spark.createDataFrame(alike, "e array<float>"), 64)):
+        solid = vectors.where(F.exists("e", lambda x: x != 0))
+        distinct = stage(solid.select(F.xxhash64("e").alias("_vec"), F.col("e").alias("_v")).dropDuplicates(["_vec"]), "distinct")
+        cells = stage(narratives.neighbour_cells(distinct, distinct.count(), limit=limit), "cells")
+        assert cells.groupBy("_cell").count().agg(F.max("count")).first()[0] <= limit
+        assert cells.select("_vec").distinct().count() == distinct.count()

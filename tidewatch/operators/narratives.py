@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,12 @@ from tidewatch.operators.quantiles import quantiles_once
 NEIGHBOUR_ROWS = 1000
 CELL_ROWS = 256
 MOST_CELLS = 1 << 14
-PROBES = 4
+PROBES = 6
+CELL_LIMIT = 4096
+FAN_OUT = 256
+SPLIT_PROBES = 3
+LEVELS = 4
+MOST_CROWDED = 1_000_000
 _MASK_BITS = 60
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -147,15 +153,113 @@ def neighbour_scores(df: DataFrame, order: str, vector: str, rows: int = NEIGHBO
     return joined.withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
-def all_neighbour_scores(df: DataFrame, vector: str, out: str = "narrative_similarity_score", probes: int = PROBES) -> DataFrame:
+def _directions(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit directions of the centres as seen from their mean, and the mean's part in each.
+
+    Vectors with much in common have centres that are near to all of them; from the mean they differ.
+    """
+    mean = centres.mean(axis=0)
+    apart = centres - mean
+    length = np.linalg.norm(apart, axis=1, keepdims=True)
+    unit = apart / np.where(length == 0, 1, length)
+    return unit, unit @ mean
+
+
+def _nearest(vectors: np.ndarray, directions: tuple[np.ndarray, np.ndarray], probes: int) -> np.ndarray:
+    """Places of the ``probes`` centres nearest in direction, one line per vector."""
+    unit, offset = directions
+    n = min(probes, len(unit))
+    return np.argpartition(offset - vectors @ unit.T, n - 1, axis=1)[:, :n]
+
+
+def _first_cells(distinct: DataFrame, total: int, probes: int) -> DataFrame:
+    """Rows in the cells of their nearest centres; the centres are broadcast, at most ``MOST_CELLS``."""
+    picked = distinct.orderBy("_vec").limit(max(1, min(MOST_CELLS, total // CELL_ROWS))).select("_v").collect()
+    held = distinct.sparkSession.sparkContext.broadcast(_directions(np.array([r["_v"] for r in picked], dtype=np.float32)))
+
+    @F.pandas_udf("array<long>")
+    def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            near = _nearest(np.stack(values.to_numpy()).astype(np.float32), held.value, probes) if len(values) else []
+            yield pd.Series(list(near), dtype="object")
+
+    return distinct.select("_vec", "_v", F.explode(cells("_v")).alias("_cell"))
+
+
+def _dealt_out(limit: int) -> Column:
+    """Chunk of a row of a cell of ``_n`` rows: a hash, so a chunk holds about half of ``limit``."""
+    return F.pmod("_vec", F.ceil(F.col("_n") * 2 / limit))
+
+
+def _split_cells(crowded: DataFrame, level: int, probes: int, limit: int) -> DataFrame:
+    """Rows of crowded cells in the smaller cells of up to ``FAN_OUT`` members each.
+
+    A cell's members meet its new centres chunk by chunk, so a task holds one chunk and the centres
+    whatever the size of the cell.
+    """
+    wide = 1 << 30
+    chunks = F.ceil(F.col("_n") * 2 / limit)
+    rate = F.least(F.lit(1 / CELL_ROWS), F.lit(FAN_OUT) / F.col("_n"))
+    members = crowded.withColumn("_chunk", _dealt_out(limit)).select("_cell", "_chunk", "_vec", "_v")
+    centres = crowded.where(F.pmod(F.xxhash64("_vec", F.lit(level)), F.lit(wide)) < rate * wide).select(
+        F.col("_cell").alias("_of"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("_part"),
+        F.col("_vec").alias("_id"), F.col("_v").alias("_c"))
+
+    def assign(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"_vec": [], "_v": [], "_at": [], "_id": []})
+        if not len(near):  # no member was drawn: the chunk is a cell
+            return pd.DataFrame({"_vec": rows["_vec"], "_v": rows["_v"], "_at": rows["_cell"], "_id": rows["_chunk"]})
+        directions = _directions(np.stack(near["_c"].to_numpy()).astype(np.float32))
+        picked = _nearest(np.stack(rows["_v"].to_numpy()).astype(np.float32), directions, probes)
+        again = np.repeat(np.arange(len(rows)), picked.shape[1])
+        return pd.DataFrame({
+            "_vec": rows["_vec"].to_numpy()[again], "_v": rows["_v"].to_numpy()[again],
+            "_at": rows["_cell"].to_numpy()[again], "_id": near["_id"].to_numpy()[picked.ravel()],
+        })
+
+    kind = crowded.schema["_v"].dataType.simpleString()
+    met = members.groupBy("_cell", "_chunk").cogroup(centres.groupBy("_of", "_part"))
+    placed = met.applyInPandas(assign, f"_vec long, _v {kind}, _at long, _id long")
+    return placed.select("_vec", "_v", F.xxhash64("_at", "_id", F.lit(level)).alias("_cell"))
+
+
+def neighbour_cells(distinct: DataFrame, total: int, probes: int = PROBES, limit: int = CELL_LIMIT) -> DataFrame:
+    """(_vec, _v, _cell) rows of distinct vectors, every cell of at most about ``limit`` rows.
+
+    Cells above the limit are split by centres of their own, level by level. What ``LEVELS`` splits leave
+    above it (vectors too much alike for centres to part) is dealt out by hash.
+    """
+    from tidewatch.session import stage
+
+    if total <= limit:
+        return distinct.select("_vec", "_v", F.lit(0).cast("long").alias("_cell"))
+    kept, rows = [], stage(_first_cells(distinct, total, probes), "cells")
+    for level in range(1, LEVELS + 1):
+        crowded = stage(rows.groupBy("_cell").agg(F.count("*").alias("_n")).where(F.col("_n") > limit), "crowded")
+        n = crowded.count()
+        if not n:
+            return reduce(DataFrame.unionByName, kept, rows)
+        found = F.broadcast(crowded) if n <= MOST_CROWDED else crowded
+        kept.append(rows.join(found, "_cell", "left_anti").select("_vec", "_v", "_cell"))
+        inside = rows.join(found, "_cell")
+        if level < LEVELS:
+            rows = stage(_split_cells(inside, level, SPLIT_PROBES, limit), "cells")
+        else:
+            rows = inside.select("_vec", "_v", F.xxhash64("_cell", _dealt_out(limit)).alias("_cell"))
+    return reduce(DataFrame.unionByName, kept, rows)
+
+
+def all_neighbour_scores(df: DataFrame, vector: str, out: str = "narrative_similarity_score", probes: int = PROBES, limit: int = CELL_LIMIT) -> DataFrame:
     """Highest cosine of each unit vector to any other row's, over all rows.
 
     Vectors that occur more than once get 1 from a count. The distinct ones go into the cells of their
-    ``probes`` nearest centres; a cell compares its vectors in blocked matrix products and gives one
-    maximum per vector, never pairs. Centres are the distinct vectors with the smallest hash, one for
-    ``CELL_ROWS`` vectors, at most ``MOST_CELLS`` (the bound of their broadcast; beyond that cells grow). So
-    copies are exact and other scores are a lower bound that misses the true neighbour where it shares no
-    cell: a test holds at least 0.9 of the rows to the exact value. Null and zero vectors get 0.
+    ``probes`` nearest centres (members with the smallest hash, one for ``CELL_ROWS`` vectors); cells
+    above ``limit`` rows are split again (``neighbour_cells``). A cell compares its vectors in blocked
+    matrix products and gives one maximum per vector, never pairs. Up to ``limit`` distinct vectors are
+    one cell, so their scores are exact; beyond that copies are exact and other scores are a lower bound
+    that misses the true neighbour where it shares no cell: tests hold at least 0.9 of the rows to the
+    exact value. Null and zero vectors, and those alone in all their cells, get 0.
     """
     from tidewatch.session import stage
 
@@ -163,34 +267,23 @@ def all_neighbour_scores(df: DataFrame, vector: str, out: str = "narrative_simil
     solid = F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0)
     counted = keyed.where(solid).groupBy("_vec").agg(F.any_value(vector).alias("_v"), F.count("*").alias("_n"))
     distinct = stage(counted, "vectors")
-    total = distinct.count()
-    centres = distinct.orderBy("_vec").limit(max(1, min(MOST_CELLS, total // CELL_ROWS))).select("_v").collect()
-    if total < 2:
-        scores = distinct.select("_vec", F.when(F.col("_n") > 1, 1.0).otherwise(0.0).alias("_best"))
-    else:
-        held = df.sparkSession.sparkContext.broadcast(np.array([r["_v"] for r in centres], dtype=np.float32))
-
-        @F.pandas_udf("array<int>")
-        def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for values in batches:
-                near = np.stack(values.to_numpy()).astype(np.float32) @ held.value.T if len(values) else np.zeros((0, 1))
-                n = min(probes, near.shape[1])
-                yield pd.Series(list(np.argpartition(-near, n - 1, axis=1)[:, :n].astype(np.int32)), dtype="object")
-
-        def compare(rows: pd.DataFrame) -> pd.DataFrame:
-            vectors = np.stack(rows["_v"].to_numpy()).astype(np.float64)
-            best = np.full(len(rows), -1.0)
-            for at in range(0, len(rows), 1024):
-                cosine = vectors[at:at + 1024] @ vectors.T
-                cosine[np.arange(len(cosine)), np.arange(at, at + len(cosine))] = -1.0
-                best[at:at + 1024] = cosine.max(axis=1)
-            return pd.DataFrame({"_vec": rows["_vec"], "_best": np.round(best, 4)})
-
-        placed = distinct.select("_vec", "_v", F.explode_outer(cells("_v")).alias("_cell"))
-        found = placed.groupBy("_cell").applyInPandas(compare, "_vec long, _best double")
-        best = found.groupBy("_vec").agg(F.max("_best").alias("_best"))
-        scores = distinct.select("_vec", "_n").join(best, "_vec").select(
-            "_vec", F.when(F.col("_n") > 1, 1.0).otherwise(F.col("_best")).alias("_best"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) < 2:
+            return pd.DataFrame({"_vec": [], "_best": []})
+        vectors = np.stack(rows["_v"].to_numpy()).astype(np.float64)
+        best = np.full(len(rows), -1.0)
+        for at in range(0, len(rows), 1024):
+            cosine = vectors[at:at + 1024] @ vectors.T
+            cosine[np.arange(len(cosine)), np.arange(at, at + len(cosine))] = -1.0
+            best[at:at + 1024] = cosine.max(axis=1)
+        return pd.DataFrame({"_vec": rows["_vec"], "_best": np.round(best, 4)})
+
+    placed = neighbour_cells(distinct.select("_vec", "_v"), distinct.count(), probes, limit)
+    found = placed.groupBy("_cell").applyInPandas(compare, "_vec long, _best double")
+    best = found.groupBy("_vec").agg(F.max("_best").alias("_best"))
+    scores = distinct.select("_vec", "_n").join(best, "_vec", "left").select(
+        "_vec", F.when(F.col("_n") > 1, 1.0).otherwise(F.coalesce("_best", F.lit(0.0))).alias("_best"))
     joined = keyed.join(scores, "_vec", "left").withColumn(out, F.when(solid, F.coalesce("_best", F.lit(0.0))).otherwise(0.0))
     return joined.drop("_vec", "_best")
 
