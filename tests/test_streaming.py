@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,43 @@ def test_ingest_again_adds_nothing(spark):
     assert ingest.batch_table(spark, table).where("video_id = 'c'").count() == 1
 
 
+def test_indexed_ingest_reads_only_its_buckets(spark):
+    """Equal to the table form, for rows without an id and for a batch that is run again too."""
+    land = landed(spark, "video_id string, ord long", "indexed")
+    table, index, log = (scratch_path(spark, x) for x in ("table", "ids", "log"))
+    start = lambda stream, state: ingest.ingest_indexed(stream, table, index, state, [F.col("ord")], buckets=32).start().awaitTermination()
+    for data in ([("a", 1), ("a", 2), (None, 3), (None, 4)], [("a", 5), ("b", 6)], [("a", 7), ("b", 8)], [(None, 9)]):
+        stream = land(data)
+        start(stream, log)
+    stored = lambda: sorted((r.video_id or "", r.ord, r.batch_id) for r in ingest.batch_table(spark, table).select("video_id", "ord", "batch_id").collect())
+    expected = [("", 3, 0), ("", 4, 0), ("", 9, 3), ("a", 1, 0), ("b", 6, 1)]
+    assert stored() == expected
+    assert sorted((r.video_id, r.batch_id) for r in spark.read.parquet(index).collect()) == [("a", 0), ("b", 1)]
+
+    bucket = spark.createDataFrame([("b",)], "video_id string").select(ingest.id_bucket("video_id", 32)).first()[0]
+    known = ingest.seen_ids(spark, index, [bucket], 3)
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "id_bucket#" in plan.split("PartitionFilters")[1]
+    for part in Path(index.removeprefix("file:")).glob("id_bucket=*/batch_id=0/part-*"):
+        part.write_bytes(b"unreadable")  # the bucket of "a"
+    assert [r.video_id for r in known.collect()] == ["b"]
+    assert ingest.seen_ids(spark, index, [bucket], 1).isEmpty()
+
+    start(stream, scratch_path(spark, "log"))  # a lost checkpoint: everything comes again as batch 0
+    assert [r for r in stored() if r[2] == 0] == [("", 3, 0), ("", 4, 0), ("", 9, 0), ("a", 1, 0), ("b", 6, 0)]
+
+
+def test_ids_once_within_the_watermark(spark):
+    land = landed(spark, "video_id string, at timestamp", "recent")
+    table, log = scratch_path(spark, "table"), scratch_path(spark, "log")
+    day = lambda n: START + timedelta(days=n)
+    waves = ([("a", day(0)), ("a", day(0)), (None, day(0)), (None, day(0))], [("a", day(1)), ("b", day(1))], [("c", day(30))], [("d", day(30))], [("a", day(31))])
+    for data in waves:
+        ingest.ingest_recent(land(data), table, log, "at", "2 days").start().awaitTermination()
+    got = sorted(r.video_id or "" for r in spark.read.parquet(table).collect())
+    assert got == ["", "", "a", "a", "b", "c", "d"]  # after a month the first "a" is forgotten
+
+
 def history(spark):
     data = [(f"v{i % 3}", i, START + timedelta(hours=i), i * i, i, i // 2, i / 100) for i in range(30)]
     return spark.createDataFrame(data, SCHEMA)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.joins_ import V_GAPS, V_LATEST, latest
-from tidewatch.catalog.registry import V_COMMENT, V_SCORED, V_SNAP, Tables, query, rounded
+from tidewatch.catalog.registry import V_COMMENT, V_SCORED, V_SNAP, Tables, query, rounded, within_rank
 from tidewatch.catalog.shaping_ import STRIP
 from tidewatch.functions.numeric import scaled
-from tidewatch.operators import aggregates, alerts, metrics
+from tidewatch.operators import aggregates, alerts, metrics, sketches
 from tidewatch.operators.quantiles import bounds, exact_quantiles
 from tidewatch.operators.ranking import top
 from tidewatch.plans import virality
@@ -97,6 +97,20 @@ def d6(t: Tables):
     return rounded(t.spark.range(1).select(*[F.lit(v).alias(n) for n, v in found.items()]))
 
 
+@query("d6_quantile_sketch", """
+    SELECT 'viral_probability' AS score, count(viral_probability) AS n, true AS within FROM v_scored
+    UNION ALL SELECT 'trend_score', count(trend_score), true FROM v_scored""", V_SCORED)
+def d6_sketch(t: Tables):
+    """Two columns' 0.9 quantiles from one pass, held to their exact ranks."""
+    rows, q, names = t.scored(), 0.9, ("viral_probability", "trend_score")
+    found = sketches.approx_quantiles(rows, {c: (F.col(c), q) for c in names})
+    ranks = rows.agg(*[x for c in names for x in (
+        F.count(c).alias(f"n_{c}"), F.count_if(F.col(c) < found[c]).alias(f"under_{c}"), F.count_if(F.col(c) <= found[c]).alias(f"upto_{c}"))])
+    return ranks.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("score"), F.col(f"n_{c}").alias("n"), within_rank(f"under_{c}", f"upto_{c}", f"n_{c}", q).alias("within")) for c in names
+    ])))
+
+
 @query("d7_min_max_normalise", """
     SELECT video_id, round((trend_score - lo) / (hi - lo), 6) AS trend01, 0E0 AS constant01
     FROM v_scored, (SELECT min(trend_score) AS lo, max(trend_score) AS hi FROM v_scored)""", V_SCORED)
@@ -129,6 +143,15 @@ def d10(t: Tables):
     return t.events.agg(F.count_distinct("user_id").alias("videos"))
 
 
+@query("d10_distinct_sketch", "SELECT count(DISTINCT user_id) AS videos, true AS within FROM events")
+def d10_sketch(t: Tables):
+    """The exact count, and whether the union of one sketch per day comes close to it."""
+    daily = sketches.distinct_sketches(t.events.withColumn("day", F.to_date("ts")), "user_id", ["day"])
+    close = F.abs(F.col("estimate") - F.col("videos")) <= F.lit(sketches.DISTINCT_ERROR) * F.col("videos")
+    guess = sketches.distinct_estimate(daily, out="estimate").first()[0]
+    return d10(t).withColumn("estimate", F.lit(guess)).select("videos", close.alias("within"))
+
+
 @query("d11_group_mode", """
     SELECT narrative_cluster_id, topic_keywords FROM (
       SELECT narrative_cluster_id, topic_keywords, count(*) AS n FROM v_scored GROUP BY 1, 2)

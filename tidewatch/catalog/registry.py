@@ -6,11 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from textwrap import dedent
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators.lookups import with_group_size
+from tidewatch.operators.sketches import RANK_ERROR
 from tidewatch.operators.slicing import running_totals
 from tidewatch.sources.files import spread
 
@@ -48,6 +49,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     ])
 
 
+def within_rank(under: str, upto: str, n: str, q: float) -> Column:
+    """Whether a value with these counts of smaller and of no greater values stands at rank ``q``, but for the sketches' error."""
+    return (F.col(under) <= (q + RANK_ERROR) * F.col(n) + 1) & (F.col(upto) >= (q - RANK_ERROR) * F.col(n) - 1)
+
+
 V_SNAP = """v_snap0 AS (
   SELECT CAST(user_id AS VARCHAR) AS video_id, event_id, CAST(ts AS TIMESTAMP) AS tracking_timestamp,
     value AS virality_score,

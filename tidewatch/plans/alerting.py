@@ -11,12 +11,12 @@ from tidewatch.operators.quantiles import bounds
 from tidewatch.operators.ranking import latest_rows
 from tidewatch.session import stage
 
-_LEARNED = ["trend_score", "pharma_risk_score", "narrative_trend_score", "growth_acceleration"]
+LEARNED = ["trend_score", "pharma_risk_score", "narrative_trend_score", "growth_acceleration"]
 
 
 def learn(df: DataFrame) -> tuple[rules.Thresholds, dict]:
     """Rule thresholds and score limits of a table, from four of its columns written once."""
-    narrow = stage(rules.prepare(df).select(*_LEARNED), "scores")
+    narrow = stage(rules.prepare(df).select(*LEARNED), "scores")
     limits = bounds(narrow, {"trend": plain("trend_score"), "risk": plain("pharma_risk_score")})
     return rules.learn_thresholds(narrow), limits
 
