@@ -133,6 +133,39 @@ def test_quantile_of_ties_is_exactly_the_value(spark):
     assert exact_quantiles(df, {"x": (F.col("x"), 0.2)}, 50)["x"] == 0.1
 
 
+def _mixed(spark, columns: int):
+    """Columns of different spread: distinct, mostly equal, a third equal, with gaps, in steps."""
+    x = F.col("id")
+    shapes = [
+        (x * 7919 % 100003).cast("double"), F.when(x % 50 == 0, x.cast("double")).otherwise(4.0),
+        F.when(x % 3 == 0, 0.1).otherwise(x / 7.0), F.when(x % 4 != 1, -x / 3.0), F.floor(x / 40).cast("double"),
+    ]
+    return spark.range(6000).repartition(5).select(*[(shapes[i % 5] + i).alias(f"c{i}") for i in range(columns)])
+
+
+def test_quantiles_of_many_columns_together(spark):
+    df = _mixed(spark, 21)
+    wanted = {f"{c}_{round(1000 * q)}": (F.col(c), q) for c in df.columns for q in (0.0, 0.25, 0.5, 0.999, 1.0)}
+    found = exact_quantiles(df, wanted, 40)
+    table = df.toPandas()
+    for name, (_, q) in wanted.items():
+        solid = table[name.split("_")[0]].dropna().to_numpy()
+        assert found[name] == pytest.approx(np.quantile(solid, q), rel=1e-13, abs=1e-13), name
+
+
+def test_quantile_jobs_do_not_grow_with_the_columns(spark):
+    """The same jobs narrow one column and twenty: jobs follow the rounds."""
+    context = spark.sparkContext
+    seen = []
+    for n in (5, 20):
+        df = _mixed(spark, n)
+        context.setJobGroup(f"quantiles-{n}", "jobs of a joint selection")
+        exact_quantiles(df, {c: (F.col(c), 0.5) for c in df.columns}, 40)
+        seen.append(len(context.statusTracker().getJobIdsForGroup(f"quantiles-{n}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert seen[0] == seen[1] > 0
+
+
 def test_quantile_of_nothing(spark):
     assert exact_quantiles(spark.range(0).selectExpr("cast(id as double) x"), {"x": (F.col("x"), 0.5)})["x"] is None
 

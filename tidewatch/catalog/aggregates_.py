@@ -97,6 +97,26 @@ def d6(t: Tables):
     return rounded(t.spark.range(1).select(*[F.lit(v).alias(n) for n, v in found.items()]))
 
 
+@query("d19_joint_quantiles", """
+    SELECT name, n, round(q05, 6) AS q05, round(median, 6) AS median, round(q99, 6) AS q99 FROM (
+      SELECT 'l_quantity' AS name, count(l_quantity) AS n, quantile_cont(l_quantity, 0.05) AS q05, quantile_cont(l_quantity, 0.5) AS median,
+        quantile_cont(l_quantity, 0.99) AS q99 FROM lineitem
+      UNION ALL SELECT 'l_extendedprice', count(l_extendedprice), quantile_cont(l_extendedprice, 0.05),
+        quantile_cont(l_extendedprice, 0.5), quantile_cont(l_extendedprice, 0.99) FROM lineitem
+      UNION ALL SELECT 'l_discount', count(l_discount), quantile_cont(l_discount, 0.05),
+        quantile_cont(l_discount, 0.5), quantile_cont(l_discount, 0.99) FROM lineitem
+      UNION ALL SELECT 'l_tax', count(l_tax), quantile_cont(l_tax, 0.05), quantile_cont(l_tax, 0.5), quantile_cont(l_tax, 0.99) FROM lineitem)""")
+def d19_joint(t: Tables):
+    """Twelve quantiles of four columns, narrowed together in the same passes down to a thousand rows each."""
+    shares = {"q05": 0.05, "median": 0.5, "q99": 0.99}
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    found = exact_quantiles(t.lineitem, {f"{c}_{n}": (F.col(c), q) for c in names for n, q in shares.items()}, small=1000)
+    counts = t.lineitem.agg(*[F.count(c).alias(c) for c in names])
+    return rounded(counts.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).alias("n"), *[F.lit(found[f"{c}_{n}"]).cast("double").alias(n) for n in shares]) for c in names
+    ]))))
+
+
 @query("d6_quantile_sketch", """
     SELECT 'viral_probability' AS score, count(viral_probability) AS n, true AS within FROM v_scored
     UNION ALL SELECT 'trend_score', count(trend_score), true FROM v_scored""", V_SCORED)
