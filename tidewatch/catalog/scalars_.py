@@ -9,7 +9,7 @@ from tidewatch.catalog.shaping_ import STRIP
 from tidewatch.catalog.windows_ import V_CUTS, V_FIRED, V_TRACK
 from tidewatch.constants import RANGE_CUTS, RISK_PHRASES
 from tidewatch.functions import labels, numeric, scores, temporal, text
-from tidewatch.operators import alerts, narratives
+from tidewatch.operators import alerts, lexicon, narratives
 from tidewatch.plans import features, tracking, views
 
 AS_OF = "TIMESTAMP '2025-01-01 00:00:00'"
@@ -75,6 +75,20 @@ def h5(t: Tables):
     )
 
 
+V_LEXICON = """v_lexicon AS (
+  SELECT DISTINCT lower(left(text, 4 + length(text) % 5)) AS phrase FROM conversations WHERE text <> '')"""
+
+
+@query("h5_lexicon_table", """
+    SELECT doc_id, CAST(count(phrase) AS INTEGER) AS hits, coalesce(string_agg(phrase, '|' ORDER BY phrase), '') AS phrases
+    FROM documents LEFT JOIN v_lexicon ON contains(lower(text), phrase) GROUP BY doc_id""", V_LEXICON)
+def h5_lexicon(t: Tables):
+    """The ways conversations begin, as a table of phrases looked for in every document."""
+    phrases = t.conversations.where("text <> ''").selectExpr("lower(left(text, 4 + length(text) % 5)) AS phrase")
+    found = lexicon.with_phrases(t.texts().select("doc_id", F.lower("text").alias("low")), "low", phrases)
+    return found.select("doc_id", F.size("phrases").alias("hits"), F.array_join("phrases", "|").alias("phrases"))
+
+
 @query("h6_risk_label", f"""
     SELECT video_id, CASE WHEN {risk_hits('clean', True)} > 0 THEN 'high_risk' ELSE 'low_risk' END AS pharma_risk_label
     FROM v_clean""", V_VIDEO, V_CLEAN)

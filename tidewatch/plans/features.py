@@ -9,6 +9,7 @@ from tidewatch.constants import RISK_PHRASES
 from tidewatch.functions import temporal, text
 from tidewatch.functions.numeric import flag, number
 from tidewatch.functions.scores import VIRALITY_WEIGHTS, engagement, weighted
+from tidewatch.operators.lexicon import phrase_hits
 from tidewatch.operators.lookups import new_rows
 from tidewatch.operators.quantiles import quantiles_once
 from tidewatch.operators.scoring import Scorer, score_emotion, score_sentiment, score_toxicity
@@ -45,10 +46,17 @@ def with_content(df: DataFrame) -> DataFrame:
     })
 
 
-def with_risk(df: DataFrame, source: str = "analysis_text_clean", fold_lexicon: bool = True) -> DataFrame:
-    """Risk phrases found in a text column that is in lower case already."""
-    needles = [p.lower() if fold_lexicon else p for p in RISK_PHRASES]
-    scored = df.withColumn("pharma_risk_score", text.hits(F.coalesce(source, F.lit("")), needles))
+def with_risk(df: DataFrame, source: str = "analysis_text_clean", fold_lexicon: bool = True, lexicon: DataFrame | None = None) -> DataFrame:
+    """Risk phrases found in a text column that is in lower case already.
+
+    ``lexicon`` is a table of phrases (column ``phrase``) in place of the built-in ones, of any size.
+    """
+    if lexicon is None:
+        needles = [p.lower() if fold_lexicon else p for p in RISK_PHRASES]
+        scored = df.withColumn("pharma_risk_score", text.hits(F.coalesce(source, F.lit("")), needles))
+    else:
+        phrase = F.lower("phrase") if fold_lexicon else F.col("phrase")
+        scored = phrase_hits(df, source, lexicon.select(phrase.alias("phrase")), "pharma_risk_score")
     return scored.withColumn("pharma_risk_label", text.risk_label(F.col("pharma_risk_score")))
 
 
@@ -63,17 +71,18 @@ def with_viral_label(df: DataFrame, q: float = 0.95, scope: DataFrame | None = N
     return df.withColumn("viral_label", flag(hit, 1, 0))
 
 
-def build_features(clean: DataFrame, as_of: Column, done: DataFrame | None = None, sentiment: Scorer | None = None, emotion: Scorer | None = None, toxicity: Scorer | None = None, fold_lexicon: bool = True, max_chars: int | None = None) -> DataFrame:
+def build_features(clean: DataFrame, as_of: Column, done: DataFrame | None = None, sentiment: Scorer | None = None, emotion: Scorer | None = None, toxicity: Scorer | None = None, fold_lexicon: bool = True, max_chars: int | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """All feature columns of the new clean items.
 
     The scored batch is written once: its label threshold then reads one column, and no text is
     normalised or scored twice.
-    ``max_chars`` limits what a scorer sees, for models that take no longer input.
+    ``max_chars`` limits what a scorer sees, for models that take no longer input. ``lexicon`` is a table
+    of risk phrases in place of the built-in ones.
     """
     rows = clean if done is None else new_rows(clean, done)
     rows = with_content(with_engagement(with_publish_features(rows, as_of)))
     scorers = ((score_sentiment, sentiment), (score_emotion, emotion), (score_toxicity, toxicity))
     for score, model in scorers:
         rows = score(rows, "analysis_text_clean", model, max_chars)
-    rows = with_virality(with_risk(rows, fold_lexicon=fold_lexicon))
+    rows = with_virality(with_risk(rows, fold_lexicon=fold_lexicon, lexicon=lexicon))
     return with_viral_label(stage(rows, "scored"))
