@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,12 +18,19 @@ SMALL = st.text(alphabet="ab\0é😀", max_size=12)
 @settings(max_examples=300, deadline=None)
 @given(st.lists(SMALL.filter(bool), max_size=12, unique=True), st.lists(SMALL, max_size=6))
 def test_trie_finds_what_in_finds(phrases, texts):
-    assert Trie.of(phrases).found(texts) == [sorted(p for p in phrases if p in t) for t in texts]
-
-
-def test_matches_over_the_edge_of_a_block(monkeypatch):
-    monkeypatch.setattr(lexicon, "_STARTS", 3)
-    assert Trie.of(["abcdefgh", "h", "zz"]).found(["xxabcdefghx", "", "zzz"]) == [["abcdefgh", "h"], [], ["zz"]]
+    padded = pa.array(["left out", *texts], pa.string()).slice(1)
+    expected = [sorted(p for p in phrases if p in t) for t in texts]
+    assert Trie.of(phrases).found(padded).to_pylist() == expected
+    assert Trie.of(phrases).counts(padded).to_pylist() == [len(e) for e in expected]
+    with pytest.MonkeyPatch.context() as patch:  # small blocks; only the root in the table
+        patch.setattr(lexicon, "_STARTS", 3)
+        patch.setattr(lexicon, "_TABLE", 1)
+        assert Trie.of(phrases).found(padded).to_pylist() == expected
+
+
+def test_no_phrase_runs_over_into_the_next_text():
+    texts = pa.array(["xxabcd", "efgh", "", "zz", "z", "abcdefgh"])
+    assert Trie.of(["abcdefgh", "h", "zz", "zzz"]).found(texts).to_pylist() == [[], ["h"], [], ["zz"], [], ["abcdefgh", "h"]]
 
 
 @pytest.fixture(scope="module")

@@ -80,13 +80,13 @@ V_LEXICON = """v_lexicon AS (
 
 
 @query("h5_lexicon_table", """
-    SELECT doc_id, CAST(count(phrase) AS INTEGER) AS hits, coalesce(string_agg(phrase, '|' ORDER BY phrase), '') AS phrases
+    SELECT doc_id, CAST(count(phrase) AS INTEGER) AS hits, md5(coalesce(string_agg(phrase, '|' ORDER BY phrase), '')) AS phrases_md5
     FROM documents LEFT JOIN v_lexicon ON contains(lower(text), phrase) GROUP BY doc_id""", V_LEXICON)
 def h5_lexicon(t: Tables):
     """The ways conversations begin, as a table of phrases looked for in every document."""
     phrases = t.conversations.where("text <> ''").selectExpr("lower(left(text, 4 + length(text) % 5)) AS phrase")
     found = lexicon.with_phrases(t.texts().select("doc_id", F.lower("text").alias("low")), "low", phrases)
-    return found.select("doc_id", F.size("phrases").alias("hits"), F.array_join("phrases", "|").alias("phrases"))
+    return found.select("doc_id", F.size("phrases").alias("hits"), F.md5(F.array_join("phrases", "|")).alias("phrases_md5"))
 
 
 @query("h6_risk_label", f"""

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,89 +18,126 @@ from pyspark.sql import functions as F
 MOST_BYTES = 8 << 20
 #: Starting places that are walked at a time, whatever the length of the texts.
 _STARTS = 1 << 20
+#: Steps of the uppermost nodes that are kept in a table; deeper ones are looked up among the edges.
+_TABLE = 1 << 22
 _ANCHOR = 8
-_BREAK = 0x110000
 
 
-def _points(texts: list[str]) -> np.ndarray:
-    """Code points of the texts, each followed by a mark that is no code point."""
-    joined = np.frombuffer("".join(t + "\0" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
-    joined[np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1] = _BREAK
-    return joined
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts in a row, and where each text starts, with the end of the last."""
+    texts = texts.cast(pa.large_string())
+    _, places, data = texts.buffers()
+    bounds = np.frombuffer(places, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return held[bounds[0]:bounds[-1]], bounds - bounds[0]
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted and each once. Sorting is faster here than the hash table of ``np.unique``."""
+    keys = np.sort(keys)
+    return keys[np.flatnonzero(np.diff(keys, prepend=-1))]
 
 
 @dataclass(frozen=True)
 class Trie:
-    """A trie as sorted numbers: edge ``i`` leads to node ``i + 1`` and has the key ``node * letters + letter``."""
+    """A trie over bytes, as numbers. Nodes are numbered level by level.
+
+    Edge ``i`` leads to node ``i + 1`` and has the key ``node * width + letter``; keys ascend. ``table`` holds
+    the same for the first nodes (0: no edge), ``levels`` the first node of each level, ``ends`` the phrase
+    that ends at a node or -1.
+    """
 
     letters: np.ndarray
+    width: int
+    levels: list[int]
     edges: np.ndarray
+    table: np.ndarray
     ends: np.ndarray
-    phrases: list[str]
+    phrases: pa.Array
 
     @staticmethod
     def of(phrases: list[str]) -> Trie:
         """All phrases go down one level at a time; phrases that agree so far share a node."""
-        phrases = sorted(phrases)
-        points, sizes = _points(phrases), np.array([len(p) for p in phrases], np.int64)
-        first = np.cumsum(sizes + 1) - sizes - 1
-        letters = np.unique(points[points != _BREAK])
-        code = np.searchsorted(letters, points)
-        node = np.zeros(len(phrases), np.int64)
-        edges, ends, made = [], [np.array([-1], np.int64)], 1
+        listed = pa.array(sorted(phrases), pa.string())
+        data, bounds = _bytes(listed)
+        sizes, used = np.diff(bounds), np.unique(data)
+        letters = np.full(256, -1, np.int32)
+        letters[used] = np.arange(len(used))
+        node, width = np.zeros(len(listed), np.int64), max(1, len(used))
+        edges, ends, levels = [np.zeros(0, np.int64)], [np.array([-1])], [0, 1]
         for depth in range(int(sizes.max(initial=0))):
             going = np.flatnonzero(sizes > depth)
-            keys, place = np.unique(node[going] * len(letters) + code[first[going] + depth], return_inverse=True)
-            node[going] = made + place
-            end = np.full(len(keys), -1, np.int64)
-            done = sizes[going] == depth + 1
+            keys, place = np.unique(node[going] * width + letters[data[bounds[going] + depth]], return_inverse=True)
+            node[going] = levels[-1] + place
+            end, done = np.full(len(keys), -1), sizes[going] == depth + 1
             end[place[done]] = going[done]
             edges.append(keys)
             ends.append(end)
-            made += len(keys)
-        return Trie(letters, np.concatenate(edges) if edges else np.zeros(0, np.int64), np.concatenate(ends), phrases)
-
-    def found(self, texts: list[str]) -> list[list[str]]:
-        """The distinct phrases of each text, in order.
-
-        All starting places of a block walk down the trie together; those without an edge drop out.
+            levels.append(levels[-1] + len(keys))
+        keys = np.concatenate(edges)
+        table = np.zeros(min(levels[-1], max(1, _TABLE // width)) * width, np.int32)
+        shallow = np.searchsorted(keys, len(table))
+        table[keys[:shallow]] = np.arange(1, shallow + 1)
+        return Trie(letters, width, levels, keys, table, np.concatenate(ends), listed)
+
+    def _step(self, depth: int, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The node after each node of a level, 0 where there is none."""
+        key = node.astype(np.int64) * self.width + letter
+        if self.levels[depth + 1] * self.width <= len(self.table):
+            return self.table[key]
+        low, high = self.levels[depth + 1] - 1, self.levels[depth + 2] - 1
+        level = self.edges[low:high]
+        place = np.minimum(np.searchsorted(level, key), len(level) - 1)
+        return np.where(level[place] == key, low + place + 1, 0)
+
+    def _hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct phrases of all texts in a row, in order, and where each text's begin, with the end.
+
+        All starting places of a block walk down the trie together, and those without an edge drop out. A
+        place may walk on into the next text: a phrase counts if it ends in the text it started in.
         """
-        if not len(self.edges) or not texts:
-            return [[] for _ in texts]
-        points = _points(texts)
-        of_text = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-        code = np.searchsorted(self.letters, points)
-        code[code == len(self.letters)] = 0
-        known = self.letters[code] == points
-        hits = []
-        for start in range(0, len(points), _STARTS):
-            place = np.flatnonzero(known[start:start + _STARTS]) + start
-            node, at = np.zeros(len(place), np.int64), place
-            while len(place):
-                key = node * len(self.letters) + code[at]
-                edge = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
-                on = self.edges[edge] == key
-                place, at, node = place[on], at[on], edge[on] + 1
+        data, bounds = _bytes(texts)
+        hits = [np.zeros(0, np.int64)]
+        for start in range(0, len(data), _STARTS):
+            place = np.arange(start, min(start + _STARTS, len(data)))
+            node, of_block = np.zeros(len(place), np.int32), []
+            for depth in range(len(self.levels) - 2):
+                left = np.searchsorted(place, len(data) - depth)
+                place, node = place[:left], node[:left]
+                letter = self.letters[data[place + depth]]
+                after = np.where(letter >= 0, self._step(depth, node, np.maximum(letter, 0)), 0)
+                on = np.flatnonzero(after)
+                place, node = place[on], after[on]
+                if not len(place):
+                    break
                 end = self.ends[node]
-                ended = end >= 0
-                hits.append(np.unique(of_text[place[ended]] * len(self.phrases) + end[ended]))
-                at = at + 1
-                on = known[at]
-                place, at, node = place[on], at[on], node[on]
-        out: list[list[str]] = [[] for _ in texts]
-        for hit in np.unique(np.concatenate(hits)) if hits else ():
-            out[hit // len(self.phrases)].append(self.phrases[hit % len(self.phrases)])
-        return out
-
-
-def _by_trie(df: DataFrame, text: Column, phrases: DataFrame, out: str) -> DataFrame:
+                ended = np.flatnonzero(end >= 0)
+                text = np.searchsorted(bounds, place[ended], "right") - 1
+                inside = place[ended] + depth < bounds[text + 1]
+                of_block.append(text[inside] * len(self.phrases) + end[ended][inside])
+            if of_block:
+                hits.append(_distinct(np.concatenate(of_block)))
+        text, phrase = np.divmod(_distinct(np.concatenate(hits)), max(1, len(self.phrases)))
+        return phrase, np.searchsorted(text, np.arange(len(texts) + 1))
+
+    def found(self, texts: pa.Array) -> pa.Array:
+        """The distinct phrases of each text, in order."""
+        phrase, bounds = self._hits(texts)
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), self.phrases.take(pa.array(phrase)))
+
+    def counts(self, texts: pa.Array) -> pa.Array:
+        """How many distinct phrases each text holds."""
+        return pa.array(np.diff(self._hits(texts)[1]), pa.int32())
+
+
+def _by_trie(df: DataFrame, text: Column, phrases: DataFrame, out: str, count: bool) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(Trie.of([r["phrase"] for r in phrases.collect()]))
 
-    @F.pandas_udf("array<string>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("int" if count else "array<string>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trie = shared.value
         for texts in batches:
-            yield pd.Series(trie.found(texts.tolist()), dtype="object")
+            yield trie.counts(texts) if count else trie.found(texts)
 
     return df.withColumn(out, find(text))
 
@@ -124,6 +161,16 @@ def _by_join(df: DataFrame, text: Column, phrases: DataFrame, shortest: int, out
     return keyed.join(found, "_key", "left").withColumn(out, F.coalesce(out, none)).drop("_key", "_text")
 
 
+def _search(df: DataFrame, text: str, lexicon: DataFrame, out: str, count: bool, most_bytes: int) -> DataFrame:
+    phrases = lexicon.select(F.col("phrase").cast("string").alias("phrase")).where("phrase <> ''").distinct()
+    size = phrases.agg(F.sum(F.octet_length("phrase")).alias("bytes"), F.min(F.length("phrase")).alias("shortest")).first()
+    source = F.coalesce(F.col(text), F.lit(""))
+    if (size["bytes"] or 0) <= most_bytes:
+        return _by_trie(df, source, phrases, out, count)
+    found = _by_join(df, source, phrases, size["shortest"], out)
+    return found.withColumn(out, F.size(out)) if count else found
+
+
 def with_phrases(df: DataFrame, text: str, lexicon: DataFrame, out: str = "phrases", most_bytes: int = MOST_BYTES) -> DataFrame:
     """Add ``out``: the distinct ``phrase`` values of ``lexicon`` that occur in ``text``, in order.
 
@@ -131,15 +178,9 @@ def with_phrases(df: DataFrame, text: str, lexicon: DataFrame, out: str = "phras
     whole lexicon through each text in one pass, so the plan does not grow with it; beyond that, texts and
     phrases meet in a join on the phrases' first letters.
     """
-    phrases = lexicon.select(F.col("phrase").cast("string").alias("phrase")).where("phrase <> ''").distinct()
-    size = phrases.agg(F.sum(F.octet_length("phrase")).alias("bytes"), F.min(F.length("phrase")).alias("shortest")).first()
-    source = F.coalesce(F.col(text), F.lit(""))
-    if (size["bytes"] or 0) <= most_bytes:
-        return _by_trie(df, source, phrases, out)
-    return _by_join(df, source, phrases, size["shortest"], out)
+    return _search(df, text, lexicon, out, False, most_bytes)
 
 
 def phrase_hits(df: DataFrame, text: str, lexicon: DataFrame, out: str = "hits", most_bytes: int = MOST_BYTES) -> DataFrame:
     """Add ``out``: how many of the lexicon's phrases occur in ``text``."""
-    found = with_phrases(df, text, lexicon, "_found", most_bytes)
-    return found.withColumn(out, F.size("_found")).drop("_found")
+    return _search(df, text, lexicon, out, True, most_bytes)
