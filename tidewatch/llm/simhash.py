@@ -231,7 +231,9 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = stage(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "simhash-rows")
     found = groups(rows, id_col=id_col, radius=radius, free=free).where(F.col("__least").eqNullSafe(F.col("component_id")))
-    staying = rows.join(found.select("__fp", F.col("__least").alias("__stay")), "__fp").where(F.col(id_col).eqNullSafe(F.col("__stay")))
+    # Joined by fingerprint and id: the copies of one text, however many, are dealt out by their ids.
+    kept = found.select(F.col("__fp").alias("__kept"), F.col("__least").alias("__stay"))
+    staying = rows.join(kept, (F.col("__fp") == F.col("__kept")) & F.col(id_col).eqNullSafe(F.col("__stay")))
     staying = stage(staying.select("__stay", "__text_hash").distinct(), "simhash-stay").alias("k")
     own = free_prefix(docs, "__text_hash")
     marked = docs.withColumn(own, F.xxhash64(text_col)).alias("d")
