@@ -103,3 +103,17 @@ def test_scratch_follows_the_session(spark, monkeypatch):
     real = type(spark.conf).get
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *d: "hdfs://shared/x/" if key == "spark.checkpoint.dir" else real(self, key, *d))
     assert scratch_root(spark) == "hdfs://shared/x"
+
+
+def test_curve_inputs_are_parsed_once_a_row(spark):
+    """Not at each of the 300 points, and the rows are dealt out before the points are made."""
+    rows = spark.createDataFrame(
+        [("a", 100, 5.0, 3.0), ("a", 100, 5.0, 3.0), (None, None, None, -1.0)],
+        "video_id string, view_count long, views_per_hour double, growth_acceleration double").coalesce(1)
+    for made in (views.growth_curve(rows, "video_id"), views.growth_peak(rows, "video_id")):
+        above, _, below = made._jdf.queryExecution().optimizedPlan().toString().partition("Repartition")
+        assert "RLIKE" in below and "RLIKE" not in above
+    curve = views.growth_curve(rows, "video_id")
+    assert curve.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert curve.groupBy("video_id").count().collect() and curve.count() == 900
+    assert {(r.video_id, r.peak_step is None) for r in views.growth_peak(rows, "video_id").collect()} == {("a", False), (None, False)}

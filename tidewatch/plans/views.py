@@ -18,6 +18,7 @@ from tidewatch.operators.shaping import existing_only, without_nulls
 
 log = logging.getLogger(__name__)
 HIGH_RAVS = 0.70
+TASKS_PER_CORE = 4
 # The columns of the feed and alert tables.
 FEED = ["title", "topic_keywords", "viral_probability", "ravs_score", "sentiment_label", "emerging_narrative"]
 ALERT_BRIEF = ["title", "alert_type", "alert_priority", "ravs_score", "viral_probability", "pharma_risk_score"]
@@ -106,22 +107,26 @@ def contributions(df: DataFrame) -> dict[str, Column]:
     )
 
 
-def projected(df: DataFrame) -> Column:
-    """Growth projection with the page's defaults for absent inputs."""
-    return scores.projection(
-        _score(df, "view_count", 5000.0), _score(df, "views_per_hour", 800.0),
-        _score(df, "growth_acceleration", 40.0),
-    )
+def _curves(df: DataFrame, key: str) -> DataFrame:
+    """(key, _p): the growth projection of every item as an array, with the page's defaults for absent inputs.
+
+    The inputs are parsed once a row, before the rows are dealt out: inside the 300 points they would be parsed at
+    each of them. The narrow rows alone are so small that a few tasks would make all points.
+    """
+    inputs = {"_v": _score(df, "view_count", 5000.0), "_h": _score(df, "views_per_hour", 800.0), "_a": _score(df, "growth_acceleration", 40.0)}
+    parsed = df.select(key, *[c.alias(name) for name, c in inputs.items()])
+    rows = parsed.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    return rows.select(key, scores.projection(*map(F.col, inputs)).alias("_p"))
 
 
 def growth_curve(df: DataFrame, key: str) -> DataFrame:
     """(key, step, t, projected_views) for every item."""
-    return df.select(key, F.inline(projected(df)))
+    return _curves(df, key).select(key, F.inline("_p"))
 
 
 def growth_peak(df: DataFrame, key: str) -> DataFrame:
     """Peak step, its value and the viral threshold line at 82 % of it; the curve stays in its row."""
-    points = df.select(key, projected(df).alias("_p"))
+    points = _curves(df, key)
     best = F.array_max(F.transform("_p", lambda p: F.struct(p["projected_views"], (-p["step"]).alias("s"))))
     return points.select(key, best.alias("_b")).select(
         key, (-F.col("_b.s")).alias("peak_step"), F.col("_b.projected_views").alias("peak_views"),
