@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewatch.plans import monitor, tracking
@@ -68,3 +70,31 @@ def test_runs_with_rows_without_an_id(spark):
     for _ in range(2):
         found = monitor.run_once(spark, tables, videos, F.expr("TIMESTAMP '2025-01-01'"), {"Signs": ["***"]}, ["the", "of"])
         assert spark.read.parquet(tables.features).count() == spark.read.parquet(tables.history).count() == found.count() == 60
+
+
+def test_an_item_is_handled_without_work_on_frames(monkeypatch):
+    """A frame's own sort, filter and assignments cost milliseconds an item, whatever its few rows."""
+    def refused(*_, **__):
+        raise AssertionError("frame by frame")
+
+    frames = [pd.DataFrame({"absent": False, "item": "v", "micros": m, "place": p, **{c: np.array(v, float) for c in keyed._VALUES}}) for m, p, v in (
+        ([30, 10], [1, 2], [3.0, np.nan]), ([10], [1], [7.0]))]
+    for name in ("sort_values", "assign"):
+        monkeypatch.setattr(pd.DataFrame, name, refused)
+    held = {}
+
+    class Last:
+        exists = staticmethod(lambda: "v" in held)
+        get = staticmethod(lambda: held["v"])
+        update = staticmethod(lambda v: held.update(v=v))
+
+    handler = keyed.LastTwo()
+    handler.last = Last
+    (out,) = handler.handleInputRows(("v",), iter(frames), None)
+    assert out["micros"].tolist() == [10, 10, 30] and out["place"].tolist() == [1, 2, 1] and not out["late"].any()
+    assert out["micros1"].tolist() == [keyed.NO_ROW, 10, 10] and out["micros2"].tolist() == [keyed.NO_ROW, keyed.NO_ROW, 10]
+    assert out["view_count1"].isna().tolist() == [True, False, True] and out["view_count2"].tolist()[2] == 7.0
+    assert held["v"] == (30, 1, 3.0, 3.0, 3.0, 3.0, 10, None)
+    (again,) = handler.handleInputRows(("v",), iter([frames[1]]), None)
+    assert again["late"].tolist() == [True] and again["micros1"].tolist() == [keyed.NO_ROW] and held["v"][0] == 30
+    assert list(again) == [x.split()[0] for x in keyed._OUT.split(", ")]

@@ -38,27 +38,30 @@ class LastTwo(StatefulProcessor):
         self.last = handle.getValueState("last", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["micros", "place"], kind="stable", ignore_index=True)
+        # An item has few rows a batch and is called for each: plain arrays, and one frame at the end.
+        frames = list(rows)
+        held = {c: np.concatenate([f[c].to_numpy() for f in frames]) for c in frames[0].columns}
+        order = np.lexsort((held["place"], held["micros"]))
+        held = {c: x[order] for c, x in held.items()} | {c: held[c][order].astype(float) for c in _VALUES}
+        micros, place = held["micros"].astype(np.int64), held["place"].astype(np.int64)
         known = self.last.get() if self.last.exists() else None
-        late = np.zeros(len(frame), bool)
+        late = np.zeros(len(order), bool)
         if known is not None:
-            late = ((frame["micros"] < known[0]) | ((frame["micros"] == known[0]) & (frame["place"] <= known[1]))).to_numpy()
-        fresh = frame[~late]
+            late = (micros < known[0]) | ((micros == known[0]) & (place <= known[1]))
+        fresh = np.flatnonzero(~late)
         before = known or (NO_ROW, NO_ROW, None, None, None, None, NO_ROW, None)
-        times = np.concatenate([np.array([before[6], before[0]], np.int64), fresh["micros"].to_numpy(np.int64)])
-        views = np.concatenate([np.array([before[7], before[2]], float), fresh["view_count"].to_numpy(float)])
         n = len(fresh)
-        out = frame.assign(late=late, micros1=NO_ROW, micros2=NO_ROW, view_count2=np.nan, **{f"{c}1": np.nan for c in _VALUES})
+        times = np.concatenate([np.array([before[6], before[0]], np.int64), micros[fresh]])
+        values = {c: np.concatenate([np.array([before[2 + k]], float), held[c][fresh]]) for k, c in enumerate(_VALUES)}
+        views = np.concatenate([np.array([before[7]], float), values["view_count"]])
+        added = {c: np.full(len(order), NO_ROW) for c in ("micros1", "micros2")} | {c: np.full(len(order), np.nan) for c in ("view_count2", *(f"{c}1" for c in _VALUES))}
         if n:
-            at = fresh.index
-            out.loc[at, "micros1"], out.loc[at, "micros2"] = times[1:n + 1], times[:n]
-            out.loc[at, "view_count2"] = views[:n]
-            for k, c in enumerate(_VALUES):
-                own = np.concatenate([np.array([before[2 + k]], float), fresh[c].to_numpy(float)])
-                out.loc[at, f"{c}1"] = own[:n]
-            newest = fresh.iloc[-1]
-            self.last.update((int(newest["micros"]), int(newest["place"]), *(_nullable(newest[c]) for c in _VALUES), int(times[n]), _nullable(views[n])))
-        yield out
+            added["micros1"][fresh], added["micros2"][fresh], added["view_count2"][fresh] = times[1:n + 1], times[:n], views[:n]
+            for c in _VALUES:
+                added[f"{c}1"][fresh] = values[c][:n]
+            newest = fresh[-1]
+            self.last.update((int(micros[newest]), int(place[newest]), *(_nullable(held[c][newest]) for c in _VALUES), int(times[n]), _nullable(views[n])))
+        yield pd.DataFrame(held | {"late": late} | added, copy=False)
 
     def close(self) -> None:
         pass
