@@ -80,3 +80,20 @@ def test_risk_lexicon_of_the_feature_stage(spark):
         "v1": (2, "high_risk"), "v2": (0, "low_risk")}
     written = features.build_features(rows, F.lit("2025-01-01").cast("timestamp"), lexicon=phrases, fold_lexicon=False)
     assert {r["video_id"]: r["pharma_risk_score"] for r in written.collect()} == {"v1": 1, "v2": 0}
+
+
+def test_texts_are_searched_in_slices_of_bounded_bytes(monkeypatch):
+    monkeypatch.setattr(lexicon, "_TEXT_BYTES", 10)
+    texts = pa.array(["left out", "ab" * 3, "é", "", "ab" * 30, "ab", None, "b", ""], pa.string()).slice(1)
+    slices = list(lexicon._slices(texts))
+    assert [x for s in slices for x in s.to_pylist()] == texts.to_pylist() and len(slices) > 2
+    assert all(len(s) == 1 or sum(len((x or "").encode()) for x in s.to_pylist()) <= 10 for s in slices)
+    assert list(lexicon._slices(texts.slice(0, 0))) == []
+
+
+def test_slices_give_every_text_its_phrases(spark, table):
+    """A batch that is searched in several slices: as many rows, in the same places."""
+    many = table.select("id", F.repeat(F.coalesce("text", F.lit("")), 40).alias("text")).crossJoin(spark.range(20)).coalesce(1)
+    assert many.agg(F.sum(F.octet_length("text"))).first()[0] > 4 * lexicon._TEXT_BYTES
+    rows = with_phrases(many, "text", spark.createDataFrame([("alarm",), ("bells",), ("😀",)], "phrase string")).collect()
+    assert len(rows) == 420 and all(r["phrases"] == [p for p in ("alarm", "bells", "😀") if p in r["text"]] for r in rows)

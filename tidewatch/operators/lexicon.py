@@ -20,6 +20,8 @@ MOST_BYTES = 8 << 20
 _STARTS = 1 << 20
 #: Steps of the uppermost nodes that are kept in a table; deeper ones are looked up among the edges.
 _TABLE = 1 << 22
+#: Bytes of text that are searched at a time; a longer text is searched alone.
+_TEXT_BYTES = 1 << 20
 _ANCHOR = 8
 
 
@@ -32,6 +34,16 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in a row, in slices of about ``_TEXT_BYTES`` each."""
+    _, bounds = _bytes(texts)
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + _TEXT_BYTES, "right")) - 1)
+        yield texts.slice(start, end - start)
+        start = end
+
+
 def _distinct(keys: np.ndarray) -> np.ndarray:
     """Sorted and each once. Sorting is faster here than the hash table of ``np.unique``."""
     keys = np.sort(keys)
@@ -136,8 +148,10 @@ def _by_trie(df: DataFrame, text: Column, phrases: DataFrame, out: str, count: b
     @F.arrow_udf("int" if count else "array<string>")
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trie = shared.value
-        for texts in batches:
-            yield trie.counts(texts) if count else trie.found(texts)
+        for batch in batches:
+            # What is found may be larger than the texts, so a batch's is never held whole.
+            for texts in _slices(batch):
+                yield trie.counts(texts) if count else trie.found(texts)
 
     return df.withColumn(out, find(text))
 
