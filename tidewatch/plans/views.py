@@ -126,7 +126,9 @@ def growth_curve(df: DataFrame, key: str) -> DataFrame:
 
 def growth_peak(df: DataFrame, key: str) -> DataFrame:
     """Peak step, its value and the viral threshold line at 82 % of it; the curve stays in its row."""
-    points = _curves(df, key)
+    # Parsed once a row without a shuffle: a lambda's argument is evaluated once.
+    inputs = F.array(F.struct(_score(df, "view_count", 5000.0).alias("v"), _score(df, "views_per_hour", 800.0).alias("h"), _score(df, "growth_acceleration", 40.0).alias("a")))
+    points = df.select(key, F.transform(inputs, lambda x: scores.projection(x["v"], x["h"], x["a"]))[0].alias("_p"))
     best = F.array_max(F.transform("_p", lambda p: F.struct(p["projected_views"], (-p["step"]).alias("s"))))
     return points.select(key, best.alias("_b")).select(
         key, (-F.col("_b.s")).alias("peak_step"), F.col("_b.projected_views").alias("peak_views"),
