@@ -35,6 +35,13 @@ def test_small_budget_gives_the_same(spark, table):
     assert {r.doc_id for r in exact.owners(docs, budget=1000).collect()} == usual
 
 
+def test_a_text_is_shuffled_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, None)], "doc_id long, text string")
+    found = exact.owners(docs)
+    assert [f.name for f in found.schema if f.dataType.simpleString() in ("string", "binary")] == ["text", "__dedup_sha"]
+    assert sorted((r.doc_id, r["__dedup_count"]) for r in found.collect()) == [(1, 2), (3, 1)]
+
+
 def test_odd_rows(odd):
     assert result(odd) == brute([(r.doc_id, r.text) for r in odd.collect()])
     kept = exact.deduplicate(odd)

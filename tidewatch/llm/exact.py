@@ -1,7 +1,8 @@
 """Exact dedup by Patricia-trie owners.
 
 Texts are compared as the UTF-8 bytes left after deleting the six ASCII white-space characters; null
-counts as empty. A key is (byte length, content hash, bytes). Each scan task inserts its whole texts
+counts as empty. A key is (byte length, content hash, bytes); the bytes are taken from the owner's text again where
+they are compared, so a text is shuffled once. Each scan task inserts its whole texts
 into a compressed radix trie whose terminal nodes hold the best row so far (most code points in the
 original, then the smallest id; null ids last) and the group's size. When a trie holds more than
 ``budget`` bytes, its heaviest subtree is emitted as partial owners and freed. Partial owners are
@@ -33,7 +34,7 @@ BATCH_BYTES = 1 << 21
 HOT_GROUPS = 1000
 
 #: Fields of a partial owner beside the row itself. ``ties`` counts the rows that tie for best.
-OWNER = {"bytes": T.BinaryType(), "length": T.LongType(), "hash": T.LongType(), "sha": T.StringType(),
+OWNER = {"length": T.LongType(), "hash": T.LongType(), "sha": T.StringType(),
          "points": T.LongType(), "count": T.LongType(), "ties": T.LongType()}
 
 
@@ -132,7 +133,7 @@ class _Writer:
         points, _, row, count, ties = owner
         digest = hashlib.sha256(key)
         content = int.from_bytes(digest.digest()[:8], "big", signed=True)
-        self.rows.append((*row, key, len(key), content, digest.hexdigest(), points, count, ties))
+        self.rows.append((*row, len(key), content, digest.hexdigest(), points, count, ties))
         self.size += 2 * len(key) + 100
 
     def flush(self, least: int = 0) -> Iterator[pa.RecordBatch]:
@@ -181,7 +182,8 @@ def owners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", b
         trie, out, place = Trie(), _Writer(arrow), None
         for batch in blocks(batches, text_col, BATCH_BYTES):
             for row in _rows(batch, width + len(OWNER)):
-                key, length, content, _, points, count, ties = row[width:]
+                key = normalised(row[at_text])
+                length, content, _, points, count, ties = row[width:]
                 if (length, content) != place:
                     place = (length, content)
                     for item in trie.pop():
