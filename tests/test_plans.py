@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import Tables
-from tidewatch.operators import alerts, lookups, ranking
+from tidewatch.operators import alerts, lookups, narratives, ranking
 from tidewatch.plans import tracking, views
 from tidewatch.session import scratch_path, scratch_root, stage
 from tidewatch.sources.files import read_columns, spread
@@ -116,3 +116,11 @@ def test_curve_inputs_are_parsed_once_a_row(spark):
     assert curve.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert curve.groupBy("video_id").count().collect() and curve.count() == 900
     assert {(r.video_id, r.peak_step is None) for r in views.growth_peak(rows, "video_id").collect()} == {("a", False), (None, False)}
+
+
+def test_words_are_looked_for_once_a_text(spark):
+    rows = spark.createDataFrame([(1, "aa bb aa"), (1, "aa"), (2, None)], "cluster int, text string")
+    named = narratives.term_names(rows, ["the"], "cluster", "text")
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert {r.cluster: r.cluster_topic_name for r in named.collect()} == {1: "Aa Bb Aa Bb", 2: "Cluster 2"}
