@@ -1,4 +1,8 @@
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 from tidewatch.llm import pseudo_lm as lm
 
@@ -145,3 +149,35 @@ def test_words_that_are_not_broadcast_have_the_same_shares(spark, table):
         assert known.least > lm.LEAST and len(known.keys) <= most and gains.count() > 0
         for r in lm.score(docs, rounds=1, shared_words=most).collect():
             assert np.isclose(r.log_prob, whole[r.doc_id], rtol=1e-4, atol=1e-2)
+
+
+def test_words_and_classes_of_a_batch_are_those_of_each_word():
+    """Arrow splits, lowers and trims as Python does, also beyond ASCII and at unusual blanks; a text's tokens do not hang on its neighbours."""
+    blanks = [" ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", " ", "　"]
+    texts = ["".join(f"Straße,{b}İSTANBUL!{b}(ΟΔΟΣ){b}*{b}Ab\U0001f600{b}the THE \"the\"" for b in blanks), None, "", " \n", "... !", "the Ab", "​x\x00y z"]
+    known = lm.Vocabulary(["the", "straße"])
+    read = known.read(pa.array(texts, pa.string()))
+    for text, (ids, rare) in zip(texts, read, strict=True):
+        words = lm.words_of(text)
+        expected = [{"the": 0, "straße": 1}.get(w, lm.ending(w)) for w in words]
+        assert ids.tolist() == expected == known.encode(text).tolist()
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words if w not in ("the", "straße")]
+        assert rare.view(np.uint64).tolist() == hashes
+
+
+def test_counts_of_words_are_those_of_python(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COUNTED_WORDS", 20)
+    texts = [None, "", "!", *[" ".join(f"W{i % k}, w{i}É (İ{i % 3})" for i in range(60)) for k in (2, 7, 50)]] * 3
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    expected = Counter(w for t in texts for w in lm.words_of(t))
+    found = {(r.word, r["class"]): r.n for r in lm.word_counts(docs).collect()}
+    assert found == {(w, lm.ending(w)): n for w, n in expected.items()}
+    assert lm.word_counts(spark.createDataFrame([(None,), ("..",)], "text string")).count() == 0
+
+
+def test_a_distinct_chunk_is_looked_up_once_a_batch(monkeypatch):
+    seen = []
+    learn = lm.Vocabulary.learn
+    monkeypatch.setattr(lm.Vocabulary, "learn", lambda self, chunks: seen.append(len(chunks)) or learn(self, chunks))
+    lm.Vocabulary(["the"]).read(pa.array(["the end of the day"] * 1000))
+    assert seen == [4]

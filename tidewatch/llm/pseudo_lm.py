@@ -24,12 +24,12 @@ Ties among the most frequent words go by the alphabet.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
@@ -46,7 +46,6 @@ LEAST = 5  # a word seen so often is listed
 BATCH_BYTES = 1 << 22
 SCORE_TOKENS = 1 << 13
 COUNTED_WORDS = 300_000
-MET_CHUNKS = 600_000
 BRANCHES = 16
 SHARED_WORDS = 1 << 20
 _MARKS = ".,;:!?\"'()[]{}<>|*#%$&"
@@ -68,47 +67,66 @@ def ending(word: str) -> int:
     return WORDS + (number * 2654435761 >> 16 & 0xFFFF) % CLASSES
 
 
-class Vocabulary(dict):
+def _chunks(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The chunks between blanks of each text (null: none or empty ones), and all of them in a row, dictionary-encoded.
+
+    Arrow splits at the same characters as ``str.split``, but gives empty chunks at blank ends."""
+    split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    return split, split.flatten().dictionary_encode()
+
+
+def _words(chunks: pa.Array) -> pa.Array:
+    """Chunks in lower case, without the marks around them, as ``words_of`` has them."""
+    other = pc.invert(pc.string_is_ascii(chunks))
+    low = pc.replace_with_mask(pc.ascii_lower(chunks), other, pa.array([c.lower() for c in chunks.filter(other).to_pylist()], pa.string()))
+    return pc.utf8_trim(low, characters=_MARKS)
+
+
+def _classes(words: pa.Array) -> np.ndarray:
+    """``ending`` of each word."""
+    ends = pc.utf8_slice_codeunits(words, -3).dictionary_encode()
+    return np.array([ending(e) for e in ends.dictionary.to_pylist()], np.int32)[ends.indices.to_numpy()]
+
+
+class Vocabulary:
     """Chunk between blanks -> token: a frequent word, a listed one (behind ``EDGE``, in the order of ``keys``), else the
-    class of its ending; -1 if only marks are left. Chunks met are remembered up to a bound, with the hashes of unlisted words."""
+    class of its ending; -1 if only marks are left."""
 
     def __init__(self, words: list[str], keys: np.ndarray | None = None) -> None:
-        super().__init__()
-        self.words = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.string())
         self.keys = np.zeros(0, np.int64) if keys is None else keys
-        self.unlisted: dict[str, int] = {}
 
-    def learn(self, chunks: list[str]) -> None:
-        words = [c.lower().strip(_MARKS) for c in chunks]
-        key = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) for w in words], np.uint64).view(np.int64)  # as Spark's xxhash64
+    def learn(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of each chunk the token and the word's hash."""
+        words = _words(chunks)
+        key = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) for w in words.to_pylist()], np.uint64).view(np.int64)  # as Spark's xxhash64
         at = np.searchsorted(self.keys, key)
         listed = np.searchsorted(self.keys, key, "right") > at
-        for c, w, h, i, known in zip(chunks, words, key.tolist(), at.tolist(), listed.tolist(), strict=True):
-            token = -1 if not w else self.words.get(w, EDGE + 1 + i if known else -2)
-            if token == -2:
-                token, self.unlisted[c] = ending(w), h
-            self[c] = token
-
-    def __missing__(self, chunk: str) -> int:
-        self.learn([chunk])
-        return self[chunk]
-
-    def read(self, text: str | None, *, rare: bool = True) -> tuple[np.ndarray, list[int]]:
-        """The text's tokens, and with ``rare`` the hashes of its words that are neither frequent nor listed."""
-        chunks = (text or "").split()
-        found = list(map(self.get, chunks))
-        if None in found:
-            if len(self) > MET_CHUNKS:
-                self.clear()
-                self.unlisted.clear()
-            self.learn([c for c in set(chunks) if c not in self])
-            found = list(map(self.__getitem__, chunks))
-        ids = np.array(found, np.int32)
-        places = np.flatnonzero((ids >= WORDS) & (ids < EDGE)).tolist() if rare else ()
-        return ids[ids >= 0], [self.unlisted[chunks[i]] for i in places]
+        frequent = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy()
+        token = np.where(frequent >= 0, frequent, np.where(listed, EDGE + 1 + at, _classes(words)))
+        return np.where(pc.binary_length(words).to_numpy() > 0, token, -1).astype(np.int32), key
+
+    def __getitem__(self, chunk: str) -> int:
+        return int(self.learn(pa.array([chunk], pa.string()))[0][0])
+
+    def read(self, texts: pa.Array, *, rare: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each text's tokens, and with ``rare`` the hashes of its words that are neither frequent nor listed.
+
+        A chunk is looked up once for all texts, not once for each of its places."""
+        split, coded = _chunks(texts)
+        found, key = self.learn(coded.dictionary)
+        unlisted = (found >= WORDS) & (found < EDGE) & rare
+        places = coded.indices.to_numpy()
+        ids = found[places]
+        out, start = [], 0
+        for end in np.cumsum(pc.list_value_length(split)).tolist():
+            own, place = ids[start:end], places[start:end]
+            out.append((own[own >= 0], key[place[unlisted[place]]] if rare else key[:0]))
+            start = end
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.read(text, rare=False)[0]
+        return self.read(pa.array([text], pa.string()), rare=False)[0][0]
 
 
 @dataclass(frozen=True)
@@ -126,25 +144,29 @@ class Lexicon:
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, class, n) over all texts."""
-    def counted(chunks: Counter[str]) -> pa.RecordBatch:
+    def summed(tables: list[pa.Table], key: str) -> pa.Table:
+        return pa.concat_tables(tables).group_by(key, use_threads=False).aggregate([("n", "sum")]).rename_columns([key, "n"]).combine_chunks()
+
+    def counted(chunks: pa.Table) -> pa.RecordBatch:
         """Case and marks are taken off each distinct chunk, not off each word."""
-        counts: Counter[str] = Counter()
-        for chunk, n in chunks.items():
-            word = chunk.lower().strip(_MARKS)
-            if word:
-                counts[word] += n
-        return pa.RecordBatch.from_pydict({"word": list(counts), "class": pa.array(map(ending, counts), pa.int32()), "n": list(counts.values())})
+        words = pa.table({"word": pa.concat_arrays([_words(c) for c in chunks.column("chunk").chunks]), "n": chunks.column("n")})
+        words = summed([words.filter(pc.not_equal(words.column("word"), ""))], "word")
+        word = pa.concat_arrays([pa.array([], pa.string()), *words.column("word").chunks])
+        return pa.RecordBatch.from_pydict({"word": word, "class": _classes(word), "n": pa.concat_arrays([pa.array([], pa.int64()), *words.column("n").chunks])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                chunks.update((text or "").split())
-                if len(chunks) > COUNTED_WORDS:
-                    yield counted(chunks)
-                    chunks.clear()
-        if chunks:
-            yield counted(chunks)
+        tables: list[pa.Table] = []
+        for block in blocks(batches, text_col, BATCH_BYTES):
+            coded = _chunks(block.column(0))[1]
+            n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+            tables.append(pa.table({"chunk": coded.dictionary, "n": n}))
+            if sum(map(len, tables)) > COUNTED_WORDS:
+                tables = [summed(tables, "chunk")]
+                if len(tables[0]) > COUNTED_WORDS // 2:
+                    yield counted(tables[0])
+                    tables.clear()
+        if tables:
+            yield counted(summed(tables, "chunk"))
 
     found = docs.select(text_col).mapInArrow(run, "word string, class int, n long")
     return found.groupBy("word", "class").agg(F.sum("n").alias("n"))
@@ -322,7 +344,7 @@ def tokens(docs: DataFrame, known: Broadcast[Lexicon], *, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, row = Vocabulary(known.value.words, known.value.keys), TaskContext.get().partitionId() << 40
         for block in blocks(batches, "__text", BATCH_BYTES):
-            read = [vocabulary.read(t, rare=known.value.least > LEAST) for t in block.column("__text").to_pylist()]
+            read = vocabulary.read(block.column("__text"), rare=known.value.least > LEAST)
             rows = pa.array(np.arange(row, row + len(read)))
             row += len(read)
             yield pa.RecordBatch.from_arrays([block.column(0), rows, pa.array([i.tobytes() for i, _ in read], pa.binary()), pa.array([r for _, r in read], pa.list_(pa.int64()))], names=[id_col, "__row", "__ids", "__rare"])
