@@ -80,6 +80,53 @@ def test_topics(spark, t):
     assert topics.with_topic_keywords(result).where("topic_keywords is null").isEmpty()
 
 
+def _plain_inference(model, ids, counts):
+    """One text at a time, as the definition has it."""
+    known, now = np.exp(topics._log_mean(model.words))[:, ids], model.start
+    while True:
+        share = np.exp(topics._log_mean(now))
+        then = share * (known @ (counts / (share @ known))) + model.prior
+        moved, now = np.abs(then - now).mean(), then
+        if moved <= topics.SETTLED:
+            share = np.exp(topics._log_mean(now))
+            return now, share[:, None] * known * (counts / (share @ known))
+
+
+def test_topic_inference_in_slots_is_that_of_each_text(monkeypatch):
+    monkeypatch.setattr(topics, "SLOT_NUMBERS", 300)
+    rng = np.random.default_rng(3)
+    model = topics.TopicModel(rng.gamma(1.0, 5.0, (4, 90)) + 0.01, np.array([0.1, 0.2, 0.3, 0.4]), rng.gamma(100, 0.01, 4))
+    sizes = np.concatenate([rng.integers(0, 60, 70), [90, 1, 0]])
+    ids = [np.sort(rng.choice(90, n, replace=False)) for n in sizes]
+    counts = [rng.integers(1, 40, n) for n in sizes]
+    weights, sums = model.infer(sizes, np.concatenate(ids), np.concatenate(counts))
+    wanted = np.zeros((4, 90))
+    for got, i, c in zip(weights, ids, counts, strict=True):
+        if not len(i):
+            assert not got.any()
+            continue
+        now, part = _plain_inference(model, i, c)
+        assert np.allclose(got, now, rtol=1e-9)
+        wanted[:, i] += part
+    assert np.allclose(sums, wanted, rtol=1e-9)
+    assert model.infer(sizes[-1:], np.zeros(0, int), np.zeros(0, int))[0].shape == (1, 4)
+
+
+def test_topics_do_not_depend_on_partitions(spark):
+    """Spark's LDA starts the texts of each partition from other weights and draws texts anew, so it gave other topics for other partitions."""
+    rng = np.random.default_rng(11)
+    pools = [[f"{p}{q}{r}" for q in "abcde" for r in "uvwxyz"] for p in ("ka", "lo", "mi")]
+    texts = [(i, " ".join(rng.choice(pools[i % 3], 25)) + " common words") for i in range(240)]
+    rows = spark.createDataFrame([*texts, (240, "tiny"), (241, None), (242, "- - - - - - - -")], "i int, text string")
+    found = []
+    for df in (rows.repartition(6, "i"), rows.coalesce(1)):
+        result = topics.model_topics(df, "text", [], iterations=5, max_topics=3)
+        found.append((sorted(map(tuple, result.words.collect())), {r["i"]: r["dominant_topic_id"] for r in result.rows.collect()}))
+    assert found[0] == found[1]
+    best = found[0][1]
+    assert best[240] == best[241] == best[242] == 0 and len(best) == 243
+
+
 def test_split_is_stratified_and_stable(t):
     rows = t.scored()
     sides = [{r["video_id"] for r in side.collect()} for side in virality.split(rows, "video_id", "viral_label")]
