@@ -181,3 +181,15 @@ def test_a_distinct_chunk_is_looked_up_once_a_batch(monkeypatch):
     monkeypatch.setattr(lm.Vocabulary, "learn", lambda self, chunks: seen.append(len(chunks)) or learn(self, chunks))
     lm.Vocabulary(["the"]).read(pa.array(["the end of the day"] * 1000))
     assert seen == [4]
+
+
+def test_softmax_folds_short_rows_as_numpy_adds_them():
+    rng = np.random.default_rng(2)
+    for width in (1, 3, 6, 16):
+        logits = rng.normal(0, 30, (50, width)).astype(np.float32)
+        assert np.array_equal(lm._across(np.maximum, logits), logits.max(axis=1, keepdims=True))
+        assert np.allclose(lm._across(np.add, logits), logits.sum(axis=1, keepdims=True), atol=1e-4)
+        got, plain = lm._softmax(logits.copy()), np.exp(logits.astype(float) - logits.max(axis=1, keepdims=True))
+        assert np.allclose(got, plain / plain.sum(axis=1, keepdims=True), atol=1e-6)
+        assert np.array_equal(lm._softmax(logits[::-1].copy())[::-1], got)
+    assert np.array_equal(lm._across(np.add, logits), logits.sum(axis=1, keepdims=True))

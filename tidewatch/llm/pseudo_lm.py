@@ -223,11 +223,21 @@ def lexicon(docs: DataFrame, text_col: str = "text", *, shared_words: int = SHAR
     return known, gains.groupBy("key").agg(F.avg("gain").alias("gain"))
 
 
+def _across(fold: np.ufunc, rows: np.ndarray) -> np.ndarray:
+    """``fold`` over each row, for short rows several times as quick as a reduction: halves down to eight numbers, then neighbours.
+
+    numpy's own sum of 16 numbers goes in this order, so the last bits are the same."""
+    while rows.shape[1] > 1 and rows.shape[1] % 2 == 0:
+        half = rows.shape[1] // 2
+        rows = fold(rows[:, :half], rows[:, half:]) if half >= 8 else fold(rows[:, ::2], rows[:, 1::2])
+    return fold.reduce(rows, axis=1, keepdims=True) if rows.shape[1] > 1 else rows
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
     """Rows of probabilities, in place."""
-    logits -= logits.max(axis=1, keepdims=True)
+    logits -= _across(np.maximum, logits)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    logits /= _across(np.add, logits)
     return logits
 
 
@@ -267,7 +277,7 @@ class Network:
         second = np.empty((len(active), _LEAVES), np.float32)
         for j, a, z in runs:
             np.matmul(active[a:z], self.leaf[j], out=second[a:z])
-        second += self.leaf_bias[branch]
+        second += self.leaf_bias.take(branch, axis=0)
         return first, _softmax(second), runs
 
     def log_probs(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -276,9 +286,9 @@ class Network:
         out = np.empty(len(at))
         for k in range(0, len(at), SCORE_TOKENS):
             branch = padded[at[k:k + SCORE_TOKENS]] // _LEAVES
-            order = np.argsort(branch, kind="stable")
+            order = np.argsort(branch.astype(np.int16), kind="stable")
             place, branch = at[k:k + SCORE_TOKENS][order], branch[order]
-            active = np.tanh(self.bias + sum(t[padded[place + o]] for t, o in zip(tables, OFFSETS, strict=True)))
+            active = np.tanh(self.bias + sum(t.take(padded.take(place + o), axis=0) for t, o in zip(tables, OFFSETS, strict=True)))
             first, second, _ = self._levels(active, branch)
             row = np.arange(len(place))
             own = first[row, branch].astype(np.float64) * second[row, padded[place] % _LEAVES]
@@ -288,10 +298,10 @@ class Network:
     def learn(self, padded: np.ndarray, at: np.ndarray, memory: list[np.ndarray], rate: float) -> None:
         """One Adagrad step on the tokens at ``at``."""
         branch = padded[at] // _LEAVES
-        order = np.argsort(branch, kind="stable")
+        order = np.argsort(branch.astype(np.int16), kind="stable")  # two bytes are sorted by their digits
         at, branch = at[order], branch[order]
-        sides = np.stack([padded[at + o] for o in OFFSETS])
-        hidden = self.bias + sum((self.embed @ w)[s] for s, w in zip(sides, self.layer, strict=True))
+        sides = np.stack([padded.take(at + o) for o in OFFSETS])
+        hidden = self.bias + sum((self.embed @ w).take(s, axis=0) for s, w in zip(sides, self.layer, strict=True))
         active = np.tanh(hidden)
         first, second, runs = self._levels(active, branch)
         row, share = np.arange(len(at)), np.float32(1 / len(at))
@@ -311,8 +321,8 @@ class Network:
         seen_by = seen_by[order]
         opens = np.flatnonzero(np.diff(seen_by, prepend=-1))
         embed = np.zeros_like(self.embed)
-        embed[seen_by[opens]] = np.add.reduceat(moved[order], opens, axis=0)
-        layer = np.stack([self.embed[s].T @ back for s in sides])
+        embed[seen_by[opens]] = np.add.reduceat(moved.take(order, axis=0), opens, axis=0)
+        layer = np.stack([self.embed.take(s, axis=0).T @ back for s in sides])
         grads = [embed, layer, back.sum(axis=0), active.T @ first, first.sum(axis=0), leaf, leaf_bias]
         for value, seen, g in zip(self.parts, memory, grads, strict=True):
             seen += g * g
