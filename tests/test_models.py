@@ -6,7 +6,7 @@ from tidewatch.catalog.models_ import STOP_WORDS
 from tidewatch.catalog.registry import Tables
 from tidewatch.operators import narratives, scoring, topics
 from tidewatch.plans import narrative, virality
-from tidewatch.session import scratch_path, stage
+from tidewatch.session import read_in_parts, scratch_path, stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -112,6 +112,42 @@ def test_topic_inference_in_slots_is_that_of_each_text(monkeypatch):
     assert model.infer(sizes[-1:], np.zeros(0, int), np.zeros(0, int))[0].shape == (1, 4)
 
 
+def test_steps_in_single_precision_give_the_same_topics(monkeypatch):
+    monkeypatch.setattr(topics, "SINGLE", 20)
+    rng = np.random.default_rng(6)
+    model = topics.TopicModel(rng.gamma(0.5, 9.0, (4, 90)) + 0.01, np.array([0.1, 0.2, 0.3, 0.4]), rng.gamma(100, 0.01, 4))
+    sizes = np.array([*rng.integers(0, 40, 60), 90, 0])
+    ids = np.concatenate([np.sort(rng.choice(90, n, replace=False)) for n in sizes])
+    counts = rng.integers(1, 6, len(ids))
+    exact, wanted = model.infer(sizes, ids, counts)
+    weights, sums = model.infer_by_size(sizes, ids, counts)
+    single = np.array([x.sum() <= 80 for x in np.split(counts, np.cumsum(sizes)[:-1])])
+    assert 10 < single.sum() < 55 and np.allclose(weights[~single], exact[~single], rtol=1e-9)
+    assert np.allclose(weights, exact, rtol=1e-2) and np.allclose(sums, wanted, rtol=1e-2)
+    assert (weights.argmax(axis=1) == exact.argmax(axis=1)).all()
+
+
+def test_topics_tokenise_texts_once(spark):
+    """Best topics are found from the terms that were written for the fit, and passes read files of like size, a task each."""
+    rows = spark.createDataFrame([(i, f"alpha beta{i % 5} Beta{i % 5} gamma{i % 7}, x") for i in range(200)] + [(200, "tiny"), (201, None)], "i int, text string")
+    result = topics.model_topics(rows, "text", ["gamma0"], iterations=2)
+    assert "regexp" not in result.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert result.rows.columns == ["i", "text", "dominant_topic_id"] and result.rows.count() == 202
+    spread = stage(spark.range(4000).repartition(20), "spread")
+    with read_in_parts(spark, 20):
+        assert len([n for n in spread.rdd.glom().map(len).collect() if n]) == 20
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_terms_of_a_text(spark):
+    import pyarrow as pa
+
+    found = topics._text_terms(pa.array([["b", "a", "b"], [], None, ["c", "a"]])).to_pylist()
+    assert [dict(zip(x["terms"], x["counts"], strict=True)) for x in found] == [{"b": 2, "a": 1}, {}, {}, {"c": 1, "a": 1}]
+    sizes, ids, counts = topics._known_terms(pa.array(["c", "b"]), pa.array([["b", "a"], None, ["a", "b", "c"]]), pa.array([[2, 1], None, [1, 4, 3]]))
+    assert sizes.tolist() == [1, 0, 2] and ids.tolist() == [1, 0, 1] and counts.tolist() == [2, 3, 4]
+
+
 def test_topics_do_not_depend_on_partitions(spark):
     """Spark's LDA starts the texts of each partition from other weights and draws texts anew, so it gave other topics for other partitions."""
     rng = np.random.default_rng(11)
