@@ -246,6 +246,42 @@ def test_neighbour_scores_of_all_rows(spark):
     assert [r.narrative_similarity_score for r in narratives.all_neighbour_scores(df.limit(1), "e").collect()] == [0.0]
 
 
+def test_neighbour_scores_are_exact_where_cells_miss_neighbours(spark):
+    """One cell a vector misses many neighbours: the pairs of blocks find them, copies, opposite and empty vectors included."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(900, 24))
+    v[:300] = v[300:600] + 0.2 * rng.normal(size=(300, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[10], v[11], v[12], v[13] = v[400], v[401], 0, -v[700]
+    v = v.astype(np.float32)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, None)]
+    df = spark.createDataFrame(rows, "id long, e array<float>")
+    got = {r.id: r.narrative_similarity_score for r in narratives.all_neighbour_scores(df, "e", probes=1, limit=100).collect()}
+    cosine = v.astype(float) @ v.astype(float).T
+    np.fill_diagonal(cosine, -2)
+    cosine[:, 12] = -2
+    exact = np.round(cosine.max(axis=1), 4)
+    exact[12] = 0
+    assert len(got) == 901 and got[900] == 0
+    assert np.abs(np.array([got[i] for i in range(900)]) - exact).max() < 1e-9
+
+
+def test_blocks_find_the_nearest_of_vectors_nearly_alike(spark):
+    rng = np.random.default_rng(9)
+    v = 1 + 1e-2 * rng.normal(size=(350, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for kind in ("float", "double"):
+        w = v.astype(np.float32).astype(float) if kind == "float" else v
+        rows = [(i, [float(x) for x in r], -2.0) for i, r in enumerate(w)]
+        distinct = spark.createDataFrame(rows, f"_vec long, _v array<{kind}>, _best double")
+        found = narratives.closer_in_blocks(distinct, 350, 64).groupBy("_vec").agg(F.max("_best").alias("b"))
+        cosine = w @ w.T
+        np.fill_diagonal(cosine, -2)
+        assert np.allclose([r.b for r in found.orderBy("_vec").collect()], np.minimum(cosine.max(axis=1), 2), atol=1e-12)
+    alone = spark.createDataFrame([(1, [1.0, 0.0], -2.0)], "_vec long, _v array<float>, _best double")
+    assert narratives.closer_in_blocks(alone, 1, 64).count() == 0
+
+
 def test_neighbour_cells_stay_within_their_limit(spark):
     """Texts of one kind and vectors nearly alike: no cell grows beyond the limit and no vector is left out."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
